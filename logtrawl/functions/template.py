@@ -1,14 +1,12 @@
-"""Print formats, compiled on the driver to one ``concat`` of columns."""
+"""Print formats, compiled on the driver to one SQL expression."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import text, times
+from .text import sql_text
 
 
 @dataclass(frozen=True)
@@ -88,45 +86,44 @@ def line_dependent(fmt: str) -> bool:
 
 
 def render(
-    fmt: str, pattern: str | Column = "", at: Column | None = None, nested: bool = False,
-    values: dict[str, Column] | None = None,
-) -> Column:
+    fmt: str, pattern: str = "pattern", at: str = "match_pos", nested: bool = False,
+    values: dict[str, str] | None = None,
+) -> str:
     """The text of a format for a row with ``line`` and whatever else the format names.
 
-    ``pattern`` and ``at`` are the matched text and its byte offset in the line. In a nested rule ``${offset}``
-    is the offset in the line, otherwise the offset in the file. A variable without a value prints its name.
+    ``pattern`` and ``at`` are expressions: the matched text and its byte offset in the line. In a nested rule
+    ``${offset}`` is the offset in the line, otherwise the offset in the file. ``values`` are the expressions
+    of variables; a variable without a value prints its name.
     """
-    at = F.col("match_pos") if at is None else at
-    values = values or {}
-    shown = [_render_part(p, pattern, at, nested, values) for p in parse_format(fmt)]
-    return F.concat(*shown) if shown else F.lit("")
+    shown = [_render_part(p, pattern, at, nested, values or {}) for p in parse_format(fmt)]
+    return f"concat({', '.join(shown)})" if shown else "''"
 
 
-def _render_part(part: Part, pattern, at: Column, nested: bool, values: dict[str, Column]) -> Column:
+def _render_part(part: Part, pattern: str, at: str, nested: bool, values: dict[str, str]) -> str:
     if part.kind == "text":
-        return F.lit(part.value)
+        return sql_text(part.value)
     if part.kind == "lineno":
-        return F.col("lineno").cast("string")
+        return "string(lineno)"
     if part.kind == "offset":
-        return (at if nested else F.col("line_offset") + at).cast("string")
+        return f"string({at})" if nested else f"string(line_offset + {at})"
     if part.kind == "line_offset":
-        return F.col("line_offset").cast("string")
+        return "string(line_offset)"
     if part.kind == "line":
         return text.byte_slice("line", part.start, part.end)
     if part.kind == "match":
-        return F.lit(pattern) if isinstance(pattern, str) else pattern
+        return pattern
     if part.kind == "match_plus":
         return text.match_plus("line", at, pattern, part.start)
     if part.kind == "match_until":
         return text.match_until("line", at, pattern, part.value)
     if part.kind == "time":
-        return F.coalesce(times.line_micros("line").cast("string"), F.lit("0"))
+        return f"coalesce(string({times.line_micros('line')}), '0')"
     if part.kind == "filename":
-        return F.col("path")
+        return "path"
     if part.kind == "rotate-time":
-        return F.coalesce(times.micros_to_stamp(F.unix_micros("rotate_ts")), F.lit("n/a"))
-    name = F.lit("${" + part.value + "}")
-    return F.coalesce(values[part.value], name) if part.value in values else name
+        return f"coalesce({times.micros_to_stamp('unix_micros(rotate_ts)')}, 'n/a')"
+    name = sql_text("${" + part.value + "}")
+    return f"coalesce({values[part.value]}, {name})" if part.value in values else name
 
 
 def pieces(fmt: str, name: str) -> list[str]:
@@ -140,10 +137,10 @@ def pieces(fmt: str, name: str) -> list[str]:
     return [_escapes(p) for p in found]
 
 
-def fill(fmt: str, name: str, value: Column) -> Column:
-    """The text of a ``count`` or ``interval`` format."""
-    found = [F.lit(p) for p in pieces(fmt, name)]
-    return found[0] if len(found) == 1 else F.concat(found[0], value.cast("string"), found[1])
+def fill(fmt: str, name: str, value: str) -> str:
+    """The text of an ``interval`` format around the expression ``value``."""
+    found = [sql_text(p) for p in pieces(fmt, name)]
+    return found[0] if len(found) == 1 else f"concat({found[0]}, string({value}), {found[1]})"
 
 
 def _escapes(value: str) -> str:

@@ -1,21 +1,23 @@
-"""Fixed-string matching and byte slicing as plain columns.
+"""Fixed-string matching and byte slicing as SQL expressions.
 
-Positions and slices count bytes, 0-based, as log offsets do. Patterns are fixed strings.
+Functions return the text of an expression, for ``selectExpr``, ``filter`` and ``F.expr``; a whole expression
+then costs one call from Python. Positions and slices count bytes, 0-based, as log offsets do. Patterns are
+fixed strings.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-_NO_POSITIONS = "array<bigint>"
 _CHUNK = 128
 
 
-def _col(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def sql_text(value: str) -> str:
+    """A string constant. Text with quotes, escapes or ``$`` (variables in SQL text) is spelled in hex."""
+    if re.fullmatch(r"[^'\\$\x00-\x1f]*", value):
+        return f"'{value}'"
+    return f"string(X'{value.encode('utf-8').hex()}')"
 
 
 def byte_len(pattern: str) -> int:
@@ -32,145 +34,118 @@ def can_overlap(pattern: str) -> bool:
     return any(pattern.startswith(pattern[-n:]) for n in range(1, len(pattern)))
 
 
-def any_of(line, patterns) -> Column:
+def any_of(line: str, patterns: Sequence[str]) -> str:
     """True where at least one pattern occurs. Empty patterns never match."""
-    line = _col(line)
-    hit = F.lit(False)
-    for n, pattern in enumerate(p for p in patterns if p):
-        hit = line.contains(pattern) if n == 0 else hit | line.contains(pattern)
-    return hit
+    return "(" + (" OR ".join(f"contains({line}, {sql_text(p)})" for p in patterns if p) or "false") + ")"
 
 
-def all_of(line, patterns) -> Column:
+def all_of(line: str, patterns: Sequence[str]) -> str:
     """True where every pattern occurs. An empty pattern never matches."""
-    line = _col(line)
-    patterns = list(patterns)
     if not all(patterns):
-        return F.lit(False)
-    hit = F.lit(True)
-    for n, pattern in enumerate(patterns):
-        hit = line.contains(pattern) if n == 0 else hit & line.contains(pattern)
-    return hit
+        return "(false)"
+    return "(" + (" AND ".join(f"contains({line}, {sql_text(p)})" for p in patterns) or "true") + ")"
 
 
-def count_in(line, pattern: str) -> Column:
+def count_in(line: str, pattern: str) -> str:
     """Number of occurrences of a pattern in a line, overlapping ones included.
 
     A pattern that cannot overlap itself is counted by how much shorter the line gets without it, which
     needs no regular expression.
     """
-    line = _col(line)
     if not pattern:
-        return F.lit(0).cast("bigint")
+        return "0L"
+    text = sql_text(pattern)
     if can_overlap(pattern):
-        hits = F.regexp_count(line, F.lit(f"(?={literal_regex(pattern)})")).cast("bigint")
+        hits = f"bigint(regexp_count({line}, {sql_text(f'(?={literal_regex(pattern)})')}))"
     else:
-        shorter = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(pattern), F.lit("")))
-        hits = F.call_function("div", shorter.cast("bigint"), F.lit(byte_len(pattern)).cast("bigint"))
-    return F.when(line.contains(pattern), hits).otherwise(F.lit(0).cast("bigint"))
-
-
-def positions(line, pattern: str) -> Column:
-    """Byte offsets of all occurrences in a line, ascending; overlapping ones included.
-
-    The line is cut where the pattern begins, and the lengths of the cuts are added up. One extra byte in
-    front keeps an occurrence at offset 0 apart; it is a newline, which no pattern holds.
+        hits = f"(octet_length({line}) - octet_length(replace({line}, {text}, ''))) div {byte_len(pattern)}"
+    return f"if(contains({line}, {text}), {hits}, 0L)"
+
+
+def pattern_spec(pattern: str, **more: int) -> str:
+    """What ``places`` needs to know about a pattern, as a constant struct."""
+    size = byte_len(pattern)
+    bare = not can_overlap(pattern)
+    regex = literal_regex(pattern) if bare else f"(?={literal_regex(pattern)})"
+    fields = [f"'{name}', {value}" for name, value in more.items()]
+    fields += [
+        f"'text', {sql_text(pattern)}", f"'regex', {sql_text(regex)}", f"'bare', {str(bare).lower()}",
+        f"'start', {-size if bare else -1}L", f"'skip', {size if bare else 0}L", f"'size', {size}L",
+    ]
+    return f"named_struct({', '.join(fields)})"
+
+
+def places(line: str, spec: str) -> str:
+    """Byte offsets of a pattern in a line that holds it, ascending; overlapping ones included.
+
+    The line is cut where the pattern begins, and the lengths of the cuts are added up. A pattern that may
+    overlap itself is looked for without consuming it; an extra byte in front then keeps an occurrence at
+    offset 0 apart (a newline, which no pattern holds). Appending to an array copies it, so for very many
+    cuts the sums are built chunk by chunk.
     """
-    line = _col(line)
-    empty = F.array().cast(_NO_POSITIONS)
-    if not pattern:
-        return empty
-    if can_overlap(pattern):
-        cuts = F.split(F.concat(F.lit("\n"), line), f"(?={literal_regex(pattern)})", -1)
-        begin, skip = -1, 0
-    else:
-        skip = byte_len(pattern)
-        cuts = F.split(line, literal_regex(pattern), -1)
-        begin = -skip
-    lengths = F.transform(
-        F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda cut: (F.octet_length(cut) + skip).cast("bigint")
-    )
-    return F.when(line.contains(pattern), running_sums(lengths, begin)).otherwise(empty)
-
 
-def running_sums(values: Column, start: int = 0) -> Column:
-    """Running sums of a non-empty BIGINT array.
+    def sums(parts: str, start: str) -> str:
+        return (
+            f"slice(aggregate({parts}, array({start}), (acc, part) -> "
+            f"array_append(acc, element_at(acc, -1) + octet_length(part) + {spec}.skip)), 2, size({parts}))"
+        )
 
-    Appending to an array copies it, so the sums are built in chunks: first the chunk totals, then each
-    chunk from its own start. A line with very many hits stays far from quadratic work.
-    """
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.call_function("div", F.size(values) - 1, F.lit(_CHUNK)).cast("int")),
-        lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)),
+    few = sums("slice(cuts, 1, size(cuts) - 1)", f"{spec}.start")
+    chunks = (
+        f"transform(sequence(0, int((size(cuts) - 2) div {_CHUNK})), "
+        f"n -> slice(cuts, n * {_CHUNK} + 1, least({_CHUNK}, size(cuts) - 1 - n * {_CHUNK})))"
     )
-    zero = F.lit(0).cast("bigint")
-    starts = F.aggregate(
-        chunks,
-        F.array(F.lit(start).cast("bigint")),
-        lambda acc, chunk: F.array_append(
-            acc, F.element_at(acc, -1) + F.aggregate(chunk, zero, lambda total, v: total + v)
-        ),
-    )
-    return F.flatten(
-        F.zip_with(
-            chunks,
-            F.slice(starts, F.lit(1), F.size(chunks)),
-            lambda chunk, base: F.slice(
-                F.aggregate(
-                    chunk, F.array(base), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v)
-                ),
-                F.lit(2),
-                F.lit(_CHUNK),
-            ),
-        )
+    widths = f"transform(chunks, chunk -> aggregate(chunk, 0L, (acc, part) -> acc + octet_length(part) + {spec}.skip))"
+    starts = f"aggregate({widths}, array({spec}.start), (acc, width) -> array_append(acc, element_at(acc, -1) + width))"
+    many = (
+        f"transform(array({chunks}), chunks -> flatten(zip_with(chunks, slice({starts}, 1, size(chunks)), "
+        f"(chunk, base) -> {sums('chunk', 'base')})))[0]"
     )
+    cuts = f"split(if({spec}.bare, {line}, concat(char(10), {line})), {spec}.regex, -1)"
+    return f"transform(array({cuts}), cuts -> if(size(cuts) <= {_CHUNK}, {few}, {many}))[0]"
+
+
+def positions(line: str, pattern: str) -> str:
+    """Byte offsets of all occurrences of a pattern, an empty array if there are none."""
+    if not pattern:
+        return "cast(array() as array<bigint>)"
+    found = f"transform(array({pattern_spec(pattern)}), spec -> {places(line, 'spec')})[0]"
+    return f"if(contains({line}, {sql_text(pattern)}), {found}, cast(array() as array<bigint>))"
 
 
 # ---- slices -------------------------------------------------------------------------------------------
 
 
-def byte_slice(line, start: int | None = None, end: int | None = None) -> Column:
+def byte_slice(line: str, start: int | None = None, end: int | None = None) -> str:
     """Bytes ``start`` (included) to ``end`` (excluded); a negative number counts from the end of the line."""
-    line = _col(line)
-    if (start is None or start == 0) and end is None:
+    if not start and end is None:
         return line
-    size = F.octet_length(line)
+    size = f"octet_length({line})"
 
-    def edge(value: int | None, missing: Column) -> Column:
+    def edge(value: int | None, missing: str) -> str:
         if value is None:
             return missing
-        if value < 0:
-            return F.greatest(size + value, F.lit(0))
-        return F.least(F.lit(value), size)
+        return f"greatest({size} - {-value}, 0)" if value < 0 else f"least({value}, {size})"
 
-    first, last = edge(start, F.lit(0)), edge(end, size)
-    return F.substring(line.cast("binary"), first + 1, F.greatest(last - first, F.lit(0))).cast("string")
+    first, last = edge(start, "0"), edge(end, size)
+    return f"string(substring(binary({line}), {first} + 1, greatest({last} - {first}, 0)))"
 
 
-def match_plus(line, at, pattern, more: int) -> Column:
-    """The match and up to ``more`` bytes after it, within the line."""
-    width = F.octet_length(_text(pattern)) + more
-    return F.substring(_col(line).cast("binary"), (_col(at) + 1).cast("int"), width.cast("int")).cast("string")
+def match_plus(line: str, at: str, pattern: str, more: int) -> str:
+    """The match and up to ``more`` bytes after it, within the line. ``pattern`` is an expression."""
+    return f"string(substring(binary({line}), int({at} + 1), int(octet_length({pattern}) + {more})))"
 
 
-def match_until(line, at, pattern, delimiter: str) -> Column:
+def match_until(line: str, at: str, pattern: str, delimiter: str) -> str:
     """The match and what follows it, up to but without the delimiter, or up to the end of the line."""
-    text = _text(pattern)
-    rest = F.substring(
-        _col(line).cast("binary"), (_col(at) + F.octet_length(text) + 1).cast("int"), F.octet_length(_col(line))
-    ).cast("string")
-    return F.concat(text, F.substring_index(rest, delimiter, 1))
-
-
-def _text(pattern) -> Column:
-    return F.lit(pattern) if isinstance(pattern, str) else pattern
+    rest = f"string(substring(binary({line}), int({at} + octet_length({pattern}) + 1)))"
+    return f"concat({pattern}, substring_index({rest}, {sql_text(delimiter)}, 1))"
 
 
-def capture(line, regex: str) -> Column:
+def capture(line: str, regex: str) -> str:
     """First group of the first match (the whole match if the pattern has no group), NULL without a match.
 
     Java picks the first alternative that fits, a POSIX matcher the longest; order alternatives accordingly.
     """
-    line = _col(line)
     group = 1 if re.compile(regex).groups else 0
-    return F.when(line.rlike(regex), F.regexp_extract(line, regex, group))
+    return f"if({line} rlike {sql_text(regex)}, regexp_extract({line}, {sql_text(regex)}, {group}), null)"

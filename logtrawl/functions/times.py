@@ -1,17 +1,17 @@
 """Timestamps at the start of a log line, durations, and time arguments.
 
-Column functions stay inside the JVM. Functions on plain text (arguments of a query) run on the driver and
-work with microseconds since the epoch, UTC.
+Functions on columns return the text of a SQL expression. Functions on plain text (arguments of a query) run
+on the driver and work with microseconds since the epoch, UTC.
 """
 
 from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import sql_text
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -22,97 +22,74 @@ MONTH = 30 * DAY
 YEAR = 365 * DAY
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-_STAMP = r"^(\d{4}-\d{2}-\d{1,2})(?: (\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)?))?"
+_STAMP = sql_text(r"^(\d{4}-\d{2}-\d{1,2})(?: (\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)?))?")
 
 
-def line_ts(line) -> Column:
+def line_ts(line: str) -> str:
     """Timestamp at byte 0 of a line (``YYYY-MM-DD[ hh[:mm[:ss[.ffffff]]]]``, UTC), NULL if there is none.
 
     The usual 26-byte form takes one cast. Every other shape goes through the pattern, which accepts missing
     time parts and a fraction of any length.
     """
-    line = F.col(line) if isinstance(line, str) else line
-    head = F.substring(line, 1, 26)
-    usual = (
-        (F.substring(line, 5, 1) == "-") & (F.substring(line, 8, 1) == "-") & (F.substring(line, 11, 1) == " ")
-        & (F.substring(line, 14, 1) == ":") & (F.substring(line, 17, 1) == ":") & (F.substring(line, 20, 1) == ".")
+    usual = f"substring({line}, 1, 26) like '____-__-__ __:__:__.______'"
+    time = f"regexp_extract({line}, {_STAMP}, 2)"
+    full = (
+        f"concat(regexp_extract({line}, {_STAMP}, 1), ' ', case when {time} = '' then '00:00:00' "
+        f"when not contains({time}, ':') then concat({time}, ':00:00') "
+        f"when substring_index({time}, ':', 2) = {time} then concat({time}, ':00') else {time} end, 'Z')"
     )
-    full = F.concat(head, F.lit("Z")).try_cast("timestamp")
-    date = F.regexp_extract(line, _STAMP, 1)
-    time = F.regexp_extract(line, _STAMP, 2)
-    time = (
-        F.when(time == "", "00:00:00")
-        .when(~time.contains(":"), F.concat(time, F.lit(":00:00")))
-        .when(F.substring_index(time, ":", 2) == time, F.concat(time, F.lit(":00")))
-        .otherwise(time)
+    return (
+        f"coalesce(if({usual}, try_cast(concat(substring({line}, 1, 26), 'Z') as timestamp), null), "
+        f"if(substring({line}, 5, 1) = '-', try_cast({full} as timestamp), null))"
     )
-    loose = F.when(
-        F.substring(line, 5, 1) == "-", F.concat(date, F.lit(" "), time, F.lit("Z")).try_cast("timestamp")
-    )
-    return F.coalesce(F.when(usual, full), loose)
 
 
-def line_micros(line) -> Column:
+def line_micros(line: str) -> str:
     """``line_ts`` as microseconds since the epoch, NULL if the line has no timestamp."""
-    return F.unix_micros(line_ts(line))
+    return f"unix_micros({line_ts(line)})"
 
 
-def micros_to_stamp(micros, fraction: bool = False) -> Column:
+def micros_to_stamp(micros: str, fraction: bool = False) -> str:
     """Microseconds to ``YYYY-MM-DD hh:mm:ss[.ffffff]``, UTC whatever the session zone is."""
-    micros = F.col(micros) if isinstance(micros, str) else micros
-    shown = F.make_timestamp_ntz(
-        F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)
-    ) + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / F.lit(SECOND)).cast("decimal(18,6)"))
-    return F.date_format(shown, "yyyy-MM-dd HH:mm:ss.SSSSSS" if fraction else "yyyy-MM-dd HH:mm:ss")
+    shape = "yyyy-MM-dd HH:mm:ss.SSSSSS" if fraction else "yyyy-MM-dd HH:mm:ss"
+    shown = f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast({micros} / 1000000bd as decimal(18, 6)))"
+    return f"date_format({shown}, '{shape}')"
 
 
-def duration_text(micros) -> Column:
+def duration_text(micros: str) -> str:
     """Microseconds as ``Nd Nh Nm Ns Nus``."""
     parts = duration_parts(micros, ("day", "hour", "minute", "second"))
-    return F.concat(
-        parts["day"].cast("string"), F.lit("d "), parts["hour"].cast("string"), F.lit("h "),
-        parts["minute"].cast("string"), F.lit("m "), parts["second"].cast("string"), F.lit("s "),
-        parts["micro"].cast("string"), F.lit("us"),
-    )
+    shown = ", ' ', ".join(f"string({value}), '{'us' if name == 'micro' else name[0]}'" for name, value in parts.items())
+    return f"concat({shown})"
 
 
 _UNITS = {"year": YEAR, "month": MONTH, "day": DAY, "hour": HOUR, "minute": MINUTE, "second": SECOND}
 
 
-def duration_parts(micros, units=tuple(_UNITS)) -> dict[str, Column]:
+def duration_parts(micros: str, units: Sequence[str] = tuple(_UNITS)) -> dict[str, str]:
     """Peel the asked units off a duration, largest first; what is left over is ``micro``.
 
     A month is 30 days and a year 365 days.
     """
-    micros = F.col(micros) if isinstance(micros, str) else micros
     unknown = set(units) - set(_UNITS)
     if unknown:
         raise ValueError(f"unknown units: {sorted(unknown)}")
-    parts: dict[str, Column] = {}
-    larger = None
+    parts: dict[str, str] = {}
+    rest = f"({micros})"
     for unit, size in _UNITS.items():
         if unit in units:
-            rest = micros if larger is None else micros % F.lit(larger)
-            parts[unit] = _div(rest, size)
-            # month does not divide year, so the rest must be taken step by step from here on
-            micros, larger = rest, size
-    parts["micro"] = micros if larger is None else micros % F.lit(larger)
+            parts[unit] = f"({rest} div {size}L)"
+            rest = f"({rest} % {size}L)"
+    parts["micro"] = rest
     return parts
 
 
-def _div(value: Column, size: int) -> Column:
-    return F.call_function("div", value, F.lit(size).cast("bigint"))
-
-
-def hms_micros_col(text) -> Column:
+def hms_micros_col(text: str) -> str:
     """``hh[:mm[:ss]]`` as microseconds; a missing part counts as 0."""
-    text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(text, ":")
-
-    def part(i: int, size: int) -> Column:
-        return F.coalesce(F.get(parts, F.lit(i)).try_cast("bigint"), F.lit(0)) * F.lit(size).cast("bigint")
-
-    return part(0, HOUR) + part(1, MINUTE) + part(2, SECOND)
+    sizes = enumerate((HOUR, MINUTE, SECOND))
+    return "(" + " + ".join(
+        f"coalesce(try_cast(get(split({text}, ':'), {n}) as bigint), 0L) * {size}L" for n, size in sizes
+    ) + ")"
 
 
 # ---- arguments, on the driver -------------------------------------------------------------------------

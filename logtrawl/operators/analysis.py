@@ -1,53 +1,49 @@
-"""Ordered analysis of matches: intervals, limits, exits and carried variables."""
+"""Ordered analysis of matches: intervals, limits and exits. Orders, keys and values are SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import carry_last, previous, running_total
+from .match import MATCH_ORDER
+from .ordered import previous, running_total
 
 
-def interval(matches: DataFrame, order, by=("pattern",), ts: str = "ts", name: str = "interval_us") -> DataFrame:
+def interval(
+    matches: DataFrame, order: Sequence[str] = MATCH_ORDER, by: Sequence[str] = ("pattern",), ts: str = "ts",
+    name: str = "interval_us",
+) -> DataFrame:
     """Microseconds since the previous match of the same rule, in log order and across files.
 
     Always positive, whichever way the files run. Lines without a timestamp take no part; the first match of a
     rule has no interval and is left out.
     """
-    timed = matches.filter(F.col(ts).isNotNull())
-    paired = previous(timed, "_before", F.unix_micros(ts), order, by)
-    gap = F.abs(F.unix_micros(ts) - F.col("_before"))
-    return paired.filter(F.col("_before").isNotNull()).withColumn(name, gap).drop("_before")
+    paired = previous(matches.filter(f"{ts} IS NOT NULL"), "_before", f"unix_micros({ts})", order, by)
+    return paired.filter("_before IS NOT NULL").selectExpr(
+        *[f"`{c}`" for c in matches.columns], f"abs(unix_micros({ts}) - _before) AS {name}"
+    )
 
 
-def max_count(matches: DataFrame, n: int, order, by=("pattern",)) -> DataFrame:
+def max_count(
+    matches: DataFrame, n: int, order: Sequence[str] = MATCH_ORDER, by: Sequence[str] = ("pattern",)
+) -> DataFrame:
     """The first ``n`` matches per rule in log order; 0 is no limit.
 
     Each block first keeps at most ``n`` of its own, then the blocks are counted through.
     """
     if n == 0:
         return matches
-    inside = Window.partitionBy(*by, "file_rank", "block").orderBy(*order)
-    few = matches.withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= n).drop("_rank")
-    counted = running_total(few, {"_rank": F.lit(1).cast("bigint")}, order, by)
-    return counted.filter(F.col("_rank") <= n).drop("_rank")
+    inside = f"(PARTITION BY {', '.join([*by, 'file_rank', 'block'])} ORDER BY {', '.join(order)})"
+    few = matches.selectExpr("*", f"row_number() OVER {inside} AS _rank").filter(f"_rank <= {n}").drop("_rank")
+    return running_total(few, {"_rank": "1L"}, order, by).filter(f"_rank <= {n}").drop("_rank")
 
 
-def until(rows: DataFrame, triggers: DataFrame, key: Column) -> DataFrame:
+def until(rows: DataFrame, triggers: DataFrame, key: str) -> DataFrame:
     """Rows up to and including the first trigger; all rows if there is none.
 
     ``key`` is a struct that orders rows and triggers alike. The cut is one minimum, read as a scalar.
     """
-    cut = triggers.agg(F.min(key).alias("cut")).scalar()
-    return rows.withColumn("_cut", cut).filter(F.col("_cut").isNull() | (key <= F.col("_cut"))).drop("_cut")
-
-
-def nth_key(matches: DataFrame, n: int, order, key: Column, by=("pattern",)) -> DataFrame:
-    """The ``n``-th match per rule, no row for a rule with fewer."""
-    counted = running_total(matches, {"_rank": F.lit(1).cast("bigint")}, order, by)
-    return counted.filter(F.col("_rank") == n).drop("_rank")
-
-
-def carry(rows: DataFrame, values: dict[str, Column], order) -> DataFrame:
-    """Variables: the last value set up to each row, over all rules and files."""
-    return carry_last(rows, values, order)
+    cut = triggers.selectExpr(f"min({key}) AS cut").scalar()
+    return rows.withColumn("_cut", cut).filter(f"_cut IS NULL OR {key} <= _cut").drop("_cut")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, byte_len, count_in, positions
+from ..functions.text import any_of, byte_len, count_in, pattern_spec, places, sql_text
 from ..session import BROADCAST_BYTES
 
 # Up to this many patterns are tested by generated code; more go through one automaton per task.
@@ -16,9 +16,8 @@ INLINE_PATTERNS = 64
 PATTERN_BYTES = 16 * 1024 * 1024
 
 
-def match_order() -> list[Column]:
-    """Order of matches inside a file: by line, then where the match ends, the longer pattern first."""
-    return [F.col("pos"), F.col("match_end"), -F.col("match_len")]
+# Order of matches inside a file: by line, then where the match ends, the longer pattern first.
+MATCH_ORDER = ("pos", "match_end", "-match_len")
 
 
 def check_patterns(patterns: Sequence[str], on_duplicate: str = "error") -> list[str]:
@@ -45,93 +44,103 @@ def search(lines: DataFrame, patterns: Sequence[str], on_duplicate: str = "error
     ``occurrence`` counts from 0 within line and pattern. Works on batch and streaming lines.
     """
     usable = check_patterns(patterns, on_duplicate)
-    if len(usable) > INLINE_PATTERNS:
-        return _search_automaton(lines, usable)
-    hits = [F.array().cast(_HITS)] + [_hits(p) for p in usable]
-    found = search_lines(lines, usable).select("*", F.explode(F.concat(*hits)).alias("_hit"))
-    return found.select(*lines.columns, "_hit.*")
+    size = pattern_size(usable)
+    return find(lines, usable).selectExpr(
+        *[f"`{c}`" for c in lines.columns], f"{pattern_text(usable)} AS pattern", "occurrence", "match_pos",
+        f"match_pos + {size} AS match_end", f"{size} AS match_len",
+    )
+
 
+def find(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Occurrences of checked patterns by number: ``pattern_id, occurrence, match_pos``.
 
-_HITS = "array<struct<pattern:string,occurrence:bigint,match_pos:bigint,match_end:bigint,match_len:bigint>>"
+    The patterns are data of one expression, so the plan does not grow with their number.
+    """
+    if len(patterns) > INLINE_PATTERNS:
+        return _find_by_automaton(lines, patterns)
+    specs = ", ".join(pattern_spec(p, id=n) for n, p in enumerate(patterns))
+    hits = (
+        f"flatten(transform(filter(array({specs}), spec -> contains(line, spec.text)), spec -> "
+        f"transform({places('line', 'spec')}, (at, n) -> "
+        "struct(spec.id AS pattern_id, bigint(n) AS occurrence, at AS match_pos))))"
+    )
+    found = search_lines(lines, patterns)
+    if not patterns:
+        return found.selectExpr("*", "0 AS pattern_id", "0L AS occurrence", "0L AS match_pos")
+    return found.selectExpr("*", f"inline({hits})")
 
 
-def _hits(pattern: str) -> Column:
-    size = byte_len(pattern)
-    return F.transform(
-        positions("line", pattern),
-        lambda at, n: F.struct(
-            F.lit(pattern).alias("pattern"),
-            n.cast("bigint").alias("occurrence"),
-            at.alias("match_pos"),
-            (at + size).alias("match_end"),
-            F.lit(size).cast("bigint").alias("match_len"),
-        ),
-    ).cast(_HITS)
+def pattern_text(patterns: Sequence[str], number: str = "pattern_id") -> str:
+    """The pattern of a number; the list is a constant."""
+    return f"get(array({', '.join(map(sql_text, patterns)) or chr(39) * 2}), {number})"
 
 
-def _search_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+def pattern_size(patterns: Sequence[str], number: str = "pattern_id") -> str:
+    return f"get(array({', '.join(f'{byte_len(p)}L' for p in patterns) or '0L'}), {number})"
+
+
+def _find_by_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Many patterns in one pass over each line, whatever their number."""
     schema = lines.schema.simpleString()[7:-1]
-    added = "pattern:string,occurrence:bigint,match_pos:bigint,match_end:bigint,match_len:bigint"
     sent = lines.sparkSession.sparkContext.broadcast(list(patterns))
 
     def scan(batches):
-        find = pattern_finder(sent.value)
+        hits_in = pattern_finder(sent.value)
         for batch in batches:
-            where, rows = [], []
+            where, numbers, counts, places = [], [], [], []
             for n, line in enumerate(batch["line"]):
                 if line is None:
                     continue
-                seen: dict[str, int] = {}
-                for pattern, at, size in find(line):
-                    count = seen.get(pattern, 0)
-                    seen[pattern] = count + 1
+                seen: dict[int, int] = {}
+                for number, at in hits_in(line):
+                    seen[number] = seen.get(number, -1) + 1
                     where.append(n)
-                    rows.append((pattern, count, at, at + size, size))
-            out = batch.iloc[where].reset_index(drop=True)
-            for c, name in enumerate(("pattern", "occurrence", "match_pos", "match_end", "match_len")):
-                out[name] = [r[c] for r in rows]
-            yield out
+                    numbers.append(number)
+                    counts.append(seen[number])
+                    places.append(at)
+            yield batch.iloc[where].reset_index(drop=True).assign(
+                pattern_id=numbers, occurrence=counts, match_pos=places
+            )
 
-    return lines.mapInPandas(scan, f"{schema},{added}")
+    return lines.mapInPandas(scan, f"{schema},pattern_id:int,occurrence:bigint,match_pos:bigint")
 
 
 def pattern_finder(patterns: Sequence[str]):
-    """A function from a line to its ``(pattern, byte offset, byte length)`` hits.
+    """A function from a line to its ``(pattern number, byte offset)`` hits.
 
     Lines are looked at as bytes (one character each), so offsets need no conversion.
     """
-    raw = {p.encode("utf-8"): p for p in patterns}
+    raw = {p.encode("utf-8"): n for n, p in enumerate(patterns)}
     try:
         import ahocorasick
     except ImportError:
         return _finder_by_regex(raw)
     machine = ahocorasick.Automaton()
-    for text, pattern in raw.items():
-        machine.add_word(text.decode("latin-1"), (pattern, len(text)))
+    for text, number in raw.items():
+        machine.add_word(text.decode("latin-1"), (number, len(text) - 1))
     machine.make_automaton()
 
-    def find(line: str):
-        for last, (pattern, size) in machine.iter(line.encode("utf-8").decode("latin-1")):
-            yield pattern, last + 1 - size, size
+    def hits_in(line: str):
+        for last, (number, back) in machine.iter(line.encode("utf-8").decode("latin-1")):
+            yield number, last - back
 
-    return find
+    return hits_in
 
 
-def _finder_by_regex(raw: dict[bytes, str]):
+def _finder_by_regex(raw: dict[bytes, int]):
     import re
 
     longest_first = sorted(raw, key=len, reverse=True)
     any_pattern = re.compile(b"(?=(" + b"|".join(re.escape(t) for t in longest_first) + b"))")
     # the longest pattern that fits at a place; whatever else fits there is a start of it
-    starts = {t: [t[:n] for n in range(len(t), 0, -1) if t[:n] in raw] for t in raw}
+    starts = {t: [raw[t[:n]] for n in range(len(t), 0, -1) if t[:n] in raw] for t in raw}
 
-    def find(line: str):
+    def hits_in(line: str):
         for hit in any_pattern.finditer(line.encode("utf-8")):
-            for text in starts[hit.group(1)]:
-                yield raw[text], hit.start(), len(text)
+            for number in starts[hit.group(1)]:
+                yield number, hit.start()
 
-    return find
+    return hits_in
 
 
 def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
@@ -140,14 +149,14 @@ def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern")
     The size of the table decides the way, never the result: a small one is sent to every task, a large one
     is joined on the exact text.
     """
-    texts = patterns.select(F.col(column).alias("pattern")).filter(F.octet_length("pattern") > 0).distinct()
-    spanning = F.sum(F.col("pattern").contains("\n").cast("bigint"))
-    size = texts.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("pattern")).alias("bytes"), spanning.alias("spanning")
+    texts = patterns.selectExpr(f"`{column}` AS pattern").filter("octet_length(pattern) > 0").distinct()
+    size = texts.selectExpr(
+        "count(1) AS n", "coalesce(sum(octet_length(pattern)), 0) AS bytes",
+        "coalesce(bool_or(contains(pattern, char(10))), false) AS spans",
     ).first()
-    if size.spanning:
+    if size.spans:
         raise ValueError("a pattern cannot span lines")
-    if (size.bytes or 0) + 64 * size.n <= min(PATTERN_BYTES, BROADCAST_BYTES):
+    if size.bytes + 64 * size.n <= PATTERN_BYTES:
         return search(lines, [r.pattern for r in texts.collect()])
     return _search_join(lines, texts)
 
@@ -158,25 +167,20 @@ def _search_join(lines: DataFrame, texts: DataFrame) -> DataFrame:
     Each piece meets at most one pattern, as pattern texts are distinct, so a frequent piece only makes one
     join key large, which adaptive execution splits.
     """
-    sizes = [r.n for r in texts.select(F.octet_length("pattern").alias("n")).distinct().collect()]
-    width, raw = F.octet_length("line"), F.col("line").cast("binary")
-    starts = F.explode(F.sequence(F.lit(0), width - F.lit(min(sizes)))).alias("match_pos")
+    sizes = sorted(r.n for r in texts.selectExpr("octet_length(pattern) AS n").distinct().collect())
+    kept = [f"`{c}`" for c in lines.columns]
     pieces = (
-        lines.filter(width >= min(sizes))
-        .select(*lines.columns, starts)
-        .select(*lines.columns, "match_pos", F.explode(F.array(*[F.lit(n) for n in sorted(sizes)])).alias("match_len"))
-        .filter(F.col("match_pos") + F.col("match_len") <= width)
-        .withColumn("_piece", F.substring(raw, F.col("match_pos") + 1, F.col("match_len")))
+        lines.filter(f"octet_length(line) >= {sizes[0]}")
+        .selectExpr("*", f"explode(sequence(0, octet_length(line) - {sizes[0]})) AS match_pos")
+        .selectExpr("*", f"explode(array({', '.join(map(str, sizes))})) AS match_len")
+        .filter("match_pos + match_len <= octet_length(line)")
+        .selectExpr("*", "substring(binary(line), match_pos + 1, match_len) AS _piece")
     )
-    found = pieces.join(texts.withColumn("_piece", F.col("pattern").cast("binary")), "_piece")
-    inside = Window.partitionBy("file_rank", "block", "pos", "pattern").orderBy("match_pos")
-    return found.select(
-        *lines.columns,
-        "pattern",
-        (F.row_number().over(inside) - 1).cast("bigint").alias("occurrence"),
-        F.col("match_pos").cast("bigint").alias("match_pos"),
-        (F.col("match_pos") + F.col("match_len")).cast("bigint").alias("match_end"),
-        F.col("match_len").cast("bigint").alias("match_len"),
+    found = pieces.join(texts.selectExpr("pattern", "binary(pattern) AS _piece"), "_piece")
+    inside = "(PARTITION BY file_rank, block, pos, pattern ORDER BY match_pos)"
+    return found.selectExpr(
+        *kept, "pattern", f"bigint(row_number() OVER {inside} - 1) AS occurrence", "bigint(match_pos) AS match_pos",
+        "bigint(match_pos + match_len) AS match_end", "bigint(match_len) AS match_len",
     )
 
 
@@ -187,10 +191,6 @@ def count_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """
     if not patterns:
         return lines.sparkSession.createDataFrame([], "pattern string, n bigint")
-    sums = search_lines(lines, patterns).agg(
-        *[F.coalesce(F.sum(count_in("line", p)), F.lit(0)).alias(f"_{i}") for i, p in enumerate(patterns)]
-    )
-    rows = F.array(
-        *[F.struct(F.lit(p).alias("pattern"), F.col(f"_{i}").alias("n")) for i, p in enumerate(patterns)]
-    )
-    return sums.select(F.inline(rows))
+    sums = [f"coalesce(sum({count_in('line', p)}), 0) AS _{i}" for i, p in enumerate(patterns)]
+    rows = ", ".join(f"struct({sql_text(p)} AS pattern, _{i} AS n)" for i, p in enumerate(patterns))
+    return search_lines(lines, patterns).selectExpr(*sums).selectExpr(f"inline(array({rows}))")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -18,7 +20,7 @@ def time_range(lines: DataFrame, start: int, end: int) -> DataFrame:
     if end <= start:
         raise ValueError("the time range is empty")
     stamped = carry_last(lines, {"_at": times.line_micros("line")}, ["pos"], across_files=False)
-    return stamped.filter(F.col("_at").between(F.lit(start), F.lit(end))).drop("_at")
+    return stamped.filter(f"_at BETWEEN {start}L AND {end}L").drop("_at")
 
 
 def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
@@ -35,35 +37,30 @@ def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
     return time_range((read or read_logs)(spark, files_between(files, begin, until)), begin, until)
 
 
-def split_by_size(lines: DataFrame, chunk_bytes: int, path: str = "path", order=("pos",)) -> DataFrame:
+def split_by_size(lines: DataFrame, chunk_bytes: int, path: str = "path", order: Sequence[str] = ("pos",)) -> DataFrame:
     """Add ``chunk`` and ``chunk_name`` (``aa-<file>``, ``ab-<file>``, ...), cut at line ends.
 
     The file in a name is the one the chunk begins in, without ``.gz``.
     """
     if chunk_bytes <= 0:
         raise ValueError("the chunk size must be positive")
-    size = F.octet_length("line").cast("bigint") + 1
-    summed = running_total(lines, {"_bytes": size}, list(order))
-    cut = summed.withColumn(
-        "chunk", F.call_function("div", F.col("_bytes") - 1, F.lit(chunk_bytes).cast("bigint"))
-    ).drop("_bytes")
+    kept = [f"`{c}`" for c in lines.columns]
+    summed = running_total(lines, {"_bytes": "bigint(octet_length(line) + 1)"}, list(order))
+    cut = summed.selectExpr(*kept, f"(_bytes - 1) div {chunk_bytes}L AS chunk")
     # one row per chunk; the first line decides the name
-    place = F.struct("file_rank", "block", *order)
-    names = cut.groupBy("chunk").agg(F.min_by(path, place).alias("_first"))
-    base = F.regexp_replace(basename("_first"), r"\.gz$", "")
-    names = names.select("chunk", F.concat(chunk_letters("chunk"), F.lit("-"), base).alias("chunk_name"))
-    return cut.join(names, "chunk").select(*lines.columns, "chunk", "chunk_name")
+    first = cut.selectExpr("chunk", f"{path} AS _path", f"struct(file_rank, block, {', '.join(order)}) AS _place")
+    base = "regexp_replace(" + basename("_path") + ", '[.]gz$', '')"
+    names = first.groupBy("chunk").agg(F.expr("min_by(_path, _place) AS _path")).selectExpr(
+        "chunk", f"concat({chunk_letters('chunk')}, '-', {base}) AS chunk_name"
+    )
+    return cut.join(names, "chunk").selectExpr(*kept, "chunk", "chunk_name")
 
 
-def chunk_letters(chunk) -> Column:
+def chunk_letters(chunk: str) -> str:
     """``aa`` to ``zz``; after those, names grow by ``zz`` in front, so they still sort in order."""
-    number = F.col(chunk) if isinstance(chunk, str) else chunk
-    alphabet = F.lit("abcdefghijklmnopqrstuvwxyz")
-    turn = F.call_function("div", number, F.lit(676).cast("bigint")).cast("int")
-    rest = (number % 676).cast("int")
-    high = F.substring(alphabet, F.call_function("div", rest, F.lit(26)).cast("int") + 1, F.lit(1))
-    low = F.substring(alphabet, rest % 26 + 1, F.lit(1))
-    return F.concat(F.repeat(F.lit("zz"), turn), high, low)
+    return (
+        f"concat(repeat('zz', int({chunk} div 676)), char(97 + {chunk} % 676 div 26), char(97 + {chunk} % 26))"
+    )
 
 
 def context_lines(lines: DataFrame, hits: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
@@ -74,12 +71,12 @@ def context_lines(lines: DataFrame, hits: DataFrame, before: int = 0, after: int
     """
     if before < 0 or after < 0:
         raise ValueError("before and after must not be negative")
-    near = F.sequence(F.lit(-before).cast("bigint"), F.lit(after).cast("bigint"))
     wanted = (
         hits.select("file_rank", "lineno")
         .distinct()
-        .select("file_rank", "lineno", F.explode(near).alias("_step"))
-        .groupBy("file_rank", (F.col("lineno") + F.col("_step")).alias("lineno"))
-        .agg((F.min(F.abs("_step")) == 0).alias("is_hit"))
+        .selectExpr("file_rank", "lineno", f"explode(sequence({-before}L, {after}L)) AS _step")
+        .selectExpr("file_rank", "lineno + _step AS lineno", "_step = 0 AS is_hit")
+        .groupBy("file_rank", "lineno")
+        .agg(F.expr("bool_or(is_hit) AS is_hit"))
     )
-    return lines.join(wanted, ["file_rank", "lineno"]).select(*lines.columns, "is_hit")
+    return lines.join(wanted, ["file_rank", "lineno"]).selectExpr(*[f"`{c}`" for c in lines.columns], "is_hit")

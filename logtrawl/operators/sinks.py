@@ -14,19 +14,18 @@ def output_lines(output: DataFrame) -> DataFrame:
     A print without a newline is continued by the next one of the same sink, so a line may have several
     texts. Line numbers come from counting newlines in log order, block by block.
     """
-    cut = output.select(
-        "file_rank", "block", "pos", "ord", "sink", F.posexplode(F.split("text", "\n")).alias("piece", "part"),
-        (F.size(F.split("text", "\n")) - 1).alias("_last"),
+    cut = output.selectExpr(
+        "file_rank", "block", "pos", "ord", "sink", "size(split(text, '\\n')) - 1 AS _last",
+        "posexplode(split(text, '\\n')) AS (piece, part)",
     )
-    order = ["pos", "ord", "piece"]
-    begun = F.when(F.col("piece") > 0, 1).otherwise(0).cast("bigint")
-    numbered = running_total(cut, {"out_lineno": begun}, order, ["sink"])
-    place = F.struct("file_rank", "block", "pos", "ord", "piece", "part")
-    joined = numbered.groupBy("sink", "out_lineno").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda p: p["part"]), "").alias("line"),
-        F.max(F.col("piece") < F.col("_last")).alias("_ended"),
+    numbered = running_total(cut, {"out_lineno": "bigint(piece > 0)"}, ["pos", "ord", "piece"], ["sink"])
+    joined = numbered.selectExpr(
+        "sink", "out_lineno", "struct(file_rank, block, pos, ord, piece, part) AS _piece", "piece < _last AS _ended"
+    ).groupBy("sink", "out_lineno").agg(
+        F.expr("array_join(transform(sort_array(collect_list(_piece)), p -> p.part), '') AS line"),
+        F.expr("bool_or(_ended) AS _ended"),
     )
-    return joined.filter(F.col("_ended") | (F.col("line") != "")).drop("_ended")
+    return joined.filter("_ended OR line <> ''").drop("_ended")
 
 
 def write_output(output: DataFrame, directory: str, append: dict[str, bool] | None = None) -> None:

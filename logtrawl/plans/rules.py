@@ -244,11 +244,16 @@ class Program:
             found += self.below(child)
         return found
 
-    def needed(self) -> set[str]:
-        """Optional line columns that some format reads."""
-        formats = [s.action.fmt for s in self.steps(Print, Context)]
-        formats += [fmt for prints in self.lifecycle.values() for _, fmt in prints]
-        found = set().union(*[template.needs(f) for f in formats])
-        if any(s.action.before or s.action.after for s in self.steps(Context)):
+    def line_columns(self) -> list[str]:
+        """Optional line columns that some action reads."""
+        prints, contexts = self.steps(Print), self.steps(Context)
+        found = set()
+        for step in (*prints, *contexts):
+            reads = template.needs(step.action.fmt)
+            # a nested ${offset} is relative to the line and needs no offset in the file
+            if isinstance(step.action, Print) and self.nodes[step.node].depth and "${line_offset}" not in (step.action.fmt or ""):
+                reads.discard("line_offset")
+            found |= reads
+        if any(s.action.before or s.action.after for s in contexts):
             found.add("lineno")
-        return found
+        return sorted(found)

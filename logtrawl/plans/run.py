@@ -3,6 +3,9 @@
 The output has one row per printed text, with its place in the log (``file_rank, block, pos``) and inside the
 line (``ord``), the ``sink`` and the ``text``. Sorting by the place gives the text as one reader of the log
 would print it; nothing is sorted unless asked for.
+
+Which rule has which nested rules and actions is kept as constant arrays in the plan, indexed by rule; plans
+therefore do not grow with the rule set.
 """
 
 from __future__ import annotations
@@ -10,23 +13,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import template, text, times
+from ..functions.text import sql_text
 from ..operators import analysis
-from ..operators.match import INLINE_PATTERNS, search
+from ..operators.match import INLINE_PATTERNS, find, pattern_size, pattern_text
+from ..operators.ordered import carry_last, running_total
 from ..session import materialize
 from .rules import (
-    Context, Count, Custom, Exit, File, Interval, MaxCount, Node, Print, Program, Regex, Rule, RuleSet, Step,
-    registered,
+    Context, Count, Custom, Exit, Interval, MaxCount, Print, Program, Regex, Rule, RuleSet, Step, registered,
 )
 
 PLACE = ("file_rank", "block", "pos", "ord")
-OUTPUT = (*PLACE, "sink", "text")
-_LAST = (1 << 63) - 1
-_ORD = "array<bigint>"
-_NODES = "array<struct<node:int,ord:array<bigint>,match_pos:bigint>>"
+_FIRST, _LAST = "-1L", "9223372036854775807L"
+_ROOT_KEY = "struct(file_rank, block, pos, slice(ord, 1, 2))"
 
 
 def run(
@@ -43,6 +45,10 @@ def run(
         raise ValueError("var_scope is carry or match")
     program = Program(rules, on_duplicate)
     _check_columns(program, lines, files)
+    if _only_counts(program):
+        parts = [_count_texts(program, lines.sparkSession, _counts_by_rule(program, lines))]
+        return reduce(DataFrame.unionByName, parts + _lifecycle(program, lines, files, None))
+
     matches = occurrences(program, lines)
     carried = var_scope == "carry" and bool(program.steps(Regex))
     if carried or program.steps(Count, Interval, MaxCount, Exit, Context):
@@ -50,17 +56,19 @@ def run(
         matches = materialize(matches, "matches")
     matches, triggers = _limit(program, matches)
     if triggers is not None:
-        matches = analysis.until(matches, triggers, _root_key())
+        matches = analysis.until(matches, triggers, _ROOT_KEY)
 
-    parts = [_prints(program, matches, carried), _intervals(program, matches), _counts(program, matches)]
+    parts = [_prints(program, matches, carried), _intervals(program, matches)]
+    if program.steps(Count):
+        numbers = matches.groupBy("node").agg(F.expr("count(1) AS n"))
+        parts.append(_count_texts(program, lines.sparkSession, numbers))
     parts += [_context(s, program, matches, lines) for s in program.steps(Context)]
     parts += [_custom(s, program, matches) for s in program.steps(Custom)]
     parts += _lifecycle(program, lines, files, triggers)
     parts = [p for p in parts if p is not None]
     if not parts:
-        return lines.sparkSession.createDataFrame(
-            [], f"file_rank bigint, block bigint, pos bigint, ord {_ORD}, sink string, text string"
-        )
+        schema = "file_rank bigint, block bigint, pos bigint, ord array<bigint>, sink string, text string"
+        return lines.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -69,29 +77,13 @@ def in_order(output: DataFrame) -> DataFrame:
 
 
 def _check_columns(program: Program, lines: DataFrame, files: DataFrame | None) -> None:
-    missing = {"file_rank", "block", "pos", "line", *_line_columns(program)} - set(lines.columns)
+    missing = {"file_rank", "block", "pos", "line", *program.line_columns()} - set(lines.columns)
     if missing:
         raise ValueError(f"the rules need the line columns {sorted(missing)} (see with_positions, read_logs)")
     if (program.lifecycle["on_file_start"] or program.lifecycle["on_file_end"]) and files is None:
         raise ValueError("blocks at file start or end need the catalog of files")
 
 
-def _line_columns(program: Program) -> list[str]:
-    """Optional line columns the actions read."""
-    formats = [s.action.fmt for s in program.steps(Print, Context)]
-    found = set().union(*[template.needs(f) for f in formats])
-    if any(s.action.before or s.action.after for s in program.steps(Context)):
-        found.add("lineno")
-    # a nested ${offset} is relative to the line and needs no file offset
-    top = [s.action.fmt for s in program.steps(Print) if program.nodes[s.node].depth == 0]
-    top += [s.action.fmt for s in program.steps(Context)]
-    if not any("line_offset" in template.needs(f) for f in top) and not any(
-        f and "${line_offset}" in f for f in formats
-    ):
-        found.discard("line_offset")
-    return sorted(found)
-
-
 # ---- matches ------------------------------------------------------------------------------------------
 
 
@@ -103,57 +95,66 @@ def occurrences(rules: Program | RuleSet | Sequence[Rule], lines: DataFrame) ->
     some rule with actions can match in it together with all its parents.
     """
     program = rules if isinstance(rules, Program) else Program(rules)
-    kept = ["file_rank", "block", "pos", "line", *_line_columns(program)]
+    kept = ["file_rank", "block", "pos", "line", *program.line_columns()]
     roots = [program.nodes[r] for r in program.roots]
     lines = lines.select(*kept)
-    if len(roots) <= INLINE_PATTERNS and not all(r.acts() for r in roots):
-        paths = [text.all_of("line", n.path) for n in program.nodes if n.acts()]
-        lines = lines.filter(reduce(Column.__or__, paths) if paths else F.lit(False))
-    found = search(lines, [r.pattern for r in roots])
-    key = F.array("match_end", -F.col("match_len"))
-    if not any(r.children for r in roots):
-        acting = [F.lit(x) for r in roots if r.acts() for x in (r.pattern, r.id)]
-        known = F.create_map(*acting).cast("map<string,int>")
-        node = F.try_element_at(known, F.col("pattern"))
-        return found.select(*kept, node.alias("node"), key.alias("ord"), "match_pos").filter(
-            F.col("node").isNotNull()
-        )
-    cases = None
-    for root in roots:
-        rows = _rows(program, root, key, F.col("match_pos"))
-        hit = F.col("pattern") == root.pattern
-        cases = F.when(hit, rows) if cases is None else cases.when(hit, rows)
-    return found.select(*kept, F.explode(cases).alias("_row")).select(*kept, "_row.*")
-
+    if len(program.nodes) <= INLINE_PATTERNS and not all(r.acts() for r in roots):
+        lines = lines.filter(" OR ".join(text.all_of("line", n.path) for n in program.nodes if n.acts()) or "false")
+    patterns = [r.pattern for r in roots]
+    size = pattern_size(patterns)
+    numbers = ", ".join(map(str, program.roots)) or "0"
+    rows = find(lines, patterns).selectExpr(
+        *kept, f"get(array({numbers}), pattern_id) AS node", f"array(match_pos + {size}, -{size}) AS ord", "match_pos"
+    )
+    for depth in range(max((n.depth for n in program.nodes), default=0)):
+        rows = _open(program, depth, rows)
+    idle = [str(n.id) for n in program.nodes if not n.acts()]
+    return rows.filter(f"node NOT IN ({', '.join(idle)})") if idle else rows
+
+
+def _open(program: Program, depth: int, rows: DataFrame) -> DataFrame:
+    """Add to the matches of one depth the matches of their nested rules, in the same lines."""
+    listed = []
+    for node in program.nodes:
+        own = [program.nodes[c] for c in node.children] if node.depth == depth else []
+        specs = ", ".join(f"named_struct('node', {c.id}, 'index', {c.index}L, 'spec', {text.pattern_spec(c.pattern)})" for c in own)
+        listed.append(f"array({specs})" if own else "null")
+    hit = "struct(child.node AS node, concat(ord, array(child.index, at + child.spec.size, -child.spec.size)) AS ord, at AS match_pos)"
+    nested = (
+        "flatten(transform(filter(_children, child -> contains(line, child.spec.text)), child -> "
+        f"transform({text.places('line', 'child.spec')}, at -> {hit})))"
+    )
+    own = "array(struct(node, ord, match_pos))"
+    kept = [f"`{c}`" for c in rows.columns if c not in ("node", "ord", "match_pos")]
+    return rows.selectExpr("*", f"get(array({', '.join(listed)}), node) AS _children").selectExpr(
+        *kept, f"inline(if(_children IS NULL, {own}, concat({own}, {nested})))"
+    )
 
-def _rows(program: Program, node: Node, key: Column, at: Column) -> Column:
-    """The rows of one match: its own, and those of the nested rules below it."""
-    rows = [F.array().cast(_NODES)]
-    if node.acts():
-        own = F.struct(F.lit(node.id).alias("node"), key.alias("ord"), at.alias("match_pos"))
-        rows.append(F.array(own).cast(_NODES))
-    rows += [_nested(program, program.nodes[c], key) for c in node.children]
-    return F.concat(*rows)
 
+def _only_counts(program: Program) -> bool:
+    return bool(program.steps(Count)) and not program.steps(
+        Print, Regex, Interval, MaxCount, Exit, Context, Custom
+    )
 
-def _nested(program: Program, node: Node, key: Column) -> Column:
-    """The rows of a nested rule for one match of its parent."""
-    size = text.byte_len(node.pattern)
 
-    def at_hit(hit: Column) -> Column:
-        level = F.array(F.lit(node.index).cast("bigint"), hit + size, F.lit(-size).cast("bigint"))
-        return _rows(program, node, F.concat(key, level), hit)
+def _counts_by_rule(program: Program, lines: DataFrame) -> DataFrame:
+    """Matches per rule when nothing but counts is asked: no match becomes a row.
 
-    return F.flatten(F.transform(text.positions("line", node.pattern), at_hit))
+    A nested rule matches as often as the product of the matches along its path.
+    """
+    counted = [n for n in program.nodes if n.acts()]
+    found = lines.filter(" OR ".join(text.all_of("line", n.path) for n in counted))
+    sums = [
+        f"coalesce(sum(if({text.all_of('line', n.path)}, {' * '.join(text.count_in('line', p) for p in n.path)}, 0L)), 0) AS _{n.id}"
+        for n in counted
+    ]
+    rows = ", ".join(f"struct({n.id} AS node, _{n.id} AS n)" for n in counted)
+    return found.selectExpr(*sums).selectExpr(f"inline(array({rows}))")
 
 
-def _key(depth: int) -> Column:
+def _key(depth: int) -> str:
     """Place of the enclosing match at a depth: the start of ``ord`` up to there."""
-    return F.struct("file_rank", "block", "pos", F.slice("ord", 1, 2 + 3 * depth).alias("ord"))
-
-
-def _root_key() -> Column:
-    return _key(0)
+    return f"struct(file_rank, block, pos, slice(ord, 1, {2 + 3 * depth}))"
 
 
 # ---- limits and exits ---------------------------------------------------------------------------------
@@ -163,61 +164,72 @@ def _limit(program: Program, matches: DataFrame):
     """Apply match limits from the outside in; return what is left and the matches that end the run."""
     triggers = []
     limits: dict[int, int] = {}
-    ends: set[int] = set()
     for step in program.steps(MaxCount):
         if step.action.n:
             limits[step.node] = min(step.action.n, limits.get(step.node, step.action.n))
-    for step in program.steps(MaxCount):
-        if step.action.exit and step.action.n and step.action.n == limits[step.node]:
-            ends.add(step.node)
+    ends = {s.node for s in program.steps(MaxCount) if s.action.exit and s.action.n == limits.get(s.node)}
     for depth in sorted({program.nodes[n].depth for n in limits}):
         level = {n: count for n, count in limits.items() if program.nodes[n].depth == depth}
-        allowed = F.create_map(*[F.lit(x) for n, c in level.items() for x in (n, c)])
-        own = matches.filter(F.col("node").isin(list(level))).select("node", *PLACE)
-        ranked = analysis.running_total(own, {"_rank": F.lit(1).cast("bigint")}, ["pos", "ord"], ["node"])
-        last = ranked.filter(F.col("_rank") == allowed[F.col("node")]).drop("_rank")
+        allowed = ", ".join(f"{level.get(n.id, 0)}L" for n in program.nodes)
+        own = matches.filter(f"node IN ({_ids(level)})").select("node", *PLACE)
+        inside = "(PARTITION BY node, file_rank, block ORDER BY pos, ord)"
+        # a block cannot hold the n-th match beyond its own n-th
+        few = own.selectExpr("*", f"row_number() OVER {inside} AS _near").filter(f"_near <= {max(level.values())}")
+        ranked = running_total(few.drop("_near"), {"_rank": "1L"}, ["pos", "ord"], ["node"])
+        last = ranked.filter(f"_rank = get(array({allowed}), node)").drop("_rank")
         # at most one row per limited rule
-        cuts = last.agg(F.map_from_entries(F.collect_list(F.struct("node", _key(depth).alias("cut")))).alias("cuts"))
-        keep = F.lit(True)
-        cut_of = F.col("_cuts")
-        for node in level:
-            inside = F.col("node").isin(program.below(node))
-            cut = F.try_element_at(cut_of, F.lit(node))
-            keep = keep & (~inside | cut.isNull() | (_key(depth) <= cut))
+        cuts = last.selectExpr(f"map_from_entries(collect_list(struct(node, {_key(depth)} AS cut))) AS cuts")
+        keep = " AND ".join(
+            f"(node NOT IN ({_ids(program.below(n))}) OR try_element_at(_cuts, {n}) IS NULL "
+            f"OR {_key(depth)} <= try_element_at(_cuts, {n}))"
+            for n in level
+        )
         matches = matches.withColumn("_cuts", cuts.scalar()).filter(keep).drop("_cuts")
         if ends & set(level):
-            triggers.append(last.filter(F.col("node").isin(list(ends & set(level)))))
+            triggers.append(last.filter(f"node IN ({_ids(ends & set(level))})"))
     exits = {s.node for s in program.steps(Exit)}
     if exits:
-        triggers.append(matches.filter(F.col("node").isin(list(exits))).select("node", *PLACE))
+        triggers.append(matches.filter(f"node IN ({_ids(exits)})").select("node", *PLACE))
     return matches, reduce(DataFrame.unionByName, triggers) if triggers else None
 
 
+def _ids(numbers) -> str:
+    return ", ".join(map(str, sorted(numbers)))
+
+
 # ---- actions ------------------------------------------------------------------------------------------
 
 
-def _steps_of(matches: DataFrame, steps: Sequence[Step]) -> DataFrame:
+def _steps_of(matches: DataFrame, program: Program, steps: Sequence[Step]) -> DataFrame:
     """One row per match and step, ``ord`` extended by the place of the step."""
-    per_node: dict[int, list[Step]] = {}
-    for step in steps:
-        per_node.setdefault(step.node, []).append(step)
-    cases = None
-    for node, own in per_node.items():
-        listed = F.array(*[F.struct(F.lit(s.id).alias("step"), F.lit(s.index).cast("bigint").alias("index")) for s in own])
-        hit = F.col("node") == node
-        cases = F.when(hit, listed) if cases is None else cases.when(hit, listed)
-    rows = matches.filter(F.col("node").isin(list(per_node)))
-    return rows.select(*matches.columns, F.explode(cases).alias("_step")).withColumns(
-        {"step": F.col("_step.step"), "ord": F.concat("ord", F.array("_step.index"))}
-    ).drop("_step")
-
-
-def _by_step(steps: Sequence[Step], make) -> Column:
-    cases = None
+    chosen = {s.id for s in steps}
+    listed = []
+    for node in program.nodes:
+        own = ", ".join(f"struct({s.id} AS step, {s.index}L AS index)" for s in node.steps if s.id in chosen)
+        listed.append(f"array({own})" if own else "null")
+    kept = [f"`{c}`" for c in matches.columns if c != "ord"]
+    return matches.selectExpr("*", f"inline(get(array({', '.join(listed)}), node))").selectExpr(
+        *kept, "concat(ord, array(index)) AS ord", "step"
+    )
+
+
+def _by_step(steps: Sequence[Step], same, make) -> str:
+    """An expression that differs by step; steps for which ``same`` is equal share one."""
+    groups: dict[object, list[Step]] = {}
     for step in steps:
-        hit = F.col("step") == step.id
-        cases = F.when(hit, make(step)) if cases is None else cases.when(hit, make(step))
-    return cases
+        groups.setdefault(same(step), []).append(step)
+    if len(groups) == 1:
+        return make(steps[0])
+    cases = [f"WHEN step IN ({_ids(s.id for s in alike)}) THEN {make(alike[0])}" for alike in groups.values()]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _sink(steps: Sequence[Step]) -> str:
+    return _by_step(steps, lambda s: s.sink, lambda s: sql_text(s.sink))
+
+
+def _node_pattern(program: Program) -> str:
+    return pattern_text([n.pattern for n in program.nodes], "node")
 
 
 def _prints(program: Program, matches: DataFrame, carried: bool) -> DataFrame | None:
@@ -226,44 +238,46 @@ def _prints(program: Program, matches: DataFrame, carried: bool) -> DataFrame |
         return None
     used = set().union(*[template.variables(s.action.fmt) for s in prints])
     sets = [s for s in program.steps(Regex) if s.action.var in used]
-    readers = {s.id for s in prints if template.variables(s.action.fmt)}
+    names = sorted({s.action.var for s in sets})
     if carried and sets:
-        rows = _carry_variables(_steps_of(matches, [*sets, *prints]), sets, readers)
-        rows = rows.filter(F.col("step").isin([s.id for s in prints]))
+        readers = {s.id for s in prints if template.variables(s.action.fmt)}
+        rows = _carry_variables(_steps_of(matches, program, [*sets, *prints]), sets, names, readers)
+        rows = rows.filter(f"step IN ({_ids(s.id for s in prints)})")
     else:
-        rows = _steps_of(matches, prints)
+        rows = _steps_of(matches, program, prints)
 
-    def shown(step: Step) -> Column:
-        node = program.nodes[step.node]
+    def shown(step: Step) -> str:
         if step.action.fmt is None:
-            return F.concat("line", F.lit("\n"))
-        if carried:
-            values = {s.action.var: F.col(f"_var_{s.action.var}") for s in sets}
-        else:
-            values = _match_values(program, step)
-        return template.render(step.action.fmt, node.pattern, nested=node.depth > 0, values=values)
+            return "concat(line, char(10))"
+        values = {v: f"_var{n}" for n, v in enumerate(names)} if carried else _match_values(program, step)
+        return template.render(
+            step.action.fmt, _node_pattern(program), nested=program.nodes[step.node].depth > 0, values=values
+        )
+
+    def same(step: Step):
+        reads = not carried and template.variables(step.action.fmt)
+        return step.action.fmt, program.nodes[step.node].depth > 0, step.id if reads else None
 
-    return _output(rows, _by_step(prints, lambda s: F.lit(s.sink)), _by_step(prints, shown))
+    return _output(rows, _sink(prints), _by_step(prints, same, shown))
 
 
-def _carry_variables(rows: DataFrame, sets: Sequence[Step], readers: set[int]) -> DataFrame:
+def _carry_variables(rows: DataFrame, sets: Sequence[Step], names: Sequence[str], readers: set[int]) -> DataFrame:
     """Give every print the variables as set before it. Prints that read none stay out of the ordered pass."""
-    names = sorted({s.action.var for s in sets})
-    values = {
-        f"_var_{name}": _by_step(
-            [s for s in sets if s.action.var == name], lambda s: text.capture("line", s.action.pattern)
-        )
-        for name in names
-    }
-    taking = [s.id for s in sets] + sorted(readers)
-    ordered = analysis.carry(rows.filter(F.col("step").isin(taking)), values, ["pos", "ord"])
-    others = rows.filter(~F.col("step").isin(taking)).withColumns({n: F.lit(None).cast("string") for n in values})
+    values = {}
+    for n, name in enumerate(names):
+        cases = [
+            f"WHEN step = {s.id} THEN {text.capture('line', s.action.pattern)}" for s in sets if s.action.var == name
+        ]
+        values[f"_var{n}"] = f"CASE {' '.join(cases)} END"
+    taking = _ids({s.id for s in sets} | readers)
+    ordered = carry_last(rows.filter(f"step IN ({taking})"), values, ["pos", "ord"])
+    others = rows.filter(f"step NOT IN ({taking})").selectExpr("*", *[f"string(null) AS {n}" for n in values])
     return ordered.unionByName(others)
 
 
-def _match_values(program: Program, step: Step) -> dict[str, Column]:
+def _match_values(program: Program, step: Step) -> dict[str, str]:
     """Variables as set by the match itself and its parents, the latest first."""
-    found: dict[str, list[Column]] = {}
+    found: dict[str, list[str]] = {}
     node, before = program.nodes[step.node], step.index
     while node is not None:
         own = [s for s in node.steps if isinstance(s.action, Regex) and s.index < before]
@@ -271,105 +285,93 @@ def _match_values(program: Program, step: Step) -> dict[str, Column]:
             found.setdefault(s.action.var, []).append(text.capture("line", s.action.pattern))
         before = node.index
         node = None if node.parent is None else program.nodes[node.parent]
-    return {name: F.coalesce(*columns) for name, columns in found.items()}
+    return {name: f"coalesce({', '.join(captures)})" for name, captures in found.items()}
 
 
 def _intervals(program: Program, matches: DataFrame) -> DataFrame | None:
     steps = program.steps(Interval)
     if not steps:
         return None
-    rows = _steps_of(matches, steps).withColumn("ts", times.line_ts("line"))
+    rows = _steps_of(matches, program, steps).selectExpr(*PLACE, "step", f"{times.line_ts('line')} AS ts")
     timed = analysis.interval(rows, ["pos", "ord"], by=("step",))
-    shown = _by_step(steps, lambda s: template.fill(s.action.fmt, "time", times.duration_text("interval_us")))
-    return _output(timed, _by_step(steps, lambda s: F.lit(s.sink)), shown)
+    shown = _by_step(
+        steps, lambda s: s.action.fmt, lambda s: template.fill(s.action.fmt, "time", times.duration_text("interval_us"))
+    )
+    return _output(timed, _sink(steps), shown)
 
 
-def _counts(program: Program, matches: DataFrame) -> DataFrame | None:
-    steps = program.steps(Count)
-    if not steps:
-        return None
-    spark = matches.sparkSession
+def _count_texts(program: Program, spark, numbers: DataFrame) -> DataFrame:
+    """The texts of all counts, also of rules that never matched; ``numbers`` has ``node, n``."""
     # one row per count action of the rule set
-    listed = spark.createDataFrame([(s.id, s.node, n) for n, s in enumerate(steps)], "step int, node int, nth bigint")
-    numbers = matches.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    rows = listed.join(numbers, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    shown = _by_step(steps, lambda s: template.fill(s.action.fmt, "count", F.col("n")))
-    return rows.select(
-        *_at(F.lit(_LAST), F.lit(_LAST), F.array(F.lit(2).cast("bigint"), "nth")),
-        _by_step(steps, lambda s: F.lit(s.action.sink)).alias("sink"),
-        shown.alias("text"),
+    listed = []
+    for nth, step in enumerate(program.steps(Count)):
+        head, *tail = template.pieces(step.action.fmt, "count")
+        listed.append((step.node, nth, step.action.sink, head, tail[0] if tail else None))
+    texts = spark.createDataFrame(listed, "node int, nth bigint, sink string, head string, tail string")
+    return texts.join(numbers, "node", "left").selectExpr(
+        *_at(_LAST, _LAST, "array(2L, nth)"), "sink",
+        "concat(head, coalesce(concat(coalesce(n, 0), tail), '')) AS text",
     )
 
 
 def _context(step: Step, program: Program, matches: DataFrame, lines: DataFrame) -> DataFrame | None:
     action = step.action
-    around = [n for n in range(-action.before, action.after + 1) if n]
+    around = [f"{n}L" for n in range(-action.before, action.after + 1) if n]
     if not around:
         return None
-    wanted = _steps_of(matches, [step]).select(
-        "file_rank", "block", "pos", "ord", F.col("lineno").alias("_lineno"),
-        F.explode(F.array(*[F.lit(n).cast("bigint") for n in around])).alias("_near"),
-    ).select(
-        "file_rank", (F.col("_lineno") + F.col("_near")).alias("lineno"), F.col("block").alias("_block"),
-        F.col("pos").alias("_pos"), F.concat("ord", F.array("_near")).alias("ord"),
+    wanted = (
+        _steps_of(matches, program, [step])
+        .selectExpr(*PLACE, "lineno", f"explode(array({', '.join(around)})) AS _near")
+        .selectExpr(
+            "file_rank", "lineno + _near AS lineno", "block AS _block", "pos AS _pos", "concat(ord, array(_near)) AS ord"
+        )
     )
     columns = [c for c in lines.columns if c not in ("file_rank", "lineno", "block", "pos")]
     found = wanted.join(lines.select("file_rank", "lineno", *columns), ["file_rank", "lineno"])
-    shown = F.concat("line", F.lit("\n")) if action.fmt is None else template.render(
-        action.fmt, F.col("line"), F.lit(0).cast("bigint")
-    )
-    return found.select(
-        "file_rank", F.col("_block").alias("block"), F.col("_pos").alias("pos"), "ord",
-        F.lit(step.sink).alias("sink"), shown.alias("text"),
+    shown = "concat(line, char(10))" if action.fmt is None else template.render(action.fmt, "line", "0L")
+    return found.selectExpr(
+        "file_rank", "_block AS block", "_pos AS pos", "ord", f"{sql_text(step.sink)} AS sink", f"{shown} AS text"
     )
 
 
 def _custom(step: Step, program: Program, matches: DataFrame) -> DataFrame:
-    rows = _steps_of(matches, [step]).withColumn("pattern", F.lit(program.nodes[step.node].pattern))
+    rows = _steps_of(matches, program, [step]).selectExpr("*", f"{_node_pattern(program)} AS pattern")
     done = registered(step.action.name)(rows.drop("step", "node"), **step.action.args)
-    return _output(done, F.lit(step.sink), F.col("text").cast("string"))
+    return _output(done, sql_text(step.sink), "string(text)")
 
 
-def _output(rows: DataFrame, sink: Column, shown: Column) -> DataFrame:
-    return rows.select(*PLACE, sink.alias("sink"), shown.alias("text"))
+def _output(rows: DataFrame, sink: str, shown: str) -> DataFrame:
+    return rows.selectExpr(*PLACE, f"{sink} AS sink", f"{shown} AS text")
 
 
 # ---- start and end blocks -----------------------------------------------------------------------------
 
 
-def _at(file_rank: Column, place: Column, order: Column) -> list[Column]:
-    return [
-        file_rank.cast("bigint").alias("file_rank"), place.cast("bigint").alias("block"),
-        place.cast("bigint").alias("pos"), order.cast(_ORD).alias("ord"),
-    ]
+def _at(file_rank: str, place: str, order: str) -> list[str]:
+    return [f"{file_rank} AS file_rank", f"{place} AS block", f"{place} AS pos", f"{order} AS ord"]
 
 
 def _lifecycle(program: Program, lines: DataFrame, files: DataFrame | None, triggers) -> list[DataFrame]:
-    spark = lines.sparkSession
     parts = []
-    for name, rank in (("on_start", -1), ("on_end", _LAST)):
+    for name, place in (("on_start", _FIRST), ("on_end", _LAST)):
         for n, (sink, fmt) in enumerate(program.lifecycle[name]):
-            place = F.lit(-1 if name == "on_start" else _LAST)
             parts.append(
-                spark.range(1).select(
-                    *_at(F.lit(rank), place, F.array(F.lit(1), F.lit(n))),
-                    F.lit(sink).alias("sink"), template.render(fmt).alias("text"),
+                lines.sparkSession.range(1).selectExpr(
+                    *_at(place, place, f"array(1L, {n}L)"), f"{sql_text(sink)} AS sink", f"{template.render(fmt)} AS text"
                 )
             )
-    if files is not None:
-        read = files.select("file_rank", "path", "rotate_ts")
-        if triggers is not None:
-            # files after the end of the run are never opened
-            cut = triggers.agg(F.min("file_rank").alias("cut")).scalar()
-            read = read.withColumn("_cut", cut).filter(
-                F.col("_cut").isNull() | (F.col("file_rank") <= F.col("_cut"))
-            )
-        for name, place in (("on_file_start", -1), ("on_file_end", _LAST)):
-            for n, (sink, fmt) in enumerate(program.lifecycle[name]):
-                parts.append(
-                    read.select(
-                        *_at(F.col("file_rank"), F.lit(place), F.array(F.lit(n))),
-                        F.lit(sink).alias("sink"), template.render(fmt).alias("text"),
-                    )
+    if not (program.lifecycle["on_file_start"] or program.lifecycle["on_file_end"]):
+        return parts
+    read = files.select("file_rank", "path", "rotate_ts")
+    if triggers is not None:
+        # files after the end of the run are never opened
+        cut = triggers.selectExpr("min(file_rank) AS cut").scalar()
+        read = read.withColumn("_cut", cut).filter("_cut IS NULL OR file_rank <= _cut")
+    for name, place in (("on_file_start", _FIRST), ("on_file_end", _LAST)):
+        for n, (sink, fmt) in enumerate(program.lifecycle[name]):
+            parts.append(
+                read.selectExpr(
+                    *_at("file_rank", place, f"array({n}L)"), f"{sql_text(sink)} AS sink", f"{template.render(fmt)} AS text"
                 )
+            )
     return parts

@@ -8,23 +8,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import times
+from ..functions.text import sql_text
 
 GZ_RATIO = 20  # assumed size of a .gz file's content, as a multiple of its stored size
 
 
-def basename(path) -> Column:
-    path = F.col(path) if isinstance(path, str) else path
-    return F.substring_index(path, "/", -1)
+def basename(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def rotate_ts(path) -> Column:
+def rotate_ts(path: str) -> str:
     """Rotation time from the file name: the digits after its last dash, NULL for a live file."""
-    seconds = F.regexp_extract(basename(path), r"-(\d+)(?:\.gz)?$", 1)
-    return F.timestamp_seconds(seconds.try_cast("bigint"))
+    digits = f"regexp_extract({basename(path)}, '-([0-9]+)([.]gz)?$', 1)"
+    return f"timestamp_seconds(try_cast({digits} AS bigint))"
 
 
 def catalog(
@@ -40,28 +39,23 @@ def catalog(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select(F.col("path"), F.col("length").alias("size_bytes"))
+        .selectExpr("path", "length AS size_bytes")
     )
     return describe(files, log_name, now, first_lines)
 
 
 def describe(files: DataFrame, log_name: str, now: int | None = None, first_lines: bool = True) -> DataFrame:
     """Turn ``path, size_bytes`` rows (``first_ts`` too, where it is known) into catalog rows."""
-    known = files.select(
-        F.lit(log_name).alias("log_name"),
-        "path",
-        "size_bytes",
-        F.col("path").endswith(".gz").alias("is_gz"),
-        rotate_ts("path").alias("rotate_ts"),
-        *[c for c in files.columns if c == "first_ts"],
-    ).withColumn("is_live", F.col("rotate_ts").isNull())
-    if "first_ts" in files.columns:
-        pass
-    elif first_lines:
-        known = known.mapInPandas(_with_first_line, known.schema.simpleString()[7:-1] + ",first_line:string")
-        known = known.withColumn("first_ts", times.line_ts("first_line")).drop("first_line")
-    else:
-        known = known.withColumn("first_ts", F.lit(None).cast("timestamp"))
+    known = files.selectExpr(
+        f"{sql_text(log_name)} AS log_name", "path", "size_bytes", "path LIKE '%.gz' AS is_gz",
+        f"{rotate_ts('path')} AS rotate_ts", *[c for c in files.columns if c == "first_ts"],
+    ).selectExpr("*", "rotate_ts IS NULL AS is_live")
+    if "first_ts" not in files.columns:
+        if first_lines:
+            known = known.mapInPandas(_with_first_line, known.schema.simpleString()[7:-1] + ",first_line:string")
+            known = known.selectExpr("*", f"{times.line_ts('first_line')} AS first_ts").drop("first_line")
+        else:
+            known = known.selectExpr("*", "cast(null AS timestamp) AS first_ts")
     return with_order(known, now)
 
 
@@ -84,27 +78,28 @@ def with_order(files: DataFrame, now: int | None = None) -> DataFrame:
 
     The window spans one row per file, never file content.
     """
-    moment = F.timestamp_micros(F.lit(times.now_micros() if now is None else now))
-    keyed = files.withColumn("key_ts", F.coalesce("rotate_ts", moment))
-    ranked = F.row_number().over(Window.orderBy("key_ts", "path")) - 1
-    return keyed.withColumn("file_rank", ranked.cast("bigint"))
+    moment = times.now_micros() if now is None else now
+    return files.selectExpr("*", f"coalesce(rotate_ts, timestamp_micros({moment}L)) AS key_ts").selectExpr(
+        "*", "bigint(row_number() OVER (ORDER BY key_ts, path) - 1) AS file_rank"
+    )
 
 
 def reversed_order(files: DataFrame) -> DataFrame:
     """Newest file first; lines inside a file still ascend."""
-    ranked = F.row_number().over(Window.orderBy(F.col("key_ts").desc(), F.col("path").desc())) - 1
-    return files.withColumn("file_rank", ranked.cast("bigint"))
+    return files.drop("file_rank").selectExpr(
+        "*", "bigint(row_number() OVER (ORDER BY key_ts DESC, path DESC) - 1) AS file_rank"
+    )
 
 
 # ---- sizes and listings -------------------------------------------------------------------------------
 
 
-def size_mb(size) -> Column:
-    return F.call_function("div", size, F.lit(1_000_000).cast("bigint"))
+def size_mb(size: str) -> str:
+    return f"{size} div 1000000"
 
 
-def est_uncompressed_bytes(size, is_gz) -> Column:
-    return F.when(is_gz, size * GZ_RATIO)
+def est_uncompressed_bytes(size: str, is_gz: str) -> str:
+    return f"if({is_gz}, {size} * {GZ_RATIO}, null)"
 
 
 def list_logs(
@@ -128,48 +123,37 @@ def list_logs(
         files = files_between(files, begin, until)
     elif end is not None:
         raise ValueError("end needs a start")
-    micros = F.unix_micros("rotate_ts") - F.unix_micros("first_ts")
-    parts = times.duration_parts(micros, ("hour", "minute", "second"))
-    return files.select(
-        "file_rank", "path", "first_ts", "rotate_ts", "size_bytes",
-        parts["hour"].alias("hours"), parts["minute"].alias("minutes"), parts["second"].alias("seconds"),
-        size_mb(F.col("size_bytes")).alias("size_mb"),
-        size_mb(est_uncompressed_bytes(F.col("size_bytes"), F.col("is_gz"))).alias("est_mb"),
+    parts = times.duration_parts("unix_micros(rotate_ts) - unix_micros(first_ts)", ("hour", "minute", "second"))
+    return files.selectExpr(
+        "file_rank", "path", "first_ts", "rotate_ts", "size_bytes", *[f"{parts[p]} AS {p}s" for p in parts if p != "micro"],
+        f"{size_mb('size_bytes')} AS size_mb", f"{size_mb(est_uncompressed_bytes('size_bytes', 'is_gz'))} AS est_mb",
     ).orderBy("file_rank")
 
 
 def files_at(files: DataFrame, moment: int) -> DataFrame:
     """The files whose span holds the moment; the live file has no end."""
-    when = F.timestamp_micros(F.lit(moment))
-    return files.filter((F.col("first_ts") <= when) & (F.col("rotate_ts").isNull() | (F.col("rotate_ts") > when)))
+    when = f"timestamp_micros({moment}L)"
+    return files.filter(f"first_ts <= {when} AND (rotate_ts IS NULL OR rotate_ts > {when})")
 
 
 def files_between(files: DataFrame, start: int, end: int) -> DataFrame:
     """The files whose span overlaps ``[start, end]``."""
-    return files.filter(
-        (F.col("first_ts") <= F.timestamp_micros(F.lit(end)))
-        & (F.col("key_ts") >= F.timestamp_micros(F.lit(start)))
-    )
+    return files.filter(f"first_ts <= timestamp_micros({end}L) AND key_ts >= timestamp_micros({start}L)")
 
 
 def list_summary(files: DataFrame) -> DataFrame:
     """One row over all given files: span, duration parts, sizes and file count."""
-    size, est = F.col("size_bytes"), est_uncompressed_bytes(F.col("size_bytes"), F.col("is_gz"))
-    total = files.agg(
-        F.min("first_ts").alias("first_ts"), F.max("key_ts").alias("last_ts"),
-        F.sum(size).alias("size_bytes"), F.coalesce(F.sum(est), F.lit(0)).alias("est_bytes"),
-        F.count(F.lit(1)).alias("files"),
+    total = files.selectExpr(
+        "min(first_ts) AS first_ts", "max(key_ts) AS last_ts", "sum(size_bytes) AS size_bytes",
+        f"coalesce(sum({est_uncompressed_bytes('size_bytes', 'is_gz')}), 0) AS est_bytes", "count(1) AS files",
+    )
+    parts = times.duration_parts(
+        "unix_micros(last_ts) - unix_micros(first_ts)", ("month", "day", "hour", "minute", "second")
     )
-    micros = F.unix_micros("last_ts") - F.unix_micros("first_ts")
-    parts = times.duration_parts(micros, ("month", "day", "hour", "minute", "second"))
-    large = F.col("size_bytes") > 1_000_000_000
-    unit = F.when(large, F.lit(1_000_000_000)).otherwise(F.lit(1_000_000)).cast("bigint")
-    return total.select(
-        "first_ts", "last_ts", "size_bytes", "est_bytes", "files",
-        *[parts[p].alias(f"{p}s") for p in ("month", "day", "hour", "minute", "second")],
-        F.call_function("div", F.col("size_bytes"), unit).alias("size_shown"),
-        F.call_function("div", F.col("est_bytes"), unit).alias("est_shown"),
-        F.when(large, "GB").otherwise("MB").alias("unit"),
+    unit = "if(size_bytes > 1000000000, 1000000000, 1000000)"
+    return total.selectExpr(
+        "*", *[f"{parts[p]} AS {p}s" for p in parts if p != "micro"], f"size_bytes div {unit} AS size_shown",
+        f"est_bytes div {unit} AS est_shown", "if(size_bytes > 1000000000, 'GB', 'MB') AS unit",
     )
 
 
@@ -178,7 +162,7 @@ def list_summary(files: DataFrame) -> DataFrame:
 
 def files_from(files: DataFrame, moment: int) -> DataFrame:
     """Files that may hold lines at or after the moment, oldest first."""
-    return files.filter(F.col("key_ts") > F.timestamp_micros(F.lit(moment)))
+    return files.filter(f"key_ts > timestamp_micros({moment}L)")
 
 
 def files_until(files: DataFrame, moment: int) -> DataFrame:
@@ -187,11 +171,9 @@ def files_until(files: DataFrame, moment: int) -> DataFrame:
     Everything up to the first file that ends after the moment; no file is opened. A file known to begin
     later is dropped.
     """
-    when = F.timestamp_micros(F.lit(moment))
-    before = F.lag("key_ts").over(Window.orderBy("key_ts", "path"))
-    kept = files.withColumn("_before", before).filter(
-        (F.col("_before").isNull() | (F.col("_before") <= when))
-        & (F.col("first_ts").isNull() | (F.col("first_ts") <= when))
+    when = f"timestamp_micros({moment}L)"
+    kept = files.selectExpr("*", "lag(key_ts) OVER (ORDER BY key_ts, path) AS _before").filter(
+        f"(_before IS NULL OR _before <= {when}) AND (first_ts IS NULL OR first_ts <= {when})"
     )
     return reversed_order(kept.drop("_before"))
 

@@ -7,32 +7,30 @@ of partitioning. Operators that need order work per ``(file_rank, block)`` and c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..session import BROADCAST_BYTES, materialize
+from .catalog import rotate_ts
 
 BLOCK_ROWS = 1 << 20
 
 
 def lines_of(
-    df: DataFrame, line: Column | str = "line", file_rank: Column | str = "file_rank", pos: Column | str = "pos",
-    block_rows: int = BLOCK_ROWS, keep=(),
+    df: DataFrame, line: str = "line", file_rank: str = "file_rank", pos: str = "pos", block_rows: int = BLOCK_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Any DataFrame of text as log lines. ``pos`` must ascend inside a file; blocks are cut from it."""
-    place = _col(pos).cast("bigint")
-    return df.select(
-        _col(file_rank).cast("bigint").alias("file_rank"),
-        F.call_function("div", place, F.lit(block_rows).cast("bigint")).alias("block"),
-        place.alias("pos"),
-        _col(line).alias("line"),
-        *[_col(k) for k in keep],
-    )
+    """Any DataFrame of text as log lines, by SQL expressions.
 
-
-def _col(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    ``pos`` must ascend inside a file; blocks are ranges of it. ``keep`` are further columns to keep.
+    """
+    return df.selectExpr(
+        f"bigint({file_rank}) AS file_rank", f"bigint({pos}) div {block_rows}L AS block", f"bigint({pos}) AS pos",
+        f"{line} AS line", *keep,
+    )
 
 
 def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataFrame:
@@ -45,10 +43,8 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
         chosen = files.select("path", "file_rank", "rotate_ts")
     else:
         ranked = [(_as_uri(p), n) for n, p in enumerate(files)]
-        from .catalog import rotate_ts
-
-        chosen = spark.createDataFrame(ranked, "path string, file_rank bigint").withColumn(
-            "rotate_ts", rotate_ts("path")
+        chosen = spark.createDataFrame(ranked, "path string, file_rank bigint").selectExpr(
+            "path", "file_rank", f"{rotate_ts('path')} AS rotate_ts"
         )
     # the file list is on the driver in any case: the scan lists it there
     rows = chosen.collect()
@@ -60,24 +56,16 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", ignore_missing)
         .text([r.path for r in rows])
-        .select(
-            F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("pos"),
+        .selectExpr(
+            "value AS line", "_metadata.file_path AS path", "_metadata.file_block_start AS _start",
+            "monotonically_increasing_id() AS pos",
         )
     )
     table = spark.createDataFrame(rows, chosen.schema)
     if sum(len(r.path) + 64 for r in rows) <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    stretch = F.call_function("div", F.col("pos"), F.lit(BLOCK_ROWS).cast("bigint"))
-    return scan.join(table, "path").select(
-        "file_rank",
-        F.when(F.col("path").endswith(".gz"), stretch).otherwise(F.col("_start")).cast("bigint").alias("block"),
-        "pos",
-        "line",
-        "path",
-        "rotate_ts",
+    return scan.join(table, "path").selectExpr(
+        "file_rank", f"if(path LIKE '%.gz', pos div {BLOCK_ROWS}L, _start) AS block", "pos", "line", "path", "rotate_ts"
     )
 
 
@@ -95,34 +83,26 @@ def with_positions(lines: DataFrame, offset: bool = False) -> DataFrame:
     of each block; numbering itself is then arithmetic and moves no line. Offsets also need a running sum
     inside the blocks, which shuffles the lines by block.
     """
-    size = F.octet_length("line").cast("bigint") + 1
     unit = ["file_rank", "block"]
     counted = materialize(
-        lines.groupBy(*unit).agg(
-            F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_rows"), F.sum(size).alias("_bytes")
-        ),
+        lines.selectExpr(*unit, "pos", "octet_length(line) + 1L AS _size")
+        .groupBy(*unit)
+        .agg(F.expr("min(pos) AS _first"), F.expr("count(1) AS _rows"), F.expr("sum(_size) AS _bytes")),
         "blocks",
     )
-    before = Window.partitionBy("file_rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select(
-        *unit,
-        "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_line0"),
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
+    before = "(PARTITION BY file_rank ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    bases = counted.selectExpr(
+        *unit, "_first", f"coalesce(sum(_rows) OVER {before}, 0) AS _line0", f"coalesce(sum(_bytes) OVER {before}, 0) AS _byte0"
     )
     if counted.count() * 40 <= BROADCAST_BYTES:
         bases = F.broadcast(bases)
-    placed = lines.join(bases, unit).withColumn("lineno", F.col("_line0") + F.col("pos") - F.col("_first"))
-    extra = ["lineno"]
+    extra = ["_line0 + pos - _first AS lineno"]
     if offset:
-        inside = Window.partitionBy(*unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.withColumn(
-            "line_offset", F.col("_byte0") + F.coalesce(F.sum(size).over(inside), F.lit(0))
-        )
-        extra.append("line_offset")
-    return placed.select(*lines.columns, *extra)
+        inside = "(PARTITION BY file_rank, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        extra.append(f"_byte0 + coalesce(sum(octet_length(line) + 1L) OVER {inside}, 0) AS line_offset")
+    return lines.join(bases, unit).selectExpr(*[f"`{c}`" for c in lines.columns], *extra)
 
 
 def with_ts(lines: DataFrame) -> DataFrame:
     """Add ``ts``, the timestamp at the start of the line, NULL if it has none."""
-    return lines.withColumn("ts", times.line_ts("line"))
+    return lines.selectExpr("*", f"{times.line_ts('line')} AS ts")

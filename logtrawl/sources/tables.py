@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -13,9 +13,8 @@ from .lines import lines_of
 def document_log(spark: SparkSession, directory: str) -> DataFrame:
     """Each document is a log file, each of its lines a log line."""
     docs = spark.read.parquet(f"{directory}/documents.parquet")
-    cut = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines_of(cut, file_rank="doc_id", pos="pos", keep=["source"])
-    return lines.withColumn("lineno", F.col("pos"))
+    cut = docs.selectExpr("doc_id", "source", "posexplode(split(text, '\\n')) AS (lineno, line)")
+    return lines_of(cut, file_rank="doc_id", pos="lineno", keep=["source", "bigint(lineno) AS lineno"])
 
 
 def event_log(spark: SparkSession, directory: str) -> DataFrame:
@@ -24,54 +23,43 @@ def event_log(spark: SparkSession, directory: str) -> DataFrame:
     The event number is the place in the log, so a block is a range of numbers and never grows with a day.
     """
     events = spark.read.parquet(f"{directory}/events.parquet")
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    line = F.concat(
-        stamp, F.lit(" | "), F.upper("event_type"), F.lit(" | event_id="), F.col("event_id").cast("string"),
-        F.lit(" user_id="), F.col("user_id").cast("string"),
-        F.lit(" k="), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")),
+    return lines_of(
+        events,
+        line=(
+            "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), ' | ', upper(event_type), ' | event_id=', event_id, "
+            "' user_id=', user_id, ' k=', coalesce(get_json_object(props, '$.k'), ''))"
+        ),
+        file_rank="datediff(ts, date'1970-01-01')",
+        pos="event_id",
+        keep=["date_format(ts, 'yyyyMMdd') AS day", "unix_micros(timestamp(ts)) AS ts_us", "event_type", "event_id"],
     )
-    rows = events.select(
-        F.datediff("ts", F.lit("1970-01-01").cast("date")).alias("file_rank"),
-        F.date_format("ts", "yyyyMMdd").alias("day"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        "event_type", "event_id", line.alias("line"),
-    )
-    return lines_of(rows, pos="event_id", keep=["day", "ts_us", "event_type", "event_id"])
 
 
 def event_log_multi(spark: SparkSession, directory: str) -> DataFrame:
     """The event log with two lines without a timestamp after every error."""
-    log = event_log(spark, directory)
-    frames = F.array(
-        *[F.concat(F.lit(f"    at frame{n} event_id="), F.col("event_id").cast("string")) for n in (1, 2)]
+    frames = ", ".join(f"concat('    at frame{n} event_id=', event_id)" for n in (1, 2))
+    cut = event_log(spark, directory).selectExpr(
+        "file_rank", "day", "event_id",
+        f"posexplode(if(event_type = 'error', array(line, {frames}), array(line))) AS (sub, line)",
     )
-    texts = F.when(F.col("event_type") == "error", F.concat(F.array("line"), frames)).otherwise(F.array("line"))
-    cut = log.select("file_rank", "day", "event_id", F.posexplode(texts).alias("sub", "line"))
-    return lines_of(cut, pos=F.col("event_id") * 3 + F.col("sub"), keep=["day", "event_id"])
+    return lines_of(cut, pos="event_id * 3 + sub", keep=["day", "event_id"])
 
 
 def with_lineno(lines: DataFrame) -> DataFrame:
     """Number the lines of each file from 0, counting through its blocks."""
-    numbered = running_total(lines, {"lineno": F.lit(1).cast("bigint")}, ["pos"], across_files=False)
-    return numbered.withColumn("lineno", F.col("lineno") - 1)
+    numbered = running_total(lines, {"lineno": "1L"}, ["pos"], across_files=False)
+    return numbered.selectExpr(*[f"`{c}`" for c in lines.columns], "lineno - 1 AS lineno")
 
 
 def event_catalog(spark: SparkSession, directory: str) -> DataFrame:
-    """Catalog of the event log: one file per day, rotated at midnight, the last day still live."""
-    log = event_log(spark, directory)
-    days = log.groupBy("day", "file_rank").agg(
-        F.min("ts_us").alias("first_us"), F.sum(F.octet_length("line").cast("bigint") + 1).alias("size_bytes")
-    )
-    newest = F.max("day").over(Window.partitionBy(F.lit(0)))
-    midnight = (F.col("file_rank") + 1) * F.lit(times.DAY).cast("bigint")
-    is_live = F.col("day") == newest
-    rotated = F.concat(
-        F.lit("/logs/old/app.log-"), F.col("day"), F.lit("-"),
-        F.call_function("div", midnight, F.lit(times.SECOND).cast("bigint")).cast("string"), F.lit(".gz"),
-    )
-    return days.select(
+    """Files of the event log: one per day, rotated at midnight, the last day still live."""
+    days = event_log(spark, directory).selectExpr("day", "file_rank", "ts_us", "octet_length(line) + 1L AS bytes")
+    return days.groupBy("day", "file_rank").agg(
+        F.expr("min(ts_us) AS first_us"), F.expr("sum(bytes) AS size_bytes")
+    ).selectExpr(
         "day",
-        F.when(is_live, F.lit("/logs/app.log")).otherwise(rotated).alias("path"),
+        "if(day = max(day) OVER (PARTITION BY 1), '/logs/app.log', "
+        f"concat('/logs/old/app.log-', day, '-', (file_rank + 1) * {times.DAY // times.SECOND}L, '.gz')) AS path",
         "size_bytes",
-        F.timestamp_micros("first_us").alias("first_ts"),
+        "timestamp_micros(first_us) AS first_ts",
     )
