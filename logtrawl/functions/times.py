@@ -22,25 +22,27 @@ MONTH = 30 * DAY
 YEAR = 365 * DAY
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-_STAMP = sql_text(r"^(\d{4}-\d{2}-\d{1,2})(?: (\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)?))?")
+_STAMP = sql_text(r"^\d{4}-\d{2}-\d{1,2}( \d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?")
 
 
 def line_ts(line: str) -> str:
     """Timestamp at byte 0 of a line (``YYYY-MM-DD[ hh[:mm[:ss[.ffffff]]]]``, UTC), NULL if there is none.
 
-    The usual 26-byte form takes one cast. Every other shape goes through the pattern, which accepts missing
-    time parts and a fraction of any length.
+    The usual forms, with seconds or microseconds, take one cast. Every other shape goes through the pattern,
+    which accepts missing time parts and a fraction of any length.
     """
-    usual = f"substring({line}, 1, 26) like '____-__-__ __:__:__.______'"
-    time = f"regexp_extract({line}, {_STAMP}, 2)"
+    usual = f"left({line}, 19) like '____-__-__ __:__:__'"
+    width = f"if(substring({line}, 20, 1) = '.', 26, 19)"
+    hours = "substring_index(head, ' ', -1)"
     full = (
-        f"concat(regexp_extract({line}, {_STAMP}, 1), ' ', case when {time} = '' then '00:00:00' "
-        f"when not contains({time}, ':') then concat({time}, ':00:00') "
-        f"when substring_index({time}, ':', 2) = {time} then concat({time}, ':00') else {time} end, 'Z')"
+        "concat(substring_index(head, ' ', 1), ' ', case when not contains(head, ' ') then '00:00:00' "
+        f"when not contains(head, ':') then concat({hours}, ':00:00') "
+        f"when substring_index(head, ':', 2) = head then concat({hours}, ':00') else {hours} end, 'Z')"
     )
+    other = f"transform(array(regexp_extract({line}, {_STAMP}, 0)), head -> try_cast({full} as timestamp))[0]"
     return (
-        f"coalesce(if({usual}, try_cast(concat(substring({line}, 1, 26), 'Z') as timestamp), null), "
-        f"if(substring({line}, 5, 1) = '-', try_cast({full} as timestamp), null))"
+        f"coalesce(if({usual}, try_cast(concat(left({line}, {width}), 'Z') as timestamp), null), "
+        f"if(substring({line}, 5, 1) = '-', {other}, null))"
     )
 
 

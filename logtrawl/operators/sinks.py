@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import running_total
 
 
@@ -18,6 +19,8 @@ def output_lines(output: DataFrame) -> DataFrame:
         "file_rank", "block", "pos", "ord", "sink", "size(split(text, '\\n')) - 1 AS _last",
         "posexplode(split(text, '\\n')) AS (piece, part)",
     )
+    # counted and then joined: make the texts once
+    cut = materialize(cut, "texts")
     numbered = running_total(cut, {"out_lineno": "bigint(piece > 0)"}, ["pos", "ord", "piece"], ["sink"])
     joined = numbered.selectExpr(
         "sink", "out_lineno", "struct(file_rank, block, pos, ord, piece, part) AS _piece", "piece < _last AS _ended"

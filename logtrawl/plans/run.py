@@ -103,26 +103,45 @@ def occurrences(rules: Program | RuleSet | Sequence[Rule], lines: DataFrame) ->
     patterns = [r.pattern for r in roots]
     size = pattern_size(patterns)
     numbers = ", ".join(map(str, program.roots)) or "0"
-    rows = find(lines, patterns).selectExpr(
-        *kept, f"get(array({numbers}), pattern_id) AS node", f"array(match_pos + {size}, -{size}) AS ord", "match_pos"
+    nested = sorted({n.pattern for n in program.nodes if n.depth})
+    if nested and len(patterns) <= INLINE_PATTERNS:
+        lines = _with_places(lines.filter(text.any_of("line", patterns)), nested)
+    rows = find(lines, patterns)
+    if nested and len(patterns) > INLINE_PATTERNS:
+        rows = _with_places(rows, nested)
+    rows = rows.selectExpr(
+        *kept, *["_places"][: len(nested)], f"get(array({numbers}), pattern_id) AS node",
+        f"array(match_pos + {size}, -{size}) AS ord", "match_pos",
     )
     for depth in range(max((n.depth for n in program.nodes), default=0)):
-        rows = _open(program, depth, rows)
+        rows = _open(program, depth, rows, nested)
     idle = [str(n.id) for n in program.nodes if not n.acts()]
+    rows = rows.drop("_places")
     return rows.filter(f"node NOT IN ({', '.join(idle)})") if idle else rows
 
 
-def _open(program: Program, depth: int, rows: DataFrame) -> DataFrame:
+def _with_places(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Where the nested patterns occur, found once per line however many matches will ask for it."""
+    specs = ", ".join(map(text.pattern_spec, patterns))
+    found = f"if(contains(line, spec.text), {text.places('line', 'spec')}, null)"
+    return lines.selectExpr("*", f"transform(array({specs}), spec -> {found}) AS _places")
+
+
+def _open(program: Program, depth: int, rows: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Add to the matches of one depth the matches of their nested rules, in the same lines."""
     listed = []
     for node in program.nodes:
         own = [program.nodes[c] for c in node.children] if node.depth == depth else []
-        specs = ", ".join(f"named_struct('node', {c.id}, 'index', {c.index}L, 'spec', {text.pattern_spec(c.pattern)})" for c in own)
-        listed.append(f"array({specs})" if own else "null")
-    hit = "struct(child.node AS node, concat(ord, array(child.index, at + child.spec.size, -child.spec.size)) AS ord, at AS match_pos)"
+        fields = ", ".join(
+            f"struct({c.id} AS node, {c.index}L AS index, {patterns.index(c.pattern)} AS place, "
+            f"{text.byte_len(c.pattern)}L AS size)"
+            for c in own
+        )
+        listed.append(f"array({fields})" if own else "null")
+    hit = "struct(child.node AS node, concat(ord, array(child.index, at + child.size, -child.size)) AS ord, at AS match_pos)"
     nested = (
-        "flatten(transform(filter(_children, child -> contains(line, child.spec.text)), child -> "
-        f"transform({text.places('line', 'child.spec')}, at -> {hit})))"
+        "flatten(transform(filter(_children, child -> _places[child.place] IS NOT NULL), "
+        f"child -> transform(_places[child.place], at -> {hit})))"
     )
     own = "array(struct(node, ord, match_pos))"
     kept = [f"`{c}`" for c in rows.columns if c not in ("node", "ord", "match_pos")]

@@ -33,6 +33,12 @@ def lines_of(
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that is stored in fewer pieces than there are cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataFrame:
     """Lines of the given files: a catalog, or a list of paths taken in the given order.
 

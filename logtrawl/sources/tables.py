@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..operators.ordered import running_total
-from .lines import lines_of
+from .lines import lines_of, spread
 
 
 def document_log(spark: SparkSession, directory: str) -> DataFrame:
     """Each document is a log file, each of its lines a log line."""
-    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "source", "text"), "doc_id")
     cut = docs.selectExpr("doc_id", "source", "posexplode(split(text, '\\n')) AS (lineno, line)")
     return lines_of(cut, file_rank="doc_id", pos="lineno", keep=["source", "bigint(lineno) AS lineno"])
 
@@ -22,13 +22,14 @@ def event_log(spark: SparkSession, directory: str) -> DataFrame:
 
     The event number is the place in the log, so a block is a range of numbers and never grows with a day.
     """
-    events = spark.read.parquet(f"{directory}/events.parquet")
+    events = spread(spark.read.parquet(f"{directory}/events.parquet").drop("value"), "event_id")
+    line = (
+        "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), ' | ', upper(event_type), ' | event_id=', event_id, "
+        "' user_id=', user_id, ' k=', coalesce(get_json_object(props, '$.k'), ''))"
+    )
     return lines_of(
-        events,
-        line=(
-            "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), ' | ', upper(event_type), ' | event_id=', event_id, "
-            "' user_id=', user_id, ' k=', coalesce(get_json_object(props, '$.k'), ''))"
-        ),
+        # the text is made once: filters on a generated column are not moved before it
+        events.selectExpr("event_id", "ts", "event_type", f"explode(array({line})) AS line"),
         file_rank="datediff(ts, date'1970-01-01')",
         pos="event_id",
         keep=["date_format(ts, 'yyyyMMdd') AS day", "unix_micros(timestamp(ts)) AS ts_us", "event_type", "event_id"],

@@ -16,6 +16,7 @@ from logtrawl.operators.match import MATCH_ORDER
 from logtrawl.operators.ordered import running_total
 from logtrawl.plans.run import occurrences
 from logtrawl.sources import catalog as files
+from logtrawl.session import materialize
 from logtrawl.sources import tables
 
 EVENT_TYPES = ["| SIGNUP |", "| PURCHASE |", "| ERROR |", "| VIEW |", "| CLICK |"]
@@ -37,6 +38,7 @@ def search_occurrences(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_order(spark: SparkSession, sf: str) -> DataFrame:
     found = search(tables.document_log(spark, sf), ["nthe", "the", "he", "e"])
+    found = materialize(found.drop("line", "source"), "found")
     ranked = running_total(found, {"match_no": "1L"}, MATCH_ORDER, across_files=False)
     return ranked.selectExpr("file_rank AS doc_id", "match_no", "pattern", "lineno", "match_pos")
 
@@ -75,13 +77,13 @@ def count_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def interval_by_rule(spark: SparkSession, sf: str) -> DataFrame:
-    found = search(tables.event_log(spark, sf), EVENT_TYPES)
-    timed = analysis.interval(with_ts(found))
+    found = with_ts(search(tables.event_log(spark, sf), EVENT_TYPES)).drop("line")
+    timed = analysis.interval(materialize(found, "found"))
     return timed.selectExpr("event_id", "pattern", "interval_us", f"{times.duration_text('interval_us')} AS shown")
 
 
 def max_count(spark: SparkSession, sf: str) -> DataFrame:
-    found = search(tables.event_log(spark, sf), EVENT_TYPES)
+    found = materialize(search(tables.event_log(spark, sf), EVENT_TYPES).drop("line"), "found")
     return analysis.max_count(found, 100).select("event_id", "pattern")
 
 
