@@ -168,6 +168,8 @@ class Program:
         self._modes: dict[str, bool] = {}
         from ..operators.match import check_patterns
 
+        if not all(r.pattern for r in self.set.rules):
+            raise ValueError("a rule needs a pattern")
         kept = check_patterns([r.pattern for r in self.set.rules], on_duplicate)
         chosen = {r.pattern: r for r in self.set.rules}
         for pattern in kept:

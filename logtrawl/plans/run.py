@@ -212,6 +212,11 @@ def _limit(program: Program, matches: DataFrame):
     return matches, reduce(DataFrame.unionByName, triggers) if triggers else None
 
 
+def end_of_run(program: Program, matches: DataFrame) -> DataFrame:
+    """The matches that end the run, ``node`` and place; rules must be able to (see ``Exit``)."""
+    return _limit(program, matches)[1]
+
+
 def _ids(numbers) -> str:
     return ", ".join(map(str, sorted(numbers)))
 

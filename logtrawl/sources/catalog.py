@@ -131,14 +131,16 @@ def list_logs(
 
 
 def files_at(files: DataFrame, moment: int) -> DataFrame:
-    """The files whose span holds the moment; the live file has no end."""
+    """The files whose span holds the moment; the live file has no end, an unknown beginning excludes nothing."""
     when = f"timestamp_micros({moment}L)"
-    return files.filter(f"first_ts <= {when} AND (rotate_ts IS NULL OR rotate_ts > {when})")
+    return files.filter(f"(first_ts IS NULL OR first_ts <= {when}) AND (rotate_ts IS NULL OR rotate_ts > {when})")
 
 
 def files_between(files: DataFrame, start: int, end: int) -> DataFrame:
-    """The files whose span overlaps ``[start, end]``."""
-    return files.filter(f"first_ts <= timestamp_micros({end}L) AND key_ts >= timestamp_micros({start}L)")
+    """The files whose span overlaps ``[start, end]``; an unknown beginning excludes nothing."""
+    return files.filter(
+        f"(first_ts IS NULL OR first_ts <= timestamp_micros({end}L)) AND key_ts >= timestamp_micros({start}L)"
+    )
 
 
 def list_summary(files: DataFrame) -> DataFrame:

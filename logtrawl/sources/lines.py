@@ -48,7 +48,7 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
     if isinstance(files, DataFrame):
         chosen = files.select("path", "file_rank", "rotate_ts")
     else:
-        ranked = [(_as_uri(p), n) for n, p in enumerate(files)]
+        ranked = [(_qualified(spark, p), n) for n, p in enumerate(files)]
         chosen = spark.createDataFrame(ranked, "path string, file_rank bigint").selectExpr(
             "path", "file_rank", f"{rotate_ts('path')} AS rotate_ts"
         )
@@ -63,23 +63,29 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
         .option("ignoreMissingFiles", ignore_missing)
         .text([r.path for r in rows])
         .selectExpr(
-            "value AS line", "_metadata.file_path AS path", "_metadata.file_block_start AS _start",
+            "value AS line", f"{_plain('_metadata.file_path')} AS path", "_metadata.file_block_start AS _start",
             "monotonically_increasing_id() AS pos",
         )
     )
     table = spark.createDataFrame(rows, chosen.schema)
     if sum(len(r.path) + 64 for r in rows) <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    return scan.join(table, "path").selectExpr(
-        "file_rank", f"if(path LIKE '%.gz', pos div {BLOCK_ROWS}L, _start) AS block", "pos", "line", "path", "rotate_ts"
+    # every line has a file; one that is not in the list must not drop out unseen
+    rank = "coalesce(file_rank, raise_error(concat('not in the list of files: ', path)))"
+    return scan.join(table, "path", "left").selectExpr(
+        f"{rank} AS file_rank", f"if(path LIKE '%.gz', pos div {BLOCK_ROWS}L, _start) AS block", "pos", "line", "path", "rotate_ts"
     )
 
 
-def _as_uri(path: str) -> str:
-    """Spelling of a path as the scan reports it."""
-    if path.startswith("file:///") or "://" in path:
-        return path
-    return "file://" + path.removeprefix("file:") if path.startswith(("/", "file:")) else path
+def _plain(path: str) -> str:
+    """The scan reports paths as URIs; file listings, and people, write them plainly."""
+    return f"if(contains({path}, '%'), url_decode(replace({path}, '+', '%2B')), {path})"
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path spelled as the scan reports it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
 
 
 def with_positions(lines: DataFrame, offset: bool = False) -> DataFrame:
