@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,29 +82,46 @@ def pattern_size(patterns: Sequence[str], number: str = "pattern_id") -> str:
 
 
 def _find_by_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Many patterns in one pass over each line, whatever their number."""
-    schema = lines.schema.simpleString()[7:-1]
+    """Many patterns in one pass over each line, whatever their number.
+
+    Only the line goes to Python, and only numbers come back: pattern, occurrence and offset of each hit.
+    """
     sent = lines.sparkSession.sparkContext.broadcast(list(patterns))
+    key = uuid.uuid4().hex
 
-    def scan(batches):
-        hits_in = pattern_finder(sent.value)
+    @F.pandas_udf("pattern_id array<int>, occurrence array<bigint>, match_pos array<bigint>")
+    def hits_in(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        finder = _finder(key, sent)
         for batch in batches:
-            where, numbers, counts, places = [], [], [], []
-            for n, line in enumerate(batch["line"]):
-                if line is None:
-                    continue
-                seen: dict[int, int] = {}
-                for number, at in hits_in(line):
-                    seen[number] = seen.get(number, -1) + 1
-                    where.append(n)
-                    numbers.append(number)
-                    counts.append(seen[number])
-                    places.append(at)
-            yield batch.iloc[where].reset_index(drop=True).assign(
-                pattern_id=numbers, occurrence=counts, match_pos=places
-            )
-
-    return lines.mapInPandas(scan, f"{schema},pattern_id:int,occurrence:bigint,match_pos:bigint")
+            found = [_numbered(finder(line)) if line else ([], [], []) for line in batch]
+            yield pd.DataFrame(found, columns=["pattern_id", "occurrence", "match_pos"])
+
+    return lines.withColumn("_hits", hits_in("line")).selectExpr(
+        *[f"`{c}`" for c in lines.columns], "inline(arrays_zip(_hits.pattern_id, _hits.occurrence, _hits.match_pos))"
+    )
+
+
+def _numbered(hits) -> tuple[list[int], list[int], list[int]]:
+    seen: dict[int, int] = {}
+    numbers, counts, places = [], [], []
+    for number, at in hits:
+        count = seen.get(number, 0)
+        seen[number] = count + 1
+        numbers.append(number)
+        counts.append(count)
+        places.append(at)
+    return numbers, counts, places
+
+
+# the automaton of the latest search, kept by a Python worker between its tasks
+_latest: dict[str, object] = {}
+
+
+def _finder(key: str, sent):
+    if key not in _latest:
+        _latest.clear()
+        _latest[key] = pattern_finder(sent.value)
+    return _latest[key]
 
 
 def pattern_finder(patterns: Sequence[str]):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..session import materialize, small_side
 from ..sources.catalog import basename, files_between
 from .ordered import carry_last, running_total
 
@@ -45,15 +46,20 @@ def split_by_size(lines: DataFrame, chunk_bytes: int, path: str = "path", order:
     if chunk_bytes <= 0:
         raise ValueError("the chunk size must be positive")
     kept = [f"`{c}`" for c in lines.columns]
-    summed = running_total(lines, {"_bytes": "bigint(octet_length(line) + 1)"}, list(order))
-    cut = summed.selectExpr(*kept, f"(_bytes - 1) div {chunk_bytes}L AS chunk")
-    # one row per chunk; the first line decides the name
-    first = cut.selectExpr("chunk", f"{path} AS _path", f"struct(file_rank, block, {', '.join(order)}) AS _place")
+    size = "bigint(octet_length(line) + 1)"
+    # a chunk begins in the file that holds its first byte: one row per file tells which
+    whole = lines.selectExpr("file_rank", f"{path} AS _path", f"{size} AS _bytes").groupBy("file_rank").agg(
+        F.expr("min(_path) AS _path"), F.expr("sum(_bytes) AS _bytes"), F.expr("0L AS block")
+    )
+    ended = running_total(materialize(whole, "files"), {"_end": "_bytes"}, ["file_rank"])
+    first, last = f"(_end - _bytes + {chunk_bytes - 1}L) div {chunk_bytes}L", f"(_end - 1) div {chunk_bytes}L"
+    begun = ended.filter(f"{first} <= {last}").selectExpr("_path", f"explode(sequence({first}, {last})) AS chunk")
     base = "regexp_replace(" + basename("_path") + ", '[.]gz$', '')"
-    names = first.groupBy("chunk").agg(F.expr("min_by(_path, _place) AS _path")).selectExpr(
-        "chunk", f"concat({chunk_letters('chunk')}, '-', {base}) AS chunk_name"
+    names = begun.selectExpr("chunk", f"concat({chunk_letters('chunk')}, '-', {base}) AS chunk_name")
+    cut = running_total(lines, {"_bytes": size}, list(order)).selectExpr(
+        *kept, f"(_bytes - 1) div {chunk_bytes}L AS chunk"
     )
-    return cut.join(names, "chunk").selectExpr(*kept, "chunk", "chunk_name")
+    return cut.join(small_side(names, "chunks", 256), "chunk").selectExpr(*kept, "chunk", "chunk_name")
 
 
 def chunk_letters(chunk: str) -> str:
@@ -67,7 +73,7 @@ def context_lines(lines: DataFrame, hits: DataFrame, before: int = 0, after: int
     """The hit lines and their neighbours, each line once, marked by ``is_hit``.
 
     ``hits`` holds the lines asked for, ``lines`` all lines, both with ``file_rank`` and ``lineno``. The lines
-    meet the wanted numbers in an equal-key join; no group of lines is collected.
+    meet the wanted numbers in an equal-key join; only many wanted numbers make it shuffle the lines.
     """
     if before < 0 or after < 0:
         raise ValueError("before and after must not be negative")
@@ -79,4 +85,5 @@ def context_lines(lines: DataFrame, hits: DataFrame, before: int = 0, after: int
         .groupBy("file_rank", "lineno")
         .agg(F.expr("bool_or(is_hit) AS is_hit"))
     )
+    wanted = small_side(wanted, "wanted", 32)
     return lines.join(wanted, ["file_rank", "lineno"]).selectExpr(*[f"`{c}`" for c in lines.columns], "is_hit")

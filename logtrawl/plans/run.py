@@ -21,7 +21,7 @@ from ..functions.text import sql_text
 from ..operators import analysis
 from ..operators.match import INLINE_PATTERNS, find, pattern_size, pattern_text
 from ..operators.ordered import carry_last, running_total
-from ..session import materialize
+from ..session import materialize, small_side
 from .rules import (
     Context, Count, Custom, Exit, Interval, MaxCount, Print, Program, Regex, Rule, RuleSet, Step, registered,
 )
@@ -53,6 +53,8 @@ def run(
     carried = var_scope == "carry" and bool(program.steps(Regex))
     if carried or program.steps(Count, Interval, MaxCount, Exit, Context):
         # several passes follow: scan the text once
+        if not program.steps(Print, Regex, Interval, Context, Custom):
+            matches = matches.drop("line")
         matches = materialize(matches, "matches")
     matches, triggers = _limit(program, matches)
     if triggers is not None:
@@ -351,7 +353,8 @@ def _context(step: Step, program: Program, matches: DataFrame, lines: DataFrame)
         )
     )
     columns = [c for c in lines.columns if c not in ("file_rank", "lineno", "block", "pos")]
-    found = wanted.join(lines.select("file_rank", "lineno", *columns), ["file_rank", "lineno"])
+    wanted = small_side(wanted, "wanted", 128)
+    found = lines.select("file_rank", "lineno", *columns).join(wanted, ["file_rank", "lineno"])
     shown = "concat(line, char(10))" if action.fmt is None else template.render(action.fmt, "line", "0L")
     return found.selectExpr(
         "file_rank", "_block AS block", "_pos AS pos", "ord", f"{sql_text(step.sink)} AS sink", f"{shown} AS text"

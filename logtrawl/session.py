@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A side of a join is only ever hinted as broadcast below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -40,3 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/logtrawl/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, row_bytes: int) -> DataFrame:
+    """Write the smaller side of a join and mark it for broadcast if it is small enough, by its real row count.
+
+    Beyond the limit the join stays an ordinary one, which shuffles both sides.
+    """
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
