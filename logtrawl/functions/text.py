@@ -49,14 +49,15 @@ def all_of(line: str, patterns: Sequence[str]) -> str:
 def count_in(line: str, pattern: str) -> str:
     """Number of occurrences of a pattern in a line, overlapping ones included.
 
-    A pattern that cannot overlap itself is counted by how much shorter the line gets without it, which
-    needs no regular expression.
+    A pattern that cannot overlap itself is counted by how much shorter the line gets without it; only several
+    occurrences of one that can need a regular expression.
     """
     if not pattern:
         return "0L"
     text = sql_text(pattern)
     if can_overlap(pattern):
-        hits = f"bigint(regexp_count({line}, {sql_text(f'(?={literal_regex(pattern)})')}))"
+        regex = sql_text(f"(?={literal_regex(pattern)})")
+        hits = f"if(substring_index({line}, {text}, 2) = {line}, 1L, bigint(regexp_count({line}, {regex})))"
     else:
         hits = f"(octet_length({line}) - octet_length(replace({line}, {text}, ''))) div {byte_len(pattern)}"
     return f"if(contains({line}, {text}), {hits}, 0L)"
@@ -78,10 +79,10 @@ def pattern_spec(pattern: str, **more: int) -> str:
 def places(line: str, spec: str) -> str:
     """Byte offsets of a pattern in a line that holds it, ascending; overlapping ones included.
 
-    The line is cut where the pattern begins, and the lengths of the cuts are added up. A pattern that may
-    overlap itself is looked for without consuming it; an extra byte in front then keeps an occurrence at
-    offset 0 apart (a newline, which no pattern holds). Appending to an array copies it, so for very many
-    cuts the sums are built chunk by chunk.
+    The offset of a single occurrence is the length of what stands before it. For several, the line is cut where
+    the pattern begins, and the lengths of the cuts are added up. A pattern that may overlap itself is looked for
+    without consuming it; an extra byte in front then keeps an occurrence at offset 0 apart (a newline, which no
+    pattern holds). Appending to an array copies it, so for very many cuts the sums are built chunk by chunk.
     """
 
     def sums(parts: str, start: str) -> str:
@@ -101,8 +102,11 @@ def places(line: str, spec: str) -> str:
         f"transform(array({chunks}), chunks -> flatten(zip_with(chunks, slice({starts}, 1, size(chunks)), "
         f"(chunk, base) -> {sums('chunk', 'base')})))[0]"
     )
+    once = f"substring_index({line}, {spec}.text, 2) = {line}"
+    only = f"array(bigint(octet_length(substring_index({line}, {spec}.text, 1))))"
     cuts = f"split(if({spec}.bare, {line}, concat(char(10), {line})), {spec}.regex, -1)"
-    return f"transform(array({cuts}), cuts -> if(size(cuts) <= {_CHUNK}, {few}, {many}))[0]"
+    several = f"transform(array({cuts}), cuts -> if(size(cuts) <= {_CHUNK}, {few}, {many}))[0]"
+    return f"if({once}, {only}, {several})"
 
 
 def positions(line: str, pattern: str) -> str:
