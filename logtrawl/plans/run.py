@@ -51,7 +51,8 @@ def run(
 
     matches = occurrences(program, lines)
     carried = var_scope == "carry" and bool(program.steps(Regex))
-    if carried or program.steps(Count, Interval, MaxCount, Exit, Context):
+    readers = len(program.steps(Custom)) + bool(program.steps(Print))
+    if carried or readers > 1 or program.steps(Count, Interval, MaxCount, Exit, Context):
         # several passes follow: scan the text once
         if not program.steps(Print, Regex, Interval, Context, Custom):
             matches = matches.drop("line")
@@ -64,7 +65,7 @@ def run(
     if program.steps(Count):
         numbers = matches.groupBy("node").agg(F.expr("count(1) AS n"))
         parts.append(_count_texts(program, lines.sparkSession, numbers))
-    parts += [_context(s, program, matches, lines) for s in program.steps(Context)]
+    parts.append(_context(program, matches, lines))
     parts += [_custom(s, program, matches) for s in program.steps(Custom)]
     parts += _lifecycle(program, lines, files, triggers)
     parts = [p for p in parts if p is not None]
@@ -200,12 +201,15 @@ def _limit(program: Program, matches: DataFrame):
         last = ranked.filter(f"_rank = get(array({allowed}), node)").drop("_rank")
         # at most one row per limited rule
         cuts = last.selectExpr(f"map_from_entries(collect_list(struct(node, {_key(depth)} AS cut))) AS cuts")
-        keep = " AND ".join(
-            f"(node NOT IN ({_ids(program.below(n))}) OR try_element_at(_cuts, {n}) IS NULL "
-            f"OR {_key(depth)} <= try_element_at(_cuts, {n}))"
-            for n in level
+        # per node, the limited rule of this depth it is or is nested in
+        limited = {inner: outer for outer in level for inner in program.below(outer)}
+        outer = ", ".join(str(limited.get(n.id, "null")) for n in program.nodes)
+        cut = f"try_element_at(_cuts, get(array({outer}), node))"
+        matches = (
+            matches.withColumn("_cuts", cuts.scalar())
+            .filter(f"{cut} IS NULL OR {_key(depth)} <= {cut}")
+            .drop("_cuts")
         )
-        matches = matches.withColumn("_cuts", cuts.scalar()).filter(keep).drop("_cuts")
         if ends & set(level):
             triggers.append(last.filter(f"node IN ({_ids(ends & set(level))})"))
     exits = {s.node for s in program.steps(Exit)}
@@ -340,24 +344,34 @@ def _count_texts(program: Program, spark, numbers: DataFrame) -> DataFrame:
     )
 
 
-def _context(step: Step, program: Program, matches: DataFrame, lines: DataFrame) -> DataFrame | None:
-    action = step.action
-    around = [f"{n}L" for n in range(-action.before, action.after + 1) if n]
-    if not around:
+def _context(program: Program, matches: DataFrame, lines: DataFrame) -> DataFrame | None:
+    """The lines around matches. All context actions share one join with the lines."""
+    steps = [s for s in program.steps(Context) if s.action.before or s.action.after]
+    if not steps:
         return None
+    around = {s.id: [n for n in range(-s.action.before, s.action.after + 1) if n] for s in steps}
+    listed = [
+        f"array({', '.join(f'{n}L' for n in around[i])})" if i in around else "null" for i in range(max(around) + 1)
+    ]
     wanted = (
-        _steps_of(matches, program, [step])
-        .selectExpr(*PLACE, "lineno", f"explode(array({', '.join(around)})) AS _near")
+        _steps_of(matches, program, steps)
+        .selectExpr(*PLACE, "step", "lineno", f"explode(get(array({', '.join(listed)}), step)) AS _near")
         .selectExpr(
-            "file_rank", "lineno + _near AS lineno", "block AS _block", "pos AS _pos", "concat(ord, array(_near)) AS ord"
+            "file_rank", "lineno + _near AS lineno", "step", "block AS _block", "pos AS _pos",
+            "concat(ord, array(_near)) AS ord",
         )
     )
     columns = [c for c in lines.columns if c not in ("file_rank", "lineno", "block", "pos")]
-    wanted = small_side(wanted, "wanted", 128)
-    found = lines.select("file_rank", "lineno", *columns).join(wanted, ["file_rank", "lineno"])
-    shown = "concat(line, char(10))" if action.fmt is None else template.render(action.fmt, "line", "0L")
+    found = lines.select("file_rank", "lineno", *columns).join(
+        small_side(wanted, "wanted", 128), ["file_rank", "lineno"]
+    )
+
+    def shown(step: Step) -> str:
+        return "concat(line, char(10))" if step.action.fmt is None else template.render(step.action.fmt, "line", "0L")
+
     return found.selectExpr(
-        "file_rank", "_block AS block", "_pos AS pos", "ord", f"{sql_text(step.sink)} AS sink", f"{shown} AS text"
+        "file_rank", "_block AS block", "_pos AS pos", "ord", f"{_sink(steps)} AS sink",
+        f"{_by_step(steps, lambda s: s.action.fmt, shown)} AS text",
     )
 
 

@@ -68,6 +68,16 @@ def test_max_count_acts_exactly_n_times(lines):
     assert texts(lt.run([Rule("x", MaxCount(0), Print("a"))], table), "stdout") == ["a"] * 5
 
 
+def test_limits_at_several_depths(lines):
+    rules = [
+        Rule("x", MaxCount(3), Rule("y", MaxCount(2), Print("y"), Rule("z", MaxCount(1), Print("z"))), Print("x")),
+        Rule("w", MaxCount(1), Rule("y", Print("Y"))),
+        Rule("v", Rule("y", MaxCount(1), Print("V")), Print("v")),
+    ]
+    table = lines({0: ["x", "x y z", "w y"], 1: ["w y", "x y z y", "v y", "x y z", "v y"]})
+    assert "".join(texts(lt.run(rules, table), "stdout")) == "xyzxYyxVvv"
+
+
 def test_nested_max_count_is_shared_by_all_parents(lines):
     rules = [Rule("x", Rule("y", MaxCount(3), Print("y")), Print("x"))]
     assert texts(lt.run(rules, lines({0: ["x y y", "x y y", "x y"]})), "stdout") == ["y", "y", "x", "y", "x", "x"]
@@ -135,6 +145,16 @@ def test_context(lines):
     assert got == ["1bb\n", "3cc\n", "4dd\n", "hit\n", "hit\n"]
 
 
+def test_several_contexts(lines):
+    rules = [
+        Rule("b", Context(after=1), File("f"), Context(before=1, fmt="<${line}>")),
+        Rule("d", MaxCount(1), Context(before=2, after=9, fmt="(${line})")),
+    ]
+    got = texts(lt.run(rules, lines({0: ["a", "b", "c", "d", "e", "d"]})))
+    assert got == [("stdout", "c\n"), ("f", "<a>")] + [("stdout", f"({c})") for c in "bced"]
+    assert texts(lt.run([Rule("b", Context()), Rule("c", Print())], lines({0: ["b", "c"]}))) == [("stdout", "c\n")]
+
+
 def test_custom_action(lines):
     lt.register_action("shout", lambda matches, suffix: matches.filter("line <> 'x2'").selectExpr("*", f"upper(concat(pattern, line, '{suffix}')) AS text"))
     rules = [Rule("x", Custom("shout", {"suffix": "!\n"}), Print())]
