@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import any_of, byte_len, count_in, pattern_spec, places, sql_text
 from ..session import BROADCAST_BYTES
 
-# Up to this many patterns are tested by generated code; more go through one automaton per task.
-INLINE_PATTERNS = 64
+# Up to this many patterns are tested one by one in generated code. Beyond it one automaton per Python worker,
+# whose time does not depend on the number of patterns, is faster.
+INLINE_PATTERNS = 12
 # Patterns of a table are sent to the tasks up to this size, beyond it they are joined.
 PATTERN_BYTES = 16 * 1024 * 1024
 
@@ -36,8 +37,20 @@ def check_patterns(patterns: Sequence[str], on_duplicate: str = "error") -> list
 
 
 def search_lines(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """The lines that hold at least one pattern. The test reaches the scan as a pushed filter."""
-    return lines.filter(any_of("line", patterns))
+    """The lines that hold at least one pattern. For a few patterns the test reaches the scan as a pushed filter."""
+    usable = check_patterns(patterns, on_duplicate="last")
+    if len(usable) <= INLINE_PATTERNS:
+        return lines.filter(any_of("line", usable))
+    sent = lines.sparkSession.sparkContext.broadcast(usable)
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def any_hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _finder(key, sent)
+        for batch in batches:
+            yield pd.Series([bool(line) and next(iter(finder(line)), None) is not None for line in batch], dtype=bool)
+
+    return lines.filter(any_hit("line"))
 
 
 def search(lines: DataFrame, patterns: Sequence[str], on_duplicate: str = "error") -> DataFrame:
@@ -66,7 +79,7 @@ def find(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
         f"transform({places('line', 'spec')}, (at, n) -> "
         "struct(spec.id AS pattern_id, bigint(n) AS occurrence, at AS match_pos))))"
     )
-    found = search_lines(lines, patterns)
+    found = lines.filter(any_of("line", patterns))
     if not patterns:
         return found.selectExpr("*", "0 AS pattern_id", "0L AS occurrence", "0L AS match_pos")
     return found.selectExpr("*", f"inline({hits})")
@@ -140,7 +153,8 @@ def pattern_finder(patterns: Sequence[str]):
     machine.make_automaton()
 
     def hits_in(line: str):
-        for last, (number, back) in machine.iter(line.encode("utf-8").decode("latin-1")):
+        one_byte_each = line if line.isascii() else line.encode("utf-8").decode("latin-1")
+        for last, (number, back) in machine.iter(one_byte_each):
             yield number, last - back
 
     return hits_in
@@ -210,6 +224,18 @@ def count_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """
     if not patterns:
         return lines.sparkSession.createDataFrame([], "pattern string, n bigint")
+    if len(patterns) > INLINE_PATTERNS:
+        return _count_by_automaton(lines, patterns)
     sums = [f"coalesce(sum({count_in('line', p)}), 0) AS _{i}" for i, p in enumerate(patterns)]
     rows = ", ".join(f"struct({sql_text(p)} AS pattern, _{i} AS n)" for i, p in enumerate(patterns))
-    return search_lines(lines, patterns).selectExpr(*sums).selectExpr(f"inline(array({rows}))")
+    return lines.filter(any_of("line", patterns)).selectExpr(*sums).selectExpr(f"inline(array({rows}))")
+
+
+def _count_by_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Hits are counted in the task that finds them, then per pattern."""
+    usable = check_patterns(patterns, on_duplicate="last")
+    found = find(lines.select("line"), usable).groupBy("pattern_id").agg(F.expr("count(1) AS n"))
+    counted = found.selectExpr(f"{pattern_text(usable)} AS pattern", "n")
+    # one row per pattern asked for
+    asked = lines.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    return asked.join(counted, "pattern", "left").selectExpr("pattern", "coalesce(n, 0) AS n")

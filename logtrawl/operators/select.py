@@ -13,15 +13,19 @@ from ..sources.catalog import basename, files_between
 from .ordered import carry_last, running_total
 
 
-def time_range(lines: DataFrame, start: int, end: int) -> DataFrame:
+def time_range(lines: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Lines with a timestamp in ``[start, end]``; a line without one stays with the line before it.
 
-    Times are microseconds. Lines at the head of a file that no timestamp precedes are left out.
+    Times are microseconds; either end may be open. Lines at the head of a file that no timestamp precedes are
+    left out.
     """
-    if end <= start:
+    if start is not None and end is not None and end <= start:
         raise ValueError("the time range is empty")
     stamped = carry_last(lines, {"_at": times.line_micros("line")}, ["pos"], across_files=False)
-    return stamped.filter(f"_at BETWEEN {start}L AND {end}L").drop("_at")
+    inside = ["_at IS NOT NULL"]
+    inside += [f"_at >= {start}L"] if start is not None else []
+    inside += [f"_at <= {end}L"] if end is not None else []
+    return stamped.filter(" AND ".join(inside)).drop("_at")
 
 
 def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:

@@ -102,28 +102,33 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleSet:
-    """Top-level rules and the blocks that run at the start and end of the run and of each file."""
+    """Top-level rules and the blocks that run at the start and end of the run and of each file.
 
-    rules: Sequence[Rule]
+    A plain string among the rules prints the lines it occurs in.
+    """
+
+    rules: Sequence[Rule | str]
     on_start: Sequence = ()
     on_end: Sequence = ()
     on_file_start: Sequence = ()
     on_file_end: Sequence = ()
 
 
-_actions: dict[str, Callable[..., DataFrame]] = {}
+Action = Callable[..., DataFrame]
+_actions: dict[str, tuple[Action, Action | None]] = {}
 
 
-def register_action(name: str, action: Callable[..., DataFrame]) -> None:
-    """Add an action: ``action(matches, **args)`` returns the matches with a STRING column ``text``.
+def register_action(name: str, action: Action, at_end: Action | None = None) -> None:
+    """Add an action: ``action(matches, **args)`` returns the matches with a column ``text`` of any type.
 
     It gets one row per match with ``line``, ``pattern``, ``match_pos`` and the place of the line, and may drop
-    rows. Rows keep their place, so the output stays in order.
+    rows. Rows keep their place, so the output stays in order. ``at_end(matches, **args)`` returns rows with a
+    ``text`` for the end of the run, usually an aggregate.
     """
-    _actions[name] = action
+    _actions[name] = (action, at_end)
 
 
-def registered(name: str) -> Callable[..., DataFrame]:
+def registered(name: str) -> tuple[Action, Action | None]:
     if name not in _actions:
         raise ValueError(f"unknown action {name!r}")
     return _actions[name]
@@ -160,7 +165,7 @@ class Node:
 class Program:
     """A validated rule tree, flattened parent first."""
 
-    def __init__(self, rules: RuleSet | Sequence[Rule], on_duplicate: str = "error"):
+    def __init__(self, rules: RuleSet | Sequence[Rule | str], on_duplicate: str = "error"):
         self.set = rules if isinstance(rules, RuleSet) else RuleSet(list(rules))
         self.nodes: list[Node] = []
         self.roots: list[int] = []
@@ -168,10 +173,11 @@ class Program:
         self._modes: dict[str, bool] = {}
         from ..operators.match import check_patterns
 
-        if not all(r.pattern for r in self.set.rules):
+        listed = [Rule(r, Print()) if isinstance(r, str) else r for r in self.set.rules]
+        if not all(r.pattern for r in listed):
             raise ValueError("a rule needs a pattern")
-        kept = check_patterns([r.pattern for r in self.set.rules], on_duplicate)
-        chosen = {r.pattern: r for r in self.set.rules}
+        kept = check_patterns([r.pattern for r in listed], on_duplicate)
+        chosen = {r.pattern: r for r in listed}
         for pattern in kept:
             self.roots.append(self._add(chosen[pattern], None, 0, 0, ()))
         self.lifecycle = {

@@ -32,7 +32,7 @@ _ROOT_KEY = "struct(file_rank, block, pos, slice(ord, 1, 2))"
 
 
 def run(
-    rules: RuleSet | Sequence[Rule], lines: DataFrame, files: DataFrame | None = None, var_scope: str = "carry",
+    rules: RuleSet | Sequence[Rule | str], lines: DataFrame, files: DataFrame | None = None, var_scope: str = "carry",
     on_duplicate: str = "error",
 ) -> DataFrame:
     """Run rules over lines.
@@ -51,7 +51,7 @@ def run(
 
     matches = occurrences(program, lines)
     carried = var_scope == "carry" and bool(program.steps(Regex))
-    readers = len(program.steps(Custom)) + bool(program.steps(Print))
+    readers = 2 * len(program.steps(Custom)) + bool(program.steps(Print))
     if carried or readers > 1 or program.steps(Count, Interval, MaxCount, Exit, Context):
         # several passes follow: scan the text once
         if not program.steps(Print, Regex, Interval, Context, Custom):
@@ -334,9 +334,9 @@ def _count_texts(program: Program, spark, numbers: DataFrame) -> DataFrame:
     """The texts of all counts, also of rules that never matched; ``numbers`` has ``node, n``."""
     # one row per count action of the rule set
     listed = []
-    for nth, step in enumerate(program.steps(Count)):
+    for step in program.steps(Count):
         head, *tail = template.pieces(step.action.fmt, "count")
-        listed.append((step.node, nth, step.action.sink, head, tail[0] if tail else None))
+        listed.append((step.node, step.id, step.action.sink, head, tail[0] if tail else None))
     texts = spark.createDataFrame(listed, "node int, nth bigint, sink string, head string, tail string")
     return texts.join(numbers, "node", "left").selectExpr(
         *_at(_LAST, _LAST, "array(2L, nth)"), "sink",
@@ -377,8 +377,15 @@ def _context(program: Program, matches: DataFrame, lines: DataFrame) -> DataFram
 
 def _custom(step: Step, program: Program, matches: DataFrame) -> DataFrame:
     rows = _steps_of(matches, program, [step]).selectExpr("*", f"{_node_pattern(program)} AS pattern")
-    done = registered(step.action.name)(rows.drop("step", "node"), **step.action.args)
-    return _output(done, sql_text(step.sink), "string(text)")
+    rows = rows.drop("step", "node")
+    action, at_end = registered(step.action.name)
+    printed = _output(action(rows, **step.action.args), sql_text(step.sink), "string(text)")
+    if at_end is None:
+        return printed
+    last = at_end(rows, **step.action.args).selectExpr(
+        *_at(_LAST, _LAST, f"array(2L, {step.id}L)"), "'stdout' AS sink", "string(text) AS text"
+    )
+    return printed.unionByName(last)
 
 
 def _output(rows: DataFrame, sink: str, shown: str) -> DataFrame:

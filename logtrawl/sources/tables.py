@@ -32,7 +32,7 @@ def event_log(spark: SparkSession, directory: str) -> DataFrame:
         events.selectExpr("event_id", "ts", "event_type", f"explode(array({line})) AS line"),
         file_rank="datediff(ts, date'1970-01-01')",
         pos="event_id",
-        keep=["date_format(ts, 'yyyyMMdd') AS day", "unix_micros(timestamp(ts)) AS ts_us", "event_type", "event_id"],
+        keep=["date_format(ts, 'yyyyMMdd') AS day", "unix_micros(timestamp(concat(ts, 'Z'))) AS ts_us", "event_type", "event_id"],
     )
 
 

@@ -177,6 +177,10 @@ def test_time_range_over_block_edges(spark, tmp_path, small_splits):
     start, end = times.stamp_span("2020-09-17 10:07:00")[0], times.stamp_span("2020-09-17 10:23:00")[0]
     got = [r.line for r in lt.time_range(lines, start, end).orderBy("block", "pos").collect()]
     assert got == texts[texts.index("2020-09-17 10:07:00 event 7"): texts.index("2020-09-17 10:24:00 event 24")]
+    got = [r.line for r in lt.time_range(lines, start=end).orderBy("block", "pos").collect()]
+    assert got == texts[texts.index("2020-09-17 10:23:00 event 23"):]
+    got = [r.line for r in lt.time_range(lines, end=start).orderBy("block", "pos").collect()]
+    assert got == texts[1 : texts.index("2020-09-17 10:08:00 event 8")]
     with pytest.raises(ValueError):
         lt.time_range(lines, start, start)
 

@@ -76,6 +76,10 @@ def test_three_ways_agree(spark, lines, monkeypatch):
     assert len(patterns) > match.INLINE_PATTERNS
     want = expected(files, patterns)
     assert found(search(lines(files), patterns)) == want
+    counts = {r.pattern: r.n for r in count_patterns(lines(files), [*patterns, "never", ""]).collect()}
+    assert counts == {p: sum(w[2] == p for w in want) for p in [*patterns, "never", ""]}
+    rows = {(r.file_rank, r.pos) for r in search_lines(lines(files), [*patterns, ""]).collect()}
+    assert rows == {w[:2] for w in want}
     table = spark.createDataFrame([(p,) for p in [*patterns, patterns[0], ""]] + [(None,)], "pattern string")
     assert found(search_table(lines(files), table)) == want
     monkeypatch.setattr(match, "PATTERN_BYTES", 0)

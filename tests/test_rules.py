@@ -161,6 +161,19 @@ def test_custom_action(lines):
     assert texts(lt.run(rules, lines({0: ["x1", "x2"]})), "stdout") == ["XX1!\n", "x1\n", "x2\n"]
 
 
+def test_custom_action_at_end(lines):
+    def total(matches, **_):
+        return matches.selectExpr("concat(count(1), ' in ', count(distinct line)) AS text")
+
+    lt.register_action("size", lambda matches: matches.selectExpr("*", "length(line) AS text"), at_end=total)
+    rules = [Rule("x", Count("${count},"), Custom("size")), Rule("n", Count("${count};"))]
+    assert texts(lt.run(rules, lines({0: ["x x", "xyz"]})), "stdout") == ["3", "3", "3", "3,", "3 in 2", "0;"]
+
+
+def test_plain_strings_print(lines):
+    assert texts(lt.run([Rule("a", Print("A")), "b"], lines({0: ["b a", "b"]})), "stdout") == ["b a\n", "A", "b\n"]
+
+
 def test_output_lines_and_sinks(spark, lines, tmp_path):
     rules = [
         Rule("x", Rule("y", Print("Y ")), File("f"), Print("${lineno}"), File(stdout=True), Print()),
