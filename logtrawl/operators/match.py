@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, byte_len, count_in, pattern_spec, places, sql_text
-from ..session import BROADCAST_BYTES
 
 # Up to this many patterns are tested one by one in generated code. Beyond it one automaton per Python worker,
 # whose time does not depend on the number of patterns, is faster.

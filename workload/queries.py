@@ -38,7 +38,6 @@ def search_occurrences(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_order(spark: SparkSession, sf: str) -> DataFrame:
     found = search(tables.document_log(spark, sf), ["nthe", "the", "he", "e"])
-    found = materialize(found.drop("line", "source"), "found")
     ranked = running_total(found, {"match_no": "1L"}, MATCH_ORDER, across_files=False)
     return ranked.selectExpr("file_rank AS doc_id", "match_no", "pattern", "lineno", "match_pos")
 
@@ -101,7 +100,8 @@ def max_count_exit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_max_count(spark: SparkSession, sf: str) -> DataFrame:
-    rules = [Rule("| ERROR |", MaxCount(200), Rule("user_id=1", MaxCount(30), Print("${match/ } ${lineno}\\n"), Count("${count}")))]
+    inner = Rule("user_id=1", MaxCount(30), Print("${match/ } ${lineno}\\n"), Count("${count}"))
+    rules = [Rule("| ERROR |", MaxCount(200), inner)]
     return run(rules, tables.with_lineno(tables.event_log(spark, sf))).select("file_rank", "text")
 
 
@@ -359,7 +359,8 @@ def custom_action(spark: SparkSession, sf: str) -> DataFrame:
 
 def many_rules(spark: SparkSession, sf: str) -> DataFrame:
     """More patterns than are tested one by one, with counts and nested rules."""
-    rules = [Rule(f"user_id={n} ", Count(f"{n}: ${{count}}\\n"), Rule("| ERROR |", Print("${match} ${line:,10}\\n"))) for n in range(100)]
+    error = Rule("| ERROR |", Print("${match} ${line:,10}\\n"))
+    rules = [Rule(f"user_id={n} ", Count(f"{n}: ${{count}}\\n"), error) for n in range(100)]
     return run(rules, tables.event_log(spark, sf)).select("file_rank", "text")
 
 
