@@ -18,8 +18,8 @@ from functools import cache
 import numpy as np
 import pandas as pd
 
-CHUNK = 3_000_000
-WORDS = 1_000_000
+CHUNK = 2_000_000
+WORDS = 700_000
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
 #: a place where a pre-token always ends: between a character and a blank with a letter behind it
 _CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")

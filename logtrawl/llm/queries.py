@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shards, simple8b, token_text
+from . import packing, pii, secrets, shards, simple8b, token_text
 from .common import byte_bpe_path, documents
 
 
@@ -12,10 +12,18 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(documents(spark, sf_dir), byte_bpe_path(), end_id=2)
 
 
+def op4_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).drop("live", "text_key")
+
+
 def op7_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), byte_bpe_path(), end_id=0, window=1024)
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op9_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_text.round_trip_digests(documents(spark, sf_dir), byte_bpe_path())
 
@@ -24,6 +32,6 @@ def op10_byte_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(documents(spark, sf_dir), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op3_simple8b, op7_sum_of_squares, op9_pair_index, op10_byte_prefix)}
+QUERIES = {f.__name__: f for f in (op3_simple8b, op4_ownership, op7_sum_of_squares, op8_weak_supervision, op9_pair_index, op10_byte_prefix)}
 
 ORACLE: dict[str, str] = {}
