@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, secrets, shards, simple8b, token_text
-from .common import byte_bpe_path, documents
+from . import exact_top, packing, pii, prefix_forest, secrets, shards, signature_join, simple8b, token_text, toxicity
+from .common import byte_bpe_path, documents, embeddings
+
+
+HELD_OUT = "coalesce(crc32(cast(cast({0} as string) as binary)) % 4 = 2, false)"
+
+
+def op1_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score(docs, labels, keep="not " + HELD_OUT.format("id"))
+    return scored.select("doc_id", F.expr(HELD_OUT.format("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op2_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top.exact_top(embeddings(spark, sf_dir), k=5, every=50)
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +31,14 @@ def op4_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("live", "text_key")
 
 
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.forest_search(embeddings(spark, sf_dir), k=20, every=20)
+
+
+def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.linked_groups(documents(spark, sf_dir))
+
+
 def op7_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), byte_bpe_path(), end_id=0, window=1024)
 
@@ -32,6 +55,6 @@ def op10_byte_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(documents(spark, sf_dir), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op3_simple8b, op4_ownership, op7_sum_of_squares, op8_weak_supervision, op9_pair_index, op10_byte_prefix)}
+QUERIES = {f.__name__: f for f in (op1_clause_grammar, op2_no_random_access, op3_simple8b, op4_ownership, op5_prefix_forest, op6_signature_trees, op7_sum_of_squares, op8_weak_supervision, op9_pair_index, op10_byte_prefix)}
 
 ORACLE: dict[str, str] = {}
