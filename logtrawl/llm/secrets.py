@@ -97,20 +97,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     )
 
 
-def masked(docs: DataFrame, text_col: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
-    """``docs`` with the live-looking values in their texts replaced by ``MASK``; all rows and all else stay.
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "lang", length_col: str | None = None) -> DataFrame:
+    """``docs`` with the live-looking values in their texts replaced by ``MASK``; all rows and all else stay, but for
+    ``length_col``, the length of the text.
 
     Live hashes belong to a text wherever it stands, so they come back by the hash of the text."""
-    live = scan(docs.withColumn(text_col, F.col(text_col)), text_col, text_col, owner, repository).filter("n_live > 0")
-    live = live.select(F.col("text_key").alias("_key"), F.explode("live").alias("_h")).distinct().groupBy("_key").agg(F.collect_set("_h").alias("_live"))
-    live = staged(live, "secret-live")
-    out = docs.withColumn("_key", F.xxhash64(whole_text(text_col))).join(live, "_key", "left")
-    text = F.col(text_col)
+    live = scan(docs, id_col, text_col, owner, repository).filter("n_live > 0")
+    live = live.select(F.col("text_key").alias("_secret_key"), F.explode("live").alias("_secret_hash")).distinct()
+    live = staged(live.groupBy("_secret_key").agg(F.collect_set("_secret_hash").alias("_secret_live")), "secret-live")
+    keyed = docs.withColumn("_secret_key", F.xxhash64(whole_text(text_col)))
+    out = keyed.join(live, "_secret_key", "left").withColumn("_secret_text", F.col(text_col))
     for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
-        out = out.withColumn("_cut", F.expr(f"if(_live is null, null, split(_text, {literal(pattern)}, -1))") if kind != "assign" else F.when(F.col("_live").isNotNull(), F.split(text, F.lit(pattern), -1)))
-        source = "_text" if kind != "assign" else f"`{text_col}`"
         value = _value(kind).replace("s.value", "m")
-        swap = f"if(array_contains(_live, xxhash64({value})), concat(left(m, char_length(m) - char_length({value})), '{MASK}'), m)"
-        again = f"concat(element_at(_cut, 1), array_join(zip_with(slice(_cut, 2, size(_cut)), regexp_extract_all({source}, {literal(pattern)}, 0), (g, m) -> concat({swap}, g)), ''))"
-        out = out.withColumn("_text", F.expr(f"if(_live is null, {source}, {again})"))
-    return out.withColumn(text_col, F.col("_text")).select(*docs.columns)
+        swap = f"if(array_contains(_secret_live, xxhash64({value})), concat(left(m, char_length(m) - char_length({value})), '{MASK}'), m)"
+        out = out.withColumn("_secret_cut", F.expr(f"if(_secret_live is null, null, split(_secret_text, {literal(pattern)}, -1))"))
+        hits = f"regexp_extract_all(_secret_text, {literal(pattern)}, 0)"
+        again = f"concat(element_at(_secret_cut, 1), array_join(zip_with(slice(_secret_cut, 2, size(_secret_cut)), {hits}, (g, m) -> concat({swap}, g)), ''))"
+        out = out.withColumn("_secret_text", F.expr(f"if(_secret_live is null, _secret_text, {again})"))
+    names = {text_col: "_secret_text"} | ({length_col: f"if(_secret_live is null, `{length_col}`, char_length(_secret_text))"} if length_col else {})
+    return out.select(*[F.expr(names[c]).cast(docs.schema[c].dataType).alias(c) if c in names else F.col(c) for c in docs.columns])

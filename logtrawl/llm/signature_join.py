@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, whole_text
@@ -268,7 +268,7 @@ def _children(i: np.ndarray, one: Tree, level: int, j: np.ndarray, other: Tree)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, node`` of every row, and on some rows ``heavy``: shingles with their counts that a batch repeats."""
+    """``doc_id, text_key, n, node`` of every row, and on some rows ``heavy``: shingles with their counts that a batch repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,9 +282,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 tokens, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
                 often = count > 1
                 heavy[0] = np.stack([tokens[often], count[often].astype(np.uint64)]).astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), pa.array(heavy, pa.binary())], ["doc_id", "n", "node", "heavy"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(node), pa.array(heavy, pa.binary())], ["doc_id", "text_key", "n", "node", "heavy"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, heavy binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, heavy binary")
 
 
 def _hot(sets: DataFrame) -> np.ndarray:
@@ -340,7 +340,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
                 rows.append((int(target[own[0]]), b"".join(x.tobytes() for x in (head, all_nodes[used], all_sizes[used], tokens[own], local.astype(np.uint32)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["target", "packed"])
 
-    return docs.select("text").mapInArrow(run, "target long, packed binary")
+    return docs.mapInArrow(run, "target long, packed binary")
 
 
 def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame:
@@ -417,7 +417,7 @@ def _token_rows(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
                     found[node] = tokens.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens binary")
+    return docs.mapInArrow(run, "node long, tokens binary")
 
 
 def _stars(members: DataFrame, tokens: DataFrame, need: int, of: int) -> DataFrame:
@@ -476,25 +476,42 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.selectExpr("node", "next as label")
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: linked rows have the smallest id of all that they reach.
-
-    Only A-Z are put in lower case; words end at blanks and control white space. Texts that are null or without words have no shingles and are linked with
-    nothing, not even each other. Rows with equal texts are linked; rows that share an id are rows of their own, and null ids
-    are never a component's name unless no row of it has another."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, need: int, of: int) -> DataFrame:
+    """``doc_id, text_key, n, label, first`` of every row with words: its component, and the smallest id there."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.xxhash64(whole_text(text_col)).alias("text_key"))
     sets = staged(_sets(docs, size), "join-sets")
     hot = _hot(sets)
     total = sets.agg(F.sum("n")).first()[0] or 0
     targets = max(1, -(-int(total * (of - need) / of) // TARGET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    members = staged(_members(_prefixes(docs, hot, targets, size, need, of), targets, need, of), "join-members")
-    tokens = _token_rows(docs, _bitset(members), size)
+    members = staged(_members(_prefixes(docs.select("text"), hot, targets, size, need, of), targets, need, of), "join-members")
+    tokens = _token_rows(docs.select("text"), _bitset(members), size)
     stars = staged(_stars(members, tokens, need, of), "join-stars")
-    labels = components(stars)
     firsts = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
-    names = staged(firsts.join(names, "label").select("node", "component_id"), "join-names")
-    alone = sets.filter("n = 0").selectExpr("doc_id", "n as n_shingles", "doc_id as component_id")
-    named = sets.filter("n > 0").select("doc_id", "n", "node").join(names, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(alone)
+    firsts = firsts.join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = firsts.groupBy("label").agg(F.min("first").alias("first"))
+    names = staged(firsts.select("node", "label").join(names, "label"), "join-names")
+    return sets.select("doc_id", "text_key", "n", "node").join(names, "node", "left").drop("node")
+
+
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: linked rows have the smallest id of all that they reach.
+
+    Only A-Z are put in lower case; words end at blanks and control white space. Texts that are null or without words have no shingles and are linked with
+    nothing, not even each other. Rows with equal texts are linked; rows that share an id are rows of their own, and null ids
+    are never a component's name unless no row of it has another."""
+    found = _grouped(docs, id_col, text_col, size, need, of)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n = 0, doc_id, first)").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked rows the one with the smallest id stays (null
+    ids last, then by a hash of the text; of repeated rows one). Rows without words all stay."""
+    found = _grouped(docs, id_col, text_col, size, need, of).filter("n > 0")
+    kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("kept"))
+    kept = staged(kept.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key")), "join-kept")
+    words = whole_text(text_col).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(words).withColumn("_own_key", F.xxhash64(whole_text(text_col)))
+    stay = keyed.join(kept, (F.col("_own_key") == F.col("_kept_key")) & F.col(id_col).eqNullSafe(F.col("_kept_id")))
+    first = F.row_number().over(Window.partitionBy("_own_key", id_col).orderBy(F.lit(0)))
+    stay = stay.withColumn("_copy", first).filter("_copy = 1").select(*docs.columns)
+    return stay.unionByName(docs.filter(~words))

@@ -194,7 +194,7 @@ def fit(features: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> np.ndarr
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "true") -> DataFrame:
-    """``docs`` with the columns ``_score`` and ``_predicted``; ``keep`` says in SQL which label rows (by ``id``) may be learned from."""
+    """``docs`` with the columns ``_toxic_score`` and ``_toxic_predicted``; ``keep`` says in SQL which label rows (by ``id``) may be learned from."""
     rows = staged(_labelled(docs, labels, id_col, text_col, keep), "toxic-rows")
     insults = learn_insults(rows)
     names = ["f0", "f1", "f2", "f3", "f4"]
@@ -216,5 +216,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             p = 1 / (1 + np.exp(-np.clip(found @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_toxic_score", T.DoubleType()), T.StructField("_toxic_predicted", T.IntegerType())])
     return docs.mapInArrow(judge, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "true") -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``THRESHOLD``."""
+    return score(docs, labels, id_col, text_col, keep).filter("_toxic_predicted = 0").select(*docs.columns)
