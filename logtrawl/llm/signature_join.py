@@ -34,6 +34,7 @@ TARGET_TOKENS = 1_000_000  # prefix tokens of one target
 CHUNK_TOKENS = 1_000_000  # shingles in one chunk of a group
 CHUNK_NODES = 1024
 LEAF = 8
+MORE = 16  # a prefix has one token more for so many shingles
 FILTER_BITS = 1 << 23
 _ODD, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -316,7 +317,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
                     continue
                 seen.add(node)
                 n = len(tokens)
-                length = n - -(-need * n // of) + 1
+                length = n - -(-need * n // of) + 1 + n // MORE
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     rank = np.where(known[at] == tokens, place[at] + 1, 0)
@@ -344,7 +345,12 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
 
 
 def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame:
-    """``anchor, node, n``: the nodes that share a prefix token, under the smallest of them (with itself)."""
+    """``anchor, node, n``: the nodes that share a prefix token, under the smallest of them (with itself).
+
+    Two nodes that meet alone must do so at as many tokens as their lengthened prefixes guarantee for a link. Where
+    three or more meet, one common token is enough."""
+
+    names = ["anchor", "node", "n", "anchor_n", "alone"]
 
     def groups(packed: list[bytes]) -> pa.RecordBatch:
         tokens, nodes, sizes = [], [], []
@@ -366,10 +372,16 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame
         begins[1:] = (token[1:] != token[:-1]) | (of * n[:-1] < need * n[1:])
         run = np.cumsum(begins) - 1
         starts = np.flatnonzero(begins)
-        many = np.diff(np.concatenate([starts, [len(token)]]))[run] > 1
-        anchor = np.minimum.reduceat(node, starts)[run] if len(starts) else node
-        rows = np.unique(np.stack([anchor[many], node[many], n[many]], axis=1), axis=0) if many.any() else np.empty((0, 3), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], ["anchor", "node", "n"])
+        if not len(starts):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
+        length = np.diff(np.concatenate([starts, [len(token)]]))[run]
+        lowest = starts + [int(np.argmin(node[a:b])) if b - a > 1 else 0 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True)]
+        anchor = lowest[run]
+        keep = (length > 1) & (anchor != np.arange(len(token)))
+        rows = np.stack([node[anchor], node, n, n[anchor], length == 2], axis=1)[keep]
+        rows, times = np.unique(rows, axis=0, return_counts=True)
+        rows[:, 4] *= times
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -384,7 +396,10 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame
             yield groups(held)
 
     dealt = prefixes.repartition(targets, "target").sortWithinPartitions("target")
-    return dealt.mapInArrow(run, "anchor long, node long, n long").distinct()
+    met = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("anchor", "node", "n", "anchor_n")
+    met = met.agg(F.sum("alone").alias("alone"), F.min("alone").alias("least"))
+    met = staged(met.filter(f"least = 0 or alone >= 1 + floor(least(n, anchor_n) / {MORE})"), "join-met")
+    return met.select("anchor", "node", "n").union(met.select("anchor", F.col("anchor").alias("node"), F.col("anchor_n").alias("n")).distinct())
 
 
 def _bitset(members: DataFrame) -> np.ndarray:
