@@ -29,6 +29,7 @@ from .common import staged, whole_text
 WORDS = 5
 NEED, OF = 75, 100  # a link needs NEED * union <= OF * intersection
 PIECE = 4 << 20  # bytes of text worked on at once
+HELD = 2_000_000  # shingles held before they are passed on
 HOT = 200_000  # shingles with a place of their own in the common order; a matter of speed only
 TARGET_TOKENS = 1_000_000  # prefix tokens of one target
 CHUNK_TOKENS = 1_000_000  # shingles in one chunk of a group
@@ -159,17 +160,14 @@ def linked(common: int, a: int, b: int, need: int = NEED, of: int = OF) -> bool:
 
 
 class Tree:
-    """A signature tree over sorted token sets. ``rows`` at each level: OR bitmaps, sizes from and to, the most tokens a set
-    has beyond its bits, and the first child; level 0 has the sets themselves."""
-
-    def __init__(self, sets: list[np.ndarray], words: int):
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        bits = np.zeros((len(sets), words), np.uint64)
-        for row, i in enumerate(self.order):
-            place = sets[i] % np.uint64(words * 64)
-            np.bitwise_or.at(bits[row], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-        size = np.array([len(sets[i]) for i in self.order])
+    """A signature tree over token sets. At each level: OR bitmaps, sizes from and to, and the most tokens a set has beyond
+    its bits; level 0 has the sets themselves, in ``order``."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, firsts: np.ndarray):
+        order = np.lexsort((firsts, size))
+        bits, size = bits[order], size[order]
         loss = size - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        self.order = order.tolist()
         self.levels = [(bits, size, size, loss)]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, loss = self.levels[-1]
@@ -177,6 +175,39 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(loss, at)))
 
 
+def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    """One bit for each token, ``words`` being a power of two."""
+    out = np.zeros(words, np.uint64)
+    place = tokens % np.uint64(words * 64)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def _width(n: int) -> int:
+    """Words of the bitmap of a set of this size: four bits a token, as a power of two."""
+    return 1 << max(0, int(4 * n - 1).bit_length() - 6)
+
+
+def _tree_of_sets(sets: list[np.ndarray], words: int) -> Tree:
+    return Tree(np.stack([bitmap(x, words) for x in sets]), np.array([len(x) for x in sets]), np.array([x[0] for x in sets], np.uint64))
+
+
+def _descend(one: Tree, other: Tree, same: bool, stop: int, need: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal from both roots: the pairs at level ``stop`` that may hold a link."""
+    level = max(len(one.levels), len(other.levels)) - 1
+    top = lambda tree, n: tree.levels[min(n, len(tree.levels) - 1)]
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while True:
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        keep = _open(top(one, level), top(other, level), i, j, need, of)
+        i, j = i[keep], j[keep]
+        if level <= stop:
+            return i, j
+        level -= 1
+        i, j = _children(i, one, level, j, other)
+
+
 def _open(one, other, i: np.ndarray, j: np.ndarray, need: int, of: int) -> np.ndarray:
     """Which pairs of tree nodes may hold a link: by sizes, then by the most tokens their bits leave in common."""
     low, high = np.minimum(one[1][i], other[1][j]), np.maximum(one[1][i], other[1][j])
@@ -216,23 +247,12 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None = None, nee
     if len(sets) == 2:
         compare(0, 1)
     elif len(sets) > 2:
-        words = 1 << max(0, int(max(map(len, sets)) * 2 - 1).bit_length() - 6)
-        words = min(words, 1024)
-        one = Tree(left, words)
-        other = one if right is None else Tree(right, words)
+        words = min(_width(max(map(len, sets))), 1024)
+        one = _tree_of_sets(left, words)
+        other = one if right is None else _tree_of_sets(right, words)
         shift = 0 if right is None else len(left)
-        level = max(len(one.levels), len(other.levels)) - 1
-        top = lambda tree, n: tree.levels[min(n, len(tree.levels) - 1)]
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(top(one, level)[0])), np.arange(len(top(other, level)[0]))))
-        while True:
-            if right is None:
-                i, j = i[i <= j], j[i <= j]
-            keep = _open(top(one, level), top(other, level), i, j, need, of)
-            i, j = i[keep], j[keep]
-            if level <= 1:
-                break
-            level -= 1
-            i, j = _children(i, one, level, j, other)
+        level = min(1, max(len(one.levels), len(other.levels)) - 1)
+        i, j = _descend(one, other, right is None, level, need, of)
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             # a pair of leaves; all in one component already needs no look inside
             rows = range(a * LEAF, min(a * LEAF + LEAF, len(left))) if level == 1 and len(one.levels) > 1 else [a]
@@ -249,6 +269,35 @@ def tree_join(left: list[np.ndarray], right: list[np.ndarray] | None = None, nee
     return np.array([root(x) for x in range(len(sets))])
 
 
+def may_link(sizes: np.ndarray, bitmaps: list[np.ndarray], side: np.ndarray | None = None, need: int = NEED, of: int = OF) -> np.ndarray:
+    """Which sets may link with any other, by the dual traversal of trees over their bitmaps alone; with ``side``, only
+    pairs of both sides count. Sets whose bitmaps differ in width by more than one doubling differ too much in size."""
+    found = np.zeros(len(sizes), bool)
+    width = np.array([len(b) for b in bitmaps])
+
+    def tree(at: np.ndarray, words: int) -> Tree:
+        rows = [b if len(b) == words else b[:words] | b[words:] for b in (bitmaps[i] for i in at.tolist())]
+        return Tree(np.stack(rows), sizes[at], np.array([r[0] for r in rows], np.uint64))
+
+    sides = [np.ones(len(sizes), bool)] * 2 if side is None else [side, ~side]
+    for words in np.unique(width).tolist():
+        for first, second in ((words, words), (words, 2 * words), (2 * words, words)):
+            if side is None and first > second:
+                continue
+            a, b = (np.flatnonzero((width == w) & s) for w, s in ((first, sides[0]), (second, sides[1])))
+            same = side is None and first == second
+            if not len(a) or not len(b):
+                continue
+            one = tree(a, words)
+            other = one if same else tree(b, words)
+            i, j = _descend(one, other, same, 0, need, of)
+            if same:
+                i, j = i[i != j], j[i != j]
+            found[a[np.array(one.order)[i]]] = True
+            found[b[np.array(other.order)[j]]] = True
+    return found
+
+
 def _children(i: np.ndarray, one: Tree, level: int, j: np.ndarray, other: Tree) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of children of pairs; a tree that is lower keeps its root until the other has come down to it."""
 
@@ -269,23 +318,37 @@ def _children(i: np.ndarray, one: Tree, level: int, j: np.ndarray, other: Tree)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, text_key, n, node`` of every row, and on some rows ``heavy``: shingles with their counts that a batch repeats."""
+    """``doc_id, text_key, n, node, bits`` of every row, and on some rows ``heavy``: shingles with their counts that
+    neighbouring rows repeat."""
+
+    def repeated(seen: dict[int, np.ndarray]) -> bytes:
+        tokens, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        often = count > 1
+        return np.stack([tokens[often], count[often].astype(np.uint64)]).astype("<u8").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            bits: list[bytes | None] = [None] * batch.num_rows
+            heavy: list[bytes | None] = [None] * batch.num_rows
             seen: dict[int, np.ndarray] = {}
+            held, last = 0, 0
             for i, tokens in shingle_sets(batch.column(1), size):
-                n[i], node[i] = len(tokens), _node(tokens)
-                seen.setdefault(int(node[i]), tokens)
-            heavy: list[bytes | None] = [None] * batch.num_rows
+                n[i], node[i], last = len(tokens), _node(tokens), i
+                bits[i] = bitmap(tokens, _width(len(tokens))).astype("<u8").tobytes()
+                if int(node[i]) not in seen:
+                    seen[int(node[i])] = tokens
+                    held += len(tokens)
+                if held >= HELD:
+                    heavy[i], seen, held = repeated(seen), {}, 0
             if seen:
-                tokens, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                often = count > 1
-                heavy[0] = np.stack([tokens[often], count[often].astype(np.uint64)]).astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(node), pa.array(heavy, pa.binary())], ["doc_id", "text_key", "n", "node", "heavy"])
+                heavy[last] = repeated(seen)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(node), pa.array(bits, pa.binary()), pa.array(heavy, pa.binary())],
+                ["doc_id", "text_key", "n", "node", "bits", "heavy"],
+            )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, heavy binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, bits binary, heavy binary")
 
 
 def _hot(sets: DataFrame) -> np.ndarray:
@@ -307,10 +370,25 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
     place = np.argsort(hot)
     known = hot[place]
 
+    def packed(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        tokens = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        target = (_mix(tokens) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0, [True]]))
+        all_nodes, all_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[a:b]
+            used, local = np.unique(owner[own], return_inverse=True)
+            head = np.array([len(used), len(own)], np.int64)
+            rows.append((int(target[own[0]]), b"".join(x.tobytes() for x in (head, all_nodes[used], all_sizes[used], tokens[own], local.astype(np.uint32)))))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["target", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            parts, nodes, sizes = [], [], []
+            parts, nodes, sizes, held = [], [], [], 0
             for _, tokens in shingle_sets(batch.column(0), size):
                 node = _node(tokens)
                 if node in seen:
@@ -322,24 +400,15 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     rank = np.where(known[at] == tokens, place[at] + 1, 0)
                     tokens = tokens[np.argsort(rank, kind="stable")]
-                parts.append(tokens[:length])
+                parts.append(tokens[:length].copy())
                 nodes.append(node)
                 sizes.append(n)
-            if not parts:
-                continue
-            tokens = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            target = (_mix(tokens) % np.uint64(targets)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0, [True]]))
-            all_nodes, all_sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = order[a:b]
-                used, local = np.unique(owner[own], return_inverse=True)
-                head = np.array([len(used), len(own)], np.int64)
-                rows.append((int(target[own[0]]), b"".join(x.tobytes() for x in (head, all_nodes[used], all_sizes[used], tokens[own], local.astype(np.uint32)))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["target", "packed"])
+                held += length
+                if held >= HELD // 2:
+                    yield packed(parts, nodes, sizes)
+                    parts, nodes, sizes, held = [], [], [], 0
+            if parts:
+                yield packed(parts, nodes, sizes)
 
     return docs.mapInArrow(run, "target long, packed binary")
 
@@ -420,7 +489,7 @@ def _bitset(members: DataFrame) -> np.ndarray:
 
 
 def _token_rows(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """``node, tokens`` of nodes that pass the bits, once a batch."""
+    """``node, data`` (tokens) of nodes that pass the bits, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,49 +499,72 @@ def _token_rows(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
                 at = (node & (2**64 - 1)) % FILTER_BITS
                 if node not in found and bits[at >> 3] >> (at & 7) & 1:
                     found[node] = tokens.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "data"])
 
-    return docs.mapInArrow(run, "node long, tokens binary")
+    return docs.mapInArrow(run, "node long, data binary")
 
 
-def _stars(members: DataFrame, tokens: DataFrame, need: int, of: int) -> DataFrame:
-    """``node, other``: what the trees of all groups connect."""
+def _paired(members: DataFrame) -> DataFrame:
+    """``anchor, a, b, chunk, node``: each group in chunks, and each chunk once for each pair of chunks (a <= b) it is in."""
     sizes = members.groupBy("anchor").agg(F.count("*").alias("nodes"), F.sum("n").alias("total"))
     chunks = F.greatest(F.ceil(F.col("nodes") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int")
     rows = members.join(staged(sizes.filter("nodes > 1").select("anchor", chunks.alias("chunks")), "join-sizes"), "anchor")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a chunk meets each other chunk of its group once: in the pair (smaller, larger)
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)")))
-    rows = rows.selectExpr("anchor", "least(chunk, with) as a", "greatest(chunk, with) as b", "chunk", "node")
-    rows = rows.join(tokens.dropDuplicates(["node"]), "node")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
-
-    def join(held: list) -> pa.RecordBatch:
-        left = [x for x in held if x[1] == held[0][4]]
-        right = [x for x in held if x[1] != held[0][4]]
-        take = lambda xs: [np.frombuffer(x[3], "<u8") for x in xs]
-        if held[0][4] == held[0][5]:
-            component, all_rows = tree_join(take(held), None, need, of), held
-        else:
-            component, all_rows = (tree_join(take(left), take(right), need, of) if left and right else np.arange(len(held))), left + right
-        node = np.array([x[2] for x in all_rows], np.int64)
-        moved = np.flatnonzero(component != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[component[moved]])], ["node", "other"])
+    return rows.selectExpr("anchor", "least(chunk, with) as a", "greatest(chunk, with) as b", "chunk", "node", "n")
+
+
+def _by_pair(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(held)`` for the rows of each pair of chunks; its columns are the last of them ``data``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["anchor", "a", "b", "chunk", "node", "n", "data"]
+    dealt = rows.select(*columns).repartition(parts, "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for anchor, a, b, chunk, node, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "a", "b", "chunk", "node", "tokens")), strict=True):
-                if (anchor, a, b) != now and held:
-                    yield join(held)
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[:3] != now and held:
+                    yield work(held)
                     held = []
-                now = (anchor, a, b)
-                held.append((anchor, chunk, node, data, a, b))
+                now = row[:3]
+                held.append(row)
         if held:
-            yield join(held)
+            yield work(held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _near(members: DataFrame, bits: DataFrame, need: int, of: int) -> DataFrame:
+    """``anchor, a, b, chunk, node, n``: who may link with another of its pair of chunks, by signatures alone."""
+
+    def work(held: list) -> pa.RecordBatch:
+        size = np.array([x[5] for x in held], np.int64)
+        side = None if held[0][1] == held[0][2] else np.array([x[3] == x[1] for x in held])
+        found = np.flatnonzero(may_link(size, [np.frombuffer(x[6], "<u8") for x in held], side, need, of)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([held[i][c] for i in found], pa.int64()) for c in range(6)], ["anchor", "a", "b", "chunk", "node", "n"])
+
+    rows = _paired(members).join(bits, "node")
+    return _by_pair(rows, work, "anchor long, a long, b long, chunk long, node long, n long")
+
+
+def _stars(near: DataFrame, tokens: DataFrame, need: int, of: int) -> DataFrame:
+    """``node, other``: what the trees of all groups connect."""
+
+    def work(held: list) -> pa.RecordBatch:
+        left = [x for x in held if x[3] == x[1]]
+        right = [x for x in held if x[3] != x[1]]
+        sets = lambda xs: [np.frombuffer(x[6], "<u8") for x in xs]
+        if held[0][1] == held[0][2]:
+            component = tree_join(sets(left), None, need, of)
+        else:
+            component = tree_join(sets(left), sets(right), need, of) if left and right else np.arange(len(held))
+        node = np.array([x[4] for x in left + right], np.int64)
+        moved = np.flatnonzero(component != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[component[moved]])], ["node", "other"])
 
-    return dealt.mapInArrow(run, "node long, other long").distinct()
+    rows = near.join(tokens.dropDuplicates(["node"]), "node")
+    return _by_pair(rows, work, "node long, other long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -499,8 +591,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, need: int,
     total = sets.agg(F.sum("n")).first()[0] or 0
     targets = max(1, -(-int(total * (of - need) / of) // TARGET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     members = staged(_members(_prefixes(docs.select("text"), hot, targets, size, need, of), targets, need, of), "join-members")
-    tokens = _token_rows(docs.select("text"), _bitset(members), size)
-    stars = staged(_stars(members, tokens, need, of), "join-stars")
+    bits = sets.select("node", F.col("bits").alias("data")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    near = staged(_near(members, bits, need, of), "join-near")
+    tokens = _token_rows(docs.select("text"), _bitset(near), size)
+    stars = staged(_stars(near, tokens, need, of), "join-stars")
     firsts = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = firsts.groupBy("label").agg(F.min("first").alias("first"))
