@@ -18,8 +18,9 @@ from functools import cache
 import numpy as np
 import pandas as pd
 
-CHUNK = 2_000_000
-WORDS = 700_000
+CHUNK = 1_000_000
+WORDS = 300_000
+TOGETHER = 6_000_000  # code points whose new pre-tokens are encoded together
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
 #: a place where a pre-token always ends: between a character and a blank with a letter behind it
 _CUT = re.compile(r"(?<=\S)(?= [^\W\d_])")
@@ -114,6 +115,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32), and the number of ids of each text."""
+        ids, counts, i = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= TOGETHER):
+                size += len(texts[j])
+                j += 1
+            for out, found in zip((ids, counts), self._encode(texts[i:j]), strict=True):
+                out.append(found)
+            i = j
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.words:
             self._forget()
         groups, group, size = [], [], 0

@@ -28,8 +28,8 @@ from .common import staged, whole_text
 
 WORDS = 5
 NEED, OF = 75, 100  # a link needs NEED * union <= OF * intersection
-PIECE = 4 << 20  # bytes of text worked on at once
-HELD = 2_000_000  # shingles held before they are passed on
+PIECE = 2 << 20  # bytes of text worked on at once
+HELD = 1_000_000  # shingles held before they are passed on
 HOT = 200_000  # shingles with a place of their own in the common order; a matter of speed only
 TARGET_TOKENS = 1_000_000  # prefix tokens of one target
 CHUNK_TOKENS = 1_000_000  # shingles in one chunk of a group
