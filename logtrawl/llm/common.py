@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +52,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices whose texts have about ``limit`` bytes, one row at least: bounds what a Python worker holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+            yield batch.slice(i, j - i)
+            i = j

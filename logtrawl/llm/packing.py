@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import by_bytes, whole_text
 from .pretoken import library_encoder
 
 OPEN = 4096
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, end_id: int, window: i
             return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         packer, kind = Packer(window, emit), pa.int64()
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             kind = batch.schema.field(0).type
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             ids = np.ascontiguousarray(np.insert(ids, np.cumsum(counts), end_id), "<u4")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, staged, whole_text
+from .common import by_bytes, new_folder, staged, whole_text
 from .pretoken import library_encoder
 
 # fixed values of the format
@@ -166,7 +166,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int, i
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary_path)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id)
             counts = counts + 1

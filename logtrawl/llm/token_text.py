@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import by_bytes, whole_text
 from .pair_bpe import pair_encoder, vocabulary
 
 
@@ -29,7 +29,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pair_encoder(vocabulary_path)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, ids.astype(np.int32))], ["doc_id", "ids"])
@@ -61,7 +61,7 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc
         shown = np.frombuffer(b"".join(b"%d," % i for i in range(size)), np.uint8)
         width = np.array([len(str(i)) + 1 for i in range(size)], np.int64)
         begin = np.cumsum(width) - width
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             texts = batch.column(1).to_pylist()
             ids, counts = encoder.encode(texts)
             ends = np.cumsum(counts)

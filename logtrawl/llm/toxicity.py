@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, whole_text
+from .common import by_bytes, staged, whole_text
 
 TRAIN_ROWS = 20_000
 ENTRIES = 400
@@ -164,7 +164,7 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, ["entry", "clean", "toxic", "rows"])
 
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = Counter(w for w in _WORD.findall(text.lower()) if len(w) >= SHORTEST)
                 own: Counter = Counter()
@@ -212,7 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(insults)
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             found = np.array([grammar.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T)], ["toxic", *names])
 
@@ -222,7 +222,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(insults)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             found = np.array([grammar.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, 5)
             p = 1 / (1 + np.exp(-np.clip(found @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema.names)
