@@ -33,7 +33,7 @@ def running_total(
     before = _before(edges, [f"_edge_{n}" for n in amounts], "sum", by, across_files)
     local = df.selectExpr("*", *[f"sum({a}) OVER {inside} AS {n}" for n, a in amounts.items()])
     return local.join(before, unit, "left").selectExpr(
-        *_names(df), *[f"{n} + coalesce(_edge_{n}, 0) AS {n}" for n in amounts]
+        *_names(df), *[f"{_placed(f'{n} + coalesce(_edge_{n}, 0)')} AS {n}" for n in amounts]
     )
 
 
@@ -46,7 +46,7 @@ def carry_last(
     before = _before(_last_edges(df, values, unit, order), [f"_edge_{n}" for n in values], "last", by, across_files)
     local = df.selectExpr("*", *[f"last({v}, true) OVER {inside} AS {n}" for n, v in values.items()])
     return local.join(before, unit, "left").selectExpr(
-        *_names(df), *[f"coalesce({n}, _edge_{n}) AS {n}" for n in values]
+        *_names(df), *[f"{_placed(f'coalesce({n}, _edge_{n})')} AS {n}" for n in values]
     )
 
 
@@ -58,7 +58,7 @@ def previous(
     inside = f"(PARTITION BY {_list(unit)} ORDER BY {_list(order)})"
     before = _before(_last_edges(df, {name: value}, unit, order), [f"_edge_{name}"], "last", by, across_files)
     local = df.selectExpr("*", f"lag({value}) OVER {inside} AS {name}")
-    return local.join(before, unit, "left").selectExpr(*_names(df), f"coalesce({name}, _edge_{name}) AS {name}")
+    return local.join(before, unit, "left").selectExpr(*_names(df), f"{_placed(f'coalesce({name}, _edge_{name})')} AS {name}")
 
 
 def _last_edges(df: DataFrame, values: dict[str, str], unit: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def _before(edges: DataFrame, names: Sequence[str], fold: str, by: Sequence[str]
 
     if not across_files:
         span = f"(PARTITION BY {_list([*by, 'file_rank'])} ORDER BY block {earlier})"
-        return edges.selectExpr(*by, "file_rank", "block", *[f"{folded(n)} OVER {span} AS {n}" for n in names])
+        return edges.selectExpr(*by, "file_rank", "block", "true AS _placed", *[f"{folded(n)} OVER {span} AS {n}" for n in names])
 
     grouped = edges.selectExpr("*", f"file_rank div {FILES_PER_GROUP} AS _group")
     span = f"(PARTITION BY {_list([*by, '_group'])} ORDER BY file_rank, block {earlier})"
@@ -90,10 +90,15 @@ def _before(edges: DataFrame, names: Sequence[str], fold: str, by: Sequence[str]
     far = totals.selectExpr(*by, "_group", *[f"{folded('_far' + n)} OVER {over} AS _far{n}" for n in names])
     both = "coalesce({0}, 0) + coalesce(_far{0}, 0) AS {0}" if fold == "sum" else "coalesce({0}, _far{0}) AS {0}"
     return near.join(far, [*by, "_group"], "left").selectExpr(
-        *by, "file_rank", "block", *[both.format(n) for n in names]
+        *by, "file_rank", "block", "true AS _placed", *[both.format(n) for n in names]
     )
 
 
+def _placed(value: str) -> str:
+    """Every block has an edge row; one without means that the rows were read in other blocks the second time."""
+    return f"if(_placed, {value}, raise_error('a block without its edge: the input changed between two reads'))"
+
+
 def _list(parts: Sequence[str]) -> str:
     return ", ".join(parts)
 

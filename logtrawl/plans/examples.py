@@ -7,28 +7,15 @@ from collections.abc import Sequence
 from .rules import Count, Exit, File, Interval, Print, Rule, RuleSet
 
 
-def report_events(texts: Sequence[str]) -> RuleSet:
-    """Print every line that holds one of the texts, below a heading per file."""
-    return RuleSet(
-        [Rule(text, Print()) for text in texts],
-        on_file_start=[Print("== ${filename} (rotated: ${rotate-time})\\n")],
-        on_end=[Print("== done\\n")],
-    )
-
-
-def follow(entity: str, events: dict[str, str], timed: Sequence[str] = ()) -> RuleSet:
-    """Print all lines about an entity, named by what happened to it.
-
-    ``events`` maps the text of an event to its name; for the names in ``timed`` the time since the one before
-    is printed as well. Progress goes to stderr.
-    """
-    rules = []
-    for text, name in events.items():
-        gap = [Interval(f"{name} after ${{time}}\\n")] if name in timed else []
-        rules.append(
-            Rule(text, File(stderr=True), Print(f"{name} seen\\n"), File(stdout=True), *gap, Print(f"{name} at ${{lineno}}: "))
-        )
-    return RuleSet([Rule(entity, *rules, Print())])
+def tally(texts: Sequence[str], sink: str | None = None) -> RuleSet:
+    """Lines that hold each text, to a sink if one is named, and at the end a table of how many occurrences there were."""
+    to = [File(sink)] if sink else []
+    return RuleSet([Rule(text, Count(f"{text}\\t${{count}}\\n"), *to, Print()) for text in texts])
+
+
+def pauses(entity: str, steps: dict[str, str]) -> RuleSet:
+    """A file for each step of an entity with the times between its occurrences. ``steps`` maps a file to its text."""
+    return RuleSet([Rule(entity, *[Rule(text, File(sink), Interval("${time}\\n")) for sink, text in steps.items()])])
 
 
 def fields_of(entity: str, event: str, fields: Sequence[str], sink: str | None = None) -> RuleSet:

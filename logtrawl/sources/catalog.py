@@ -20,6 +20,11 @@ def basename(path: str) -> str:
     return f"substring_index({path}, '/', -1)"
 
 
+def literal_glob(name: str) -> str:
+    """A file name or path as a glob that only it fits."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
 def rotate_ts(path: str) -> str:
     """Rotation time from the file name: the digits after its last dash, NULL for a live file."""
     digits = f"regexp_extract({basename(path)}, '-([0-9]+)([.]gz)?$', 1)"
@@ -31,9 +36,12 @@ def catalog(
 ) -> DataFrame:
     """Every file below ``root`` whose base name starts with ``log_name``.
 
-    Listing touches no file content. ``first_lines=False`` leaves ``first_ts`` NULL and opens no file.
+    Listing touches no file content. ``first_lines=False`` leaves ``first_ts`` NULL and opens no file. Spark's readers
+    pass over files whose names begin with ``_`` or ``.``; a ``log_name`` of that kind is refused.
     """
-    pattern = re.sub(r"([\\*?\[\]{}])", r"\\\1", log_name) + "*"
+    if log_name.startswith(("_", ".")):
+        raise ValueError(f"Spark does not read files whose names begin with {log_name[0]}")
+    pattern = literal_glob(log_name) + "*"
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

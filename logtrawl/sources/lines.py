@@ -7,14 +7,16 @@ of partitioning. Operators that need order work per ``(file_rank, block)`` and c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..session import BROADCAST_BYTES, materialize
-from .catalog import rotate_ts
+from .catalog import literal_glob, rotate_ts
 
 BLOCK_ROWS = 1 << 20
 
@@ -61,8 +63,12 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
     scan = (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", ignore_missing)
-        .text([r.path for r in rows])
-        .selectExpr(
+        .text([literal_glob(r.path) for r in rows])
+    )
+    if not ignore_missing:
+        _all_read([r.path for r in rows], scan.inputFiles())
+    scan = (
+        scan.selectExpr(
             "value AS line", f"{_plain('_metadata.file_path')} AS path", "_metadata.file_block_start AS _start",
             "monotonically_increasing_id() AS pos",
         )
@@ -77,6 +83,15 @@ def read_logs(spark: SparkSession, files, ignore_missing: bool = False) -> DataF
     )
 
 
+def _all_read(listed: list[str], read: list[str]) -> None:
+    """Fail if the scan passes over a listed file, as it does over names that begin with ``_`` or ``.``."""
+    plain = lambda p: re.sub("^([a-z0-9]+):/+", r"\1:/", p)
+    found = {plain(p) for p in read} | {plain(unquote(p)) for p in read}
+    missing = {p for p in listed if plain(p) not in found}
+    if missing:
+        raise ValueError(f"{len(missing)} listed files would not be read, such as {min(missing)}")
+
+
 def _plain(path: str) -> str:
     """The scan reports paths as URIs; file listings, and people, write them plainly."""
     return f"if(contains({path}, '%'), url_decode(replace({path}, '+', '%2B')), {path})"
@@ -104,15 +119,17 @@ def with_positions(lines: DataFrame, offset: bool = False) -> DataFrame:
     )
     before = "(PARTITION BY file_rank ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     bases = counted.selectExpr(
-        *unit, "_first", f"coalesce(sum(_rows) OVER {before}, 0) AS _line0", f"coalesce(sum(_bytes) OVER {before}, 0) AS _byte0"
+        *unit, "_first", "_rows", f"coalesce(sum(_rows) OVER {before}, 0) AS _line0", f"coalesce(sum(_bytes) OVER {before}, 0) AS _byte0"
     )
     if counted.count() * 40 <= BROADCAST_BYTES:
         bases = F.broadcast(bases)
-    extra = ["_line0 + pos - _first AS lineno"]
+    # the two passes must have read the same splits: no line may be lost or misnumbered unseen
+    same = "pos - _first BETWEEN 0 AND _rows - 1"
+    extra = [f"if({same}, _line0 + pos - _first, raise_error('the lines were split otherwise when they were counted')) AS lineno"]
     if offset:
         inside = "(PARTITION BY file_rank, block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         extra.append(f"_byte0 + coalesce(sum(octet_length(line) + 1L) OVER {inside}, 0) AS line_offset")
-    return lines.join(bases, unit).selectExpr(*[f"`{c}`" for c in lines.columns], *extra)
+    return lines.join(bases, unit, "left").selectExpr(*[f"`{c}`" for c in lines.columns], *extra)
 
 
 def with_ts(lines: DataFrame) -> DataFrame:

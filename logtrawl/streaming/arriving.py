@@ -21,13 +21,14 @@ from ..functions.text import any_of, count_in, sql_text
 from ..operators.match import MATCH_ORDER, check_patterns, search
 from ..operators.ordered import previous, running_total
 from ..session import materialize
+from ..sources.catalog import literal_glob
 
 Sink = Callable[[DataFrame, int], None]
 
 
 def stream_lines(spark: SparkSession, directory: str, name: str = "", max_files: int | None = None) -> DataFrame:
     """Lines of files whose name starts with ``name``, as they appear below ``directory``."""
-    reader = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", f"{name}*")
+    reader = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", f"{literal_glob(name)}*")
     reader = reader.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -265,3 +265,36 @@ def test_stop_early(spark, tmp_path):
     assert lt.files_until_exit(spark, rules[:1], files).count() == 20
     limited = [lt.Rule("line", lt.MaxCount(3, exit=True), lt.Print("${line}"))]
     assert lt.files_until_exit(spark, limited, files, first=2).count() == 4
+
+
+def test_names_are_no_globs(spark, tmp_path):
+    """Names with glob characters are read once each and as themselves; names that Spark hides are refused."""
+    names = ["app[1].log", "app1.log", "app{a,b}.log", "appa.log", "app*.log", "app?.log", "app x%20.log"]
+    for name in names:
+        (tmp_path / name).write_text(f"in {name}\n")
+    read = lt.read_logs(spark, [str(tmp_path / n) for n in names])
+    assert [r.line for r in read.orderBy("file_rank").collect()] == [f"in {n}" for n in names]
+    (tmp_path / "_hidden.log").write_text("x\n")
+    with pytest.raises(ValueError):
+        lt.read_logs(spark, [str(tmp_path / "app1.log"), str(tmp_path / "_hidden.log")])
+    with pytest.raises(ValueError):
+        lt.catalog(spark, str(tmp_path), ".hidden")
+
+
+def test_other_splits_are_noticed(spark, tmp_path):
+    """Splits that change between counting and reading give the same numbers or an error, never fewer lines."""
+    path = tmp_path / "many.log"
+    path.write_text("".join(f"line {n}\n" for n in range(20_000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        lines = lt.with_positions(lt.read_logs(spark, [str(path)]))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "48k")
+        try:
+            got = sorted((r.lineno, r.line) for r in lines.collect())
+        except Exception as error:
+            assert "split otherwise" in str(error)
+        else:
+            assert got == [(n, f"line {n}") for n in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

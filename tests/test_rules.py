@@ -280,10 +280,11 @@ def test_examples(spark, lines):
     log = ["2020-01-01 00:00:00 START", "2020-01-01 00:00:01 o-1 NEW acct=7 x", "2020-01-01 00:00:02 o-2 NEW",
            "2020-01-01 00:00:03 o-1 CHANGE acct=8 x", "2020-01-01 00:00:05 o-1 CHANGE"]
     table = lines({0: log})
-    got = texts(lt.run(examples.report_events(["START"]), table, files), "stdout")
-    assert got == ["== /l/a (rotated: n/a)\n", log[0] + "\n", "== done\n"]
-    got = "".join(texts(lt.run(examples.follow("o-1", {"NEW": "new", "CHANGE": "change"}, ["change"]), table), "stdout"))
-    assert got == f"new at 1: {log[1]}\nchange at 3: {log[3]}\nchange after 0d 0h 0m 2s 0us\nchange at 4: {log[4]}\n"
+    assert texts(lt.run(examples.tally(["START", "NEW"], "found"), table, files)) == [
+        ("found", log[0] + "\n"), ("found", log[1] + "\n"), ("found", log[2] + "\n"), ("stdout", "START\t1\n"), ("stdout", "NEW\t2\n")
+    ]
+    got = texts(lt.run(examples.pauses("o-1", {"changes": "CHANGE"}), table), "changes")
+    assert got == ["0d 0h 0m 2s 0us\n"]
     got = texts(lt.run(examples.fields_of("o-1", "CHANGE", ["acct="], "f"), table))
     assert got == [("f", "acct=8\n"), ("stdout", "CHANGE: 2\n")]
     assert texts(lt.run(examples.first_of("o-1", "CHANGE"), table), "stdout") == [log[3] + "\n"]

@@ -42,14 +42,23 @@ LAST = 9223372036854775807
 
 
 def occ(source: str, keys: str, patterns: list[str]) -> str:
-    """CTE ``occ``: every occurrence, ``match_pos`` in bytes."""
+    """CTE ``occ``: every occurrence, ``match_pos`` in bytes. The lengths between occurrences tell where they are; patterns
+    that can overlap themselves are tested at every character."""
     listed = ", ".join("('" + p.replace("'", "''") + "')" for p in patterns)
+    overlapping = ", ".join("'" + p.replace("'", "''") + "'" for p in patterns if any(p[:n] == p[-n:] for n in range(1, len(p)))) or "''"
     return f"""pats(pattern) AS (VALUES {listed}),
-occ AS (SELECT {keys}, line, pattern, strlen(substr(line, 1, i - 1)) AS match_pos,
-               strlen(substr(line, 1, i - 1)) + strlen(pattern) AS match_end
-        FROM (SELECT {keys}, line, pattern, unnest(range(1, length(line) + 1)) AS i
-              FROM {source}, pats WHERE contains(line, pattern))
-        WHERE substr(line, i, length(pattern)) = pattern)"""
+occ AS MATERIALIZED (
+  SELECT {keys}, line, pattern, gaps + (j - 1) * strlen(pattern) AS match_pos, gaps + j * strlen(pattern) AS match_end
+  FROM (SELECT {keys}, line, pattern, j, sum(strlen(parts[j])) OVER (PARTITION BY {keys}, pattern ORDER BY j)::BIGINT AS gaps, len(parts) AS n
+        FROM (SELECT {keys}, line, pattern, parts, unnest(range(1, len(parts) + 1)) AS j
+              FROM (SELECT {keys}, line, pattern, string_split(line, pattern) AS parts
+                    FROM {source}, pats WHERE contains(line, pattern) AND pattern NOT IN ({overlapping}))))
+  WHERE j < n
+  UNION ALL
+  SELECT {keys}, line, pattern, strlen(substr(line, 1, i - 1)), strlen(substr(line, 1, i - 1)) + strlen(pattern)
+  FROM (SELECT {keys}, line, pattern, unnest(range(1, length(line) + 1)) AS i
+        FROM {source}, pats WHERE contains(line, pattern) AND pattern IN ({overlapping}))
+  WHERE substr(line, i, length(pattern)) = pattern)"""
 
 
 def duration(us: str) -> str:
@@ -213,10 +222,9 @@ UNION ALL SELECT file_rank, event_id, line || chr(10) FROM ev WHERE user_id = 13
     "many_rules": f"""WITH {EV} SELECT file_rank, '| ERROR | ' || left(line, 10) || chr(10) AS text FROM ev WHERE event_type = 'error' AND user_id < 100
 UNION ALL SELECT {LAST}, n || ': ' || (SELECT count(*) FROM ev WHERE user_id = n) || chr(10) FROM range(100) t(n)""",
     "track_entity": f"""WITH {EV}, u AS (SELECT * FROM ev WHERE user_id = 7),
-p AS (SELECT *, abs(ts_us - lag(ts_us) OVER (ORDER BY event_id)) AS gap FROM u WHERE event_type = 'purchase')
-SELECT file_rank, event_id AS pos, 'stderr' AS sink, event_type || ' found' || chr(10) AS text FROM u WHERE event_type IN ('signup', 'purchase')
-UNION ALL SELECT file_rank, event_id, 'stdout', upper(event_type) || ': ' || lineno || ' ' FROM u WHERE event_type IN ('signup', 'purchase', 'error')
-UNION ALL SELECT file_rank, event_id, 'stdout', 'Time since last purchase ' || {duration('gap')} || chr(10) FROM p WHERE gap IS NOT NULL
-UNION ALL SELECT file_rank, event_id, 'stdout', line || chr(10) FROM u
-UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'errors: ' || (SELECT count(*) FROM u WHERE event_type = 'error') || chr(10)""",
+v AS (SELECT *, abs(ts_us - lag(ts_us) OVER (ORDER BY event_id)) AS gap FROM u WHERE event_type = 'view')
+SELECT file_rank, event_id AS pos, 'stdout' AS sink, {duration('gap')} || ' between views' || chr(10) AS text FROM v WHERE gap IS NOT NULL
+UNION ALL SELECT file_rank, event_id, 'purchases.txt', substr(line, 1, 26) || ' bought, line ' || lineno || chr(10) FROM u WHERE event_type = 'purchase'
+UNION ALL SELECT file_rank, event_id, 'errors.txt', substr(line, 1, 10) || ' k=1' || chr(10) FROM u WHERE event_type = 'error' AND contains(line, ' k=1')
+UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'purchases: ' || (SELECT count(*) FROM u WHERE event_type = 'purchase') || chr(10)""",
 }

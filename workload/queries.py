@@ -365,18 +365,13 @@ def many_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def track_entity(spark: SparkSession, sf: str) -> DataFrame:
-    """The classic use: follow one entity, name what happened to it, time between steps, print the line."""
-    entity = "user_id=7 "
+    """One user's day sheet: pauses between views, a file of purchases with their number, a file of some errors."""
     rules = [
         Rule(
-            entity,
-            Rule("| SIGNUP |", File(stderr=True), Print("signup found\\n"), File(stdout=True), Print("SIGNUP: ${lineno} ")),
-            Rule(
-                "| PURCHASE |", File(stderr=True), Print("purchase found\\n"), File(stdout=True),
-                Interval("Time since last purchase ${time}\\n"), Print("PURCHASE: ${lineno} "),
-            ),
-            Rule("| ERROR |", Print("ERROR: ${lineno} "), Count("errors: ${count}\\n")),
-            Print(),
+            "user_id=7 ",
+            Rule("| VIEW |", Interval("${time} between views\\n")),
+            Rule("| PURCHASE |", Count("purchases: ${count}\\n"), File("purchases.txt"), Print("${line:,26} bought, line ${lineno}\\n")),
+            Rule("| ERROR |", Rule(" k=1", File("errors.txt"), Print("${line:,10}${match}\\n"))),
         )
     ]
     return run(rules, tables.with_lineno(tables.event_log(spark, sf))).select("file_rank", "pos", "sink", "text")
