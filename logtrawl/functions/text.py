@@ -146,10 +146,31 @@ def match_until(line: str, at: str, pattern: str, delimiter: str) -> str:
     return f"concat({pattern}, substring_index({rest}, {sql_text(delimiter)}, 1))"
 
 
+# POSIX character classes and what Java calls them, fixed names
+_CLASSES = {
+    "alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit",
+}
+
+
+def java_regex(regex: str) -> str:
+    """An extended regular expression for Java: ``[:digit:]`` and its like, as they stand inside brackets."""
+    return re.sub(r"\[:([a-z]+):\]", lambda m: f"\\p{{{_CLASSES[m[1]]}}}" if m[1] in _CLASSES else m[0], regex)
+
+
+def _has_group(regex: str) -> bool:
+    """Whether a Java pattern captures anything: a parenthesis outside brackets, not escaped, and plain or named."""
+    bare = re.sub(r"\\Q.*?\\E|\\.", "", regex, flags=re.DOTALL)
+    bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
+    return re.search(r"\((?!\?)|\(\?<[A-Za-z]", bare) is not None
+
+
 def capture(line: str, regex: str) -> str:
     """First group of the first match (the whole match if the pattern has no group), NULL without a match.
 
-    Java picks the first alternative that fits, a POSIX matcher the longest; order alternatives accordingly.
+    POSIX classes are understood. Java picks the first alternative that fits, a POSIX matcher the longest; order
+    alternatives accordingly.
     """
-    group = 1 if re.compile(regex).groups else 0
+    regex = java_regex(regex)
+    group = 1 if _has_group(regex) else 0
     return f"if({line} rlike {sql_text(regex)}, regexp_extract({line}, {sql_text(regex)}, {group}), null)"

@@ -227,4 +227,5 @@ SELECT file_rank, event_id AS pos, 'stdout' AS sink, {duration('gap')} || ' betw
 UNION ALL SELECT file_rank, event_id, 'purchases.txt', substr(line, 1, 26) || ' bought, line ' || lineno || chr(10) FROM u WHERE event_type = 'purchase'
 UNION ALL SELECT file_rank, event_id, 'errors.txt', substr(line, 1, 10) || ' k=1' || chr(10) FROM u WHERE event_type = 'error' AND contains(line, ' k=1')
 UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'purchases: ' || (SELECT count(*) FROM u WHERE event_type = 'purchase') || chr(10)""",
+    "posix_classes": f"""WITH {EV} SELECT event_id, upper(event_type) AS kind, user_id::VARCHAR AS user_id FROM ev""",
 }

@@ -377,6 +377,12 @@ def track_entity(spark: SparkSession, sf: str) -> DataFrame:
     return run(rules, tables.with_lineno(tables.event_log(spark, sf))).select("file_rank", "pos", "sink", "text")
 
 
+def posix_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures with POSIX character classes."""
+    kind, user = text.capture("line", "[|] ([[:upper:]]+) [|]"), text.capture("line", "user_id=([[:digit:]]+)")
+    return tables.event_log(spark, sf).selectExpr("pos AS event_id", f"{kind} AS kind", f"{user} AS user_id")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -386,6 +392,6 @@ QUERIES = {
         line_slice, byte_sizes, match_plus, match_until, render_format, time_parse, time_format, duration_text,
         duration_parts, hms_parse, catalog_list, catalog_at, catalog_range, catalog_month, catalog_summary,
         rotate_time, files_after, files_before, route_sinks, lifecycle_rows, output_text, custom_action,
-        many_rules, track_entity,
+        many_rules, track_entity, posix_classes,
     )
 }
