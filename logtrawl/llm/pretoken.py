@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 
 CHUNK = 1_000_000
-WORDS = 300_000
+WORDS = 500_000
 TOGETHER = 6_000_000  # code points whose new pre-tokens are encoded together
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
 #: a place where a pre-token always ends: between a character and a blank with a letter behind it
