@@ -7,8 +7,11 @@ fixed strings.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
+from itertools import groupby
+from os.path import commonprefix
 
 _CHUNK = 128
 
@@ -29,6 +32,46 @@ def literal_regex(pattern: str) -> str:
     return "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in pattern)
 
 
+def bytes_text(line: str) -> str:
+    """A line with one character per byte, whatever its encoding: what is cut out of it has byte lengths."""
+    return f"decode(binary({line}), 'ISO-8859-1')"
+
+
+def byte_chars(pattern: str) -> str:
+    """A pattern as it stands in ``bytes_text``."""
+    return pattern.encode("utf-8").decode("latin-1")
+
+
+_WIDE = 8
+
+
+def trie_regex(words: Sequence[str]) -> str:
+    """A regular expression for the longest of the words that begins at a place; shared beginnings are tested once.
+
+    Where many words part, the next character first chooses among groups of them.
+    """
+    return _trie(sorted(set(words)))
+
+
+def _trie(words: Sequence[str]) -> str:
+    optional = words[0] == ""
+    parted = [(char, list(own)) for char, own in groupby(words[optional:], key=lambda w: w[0])]
+    branches = []
+    for char, own in parted:
+        shared = commonprefix([own[0], own[-1]])
+        rest = _trie([w[len(shared):] for w in own]) if len(own) > 1 else ""
+        branches.append((literal_regex(char), literal_regex(shared) + rest))
+    if len(branches) > _WIDE:
+        step = math.isqrt(len(branches)) + 1
+        groups = [branches[n : n + step] for n in range(0, len(branches), step)]
+        tests = [f"(?=[{''.join(char for char, _ in g)}])(?:{'|'.join(b for _, b in g)})" for g in groups]
+    else:
+        tests = [b for _, b in branches]
+    if not optional and len(tests) == 1:
+        return tests[0]
+    return f"(?:{'|'.join(tests)})" + "?" * optional
+
+
 def can_overlap(pattern: str) -> bool:
     """Whether two occurrences may share bytes: some start of the pattern is also its end."""
     return any(pattern.startswith(pattern[-n:]) for n in range(1, len(pattern)))
@@ -56,23 +99,34 @@ def count_in(line: str, pattern: str) -> str:
         return "0L"
     text = sql_text(pattern)
     if can_overlap(pattern):
-        regex = sql_text(f"(?={literal_regex(pattern)})")
-        hits = f"if(substring_index({line}, {text}, 2) = {line}, 1L, bigint(regexp_count({line}, {regex})))"
+        regex = sql_text(f"(?={literal_regex(byte_chars(pattern))})")
+        hits = f"if(substring_index({line}, {text}, 2) = {line}, 1L, bigint(regexp_count({bytes_text(line)}, {regex})))"
     else:
         hits = f"(octet_length({line}) - octet_length(replace({line}, {text}, ''))) div {byte_len(pattern)}"
     return f"if(contains({line}, {text}), {hits}, 0L)"
 
 
-def pattern_spec(pattern: str, **more: int) -> str:
-    """What ``places`` needs to know about a pattern, as a constant struct."""
+def pattern_facts(pattern: str) -> dict:
+    """What ``places`` needs to know about a pattern."""
     size = byte_len(pattern)
     bare = not can_overlap(pattern)
-    regex = literal_regex(pattern) if bare else f"(?={literal_regex(pattern)})"
+    regex = literal_regex(byte_chars(pattern))
+    return {
+        "text": pattern, "regex": regex if bare else f"(?={regex})", "bare": bare, "start": -size if bare else -1,
+        "skip": size if bare else 0, "size": size,
+    }
+
+
+def pattern_spec(pattern: str, **more: int) -> str:
+    """The facts of a pattern as a constant struct."""
+
+    def constant(value) -> str:
+        if isinstance(value, str):
+            return sql_text(value)
+        return str(value).lower() if isinstance(value, bool) else f"{value}L"
+
     fields = [f"'{name}', {value}" for name, value in more.items()]
-    fields += [
-        f"'text', {sql_text(pattern)}", f"'regex', {sql_text(regex)}", f"'bare', {str(bare).lower()}",
-        f"'start', {-size if bare else -1}L", f"'skip', {size if bare else 0}L", f"'size', {size}L",
-    ]
+    fields += [f"'{name}', {constant(value)}" for name, value in pattern_facts(pattern).items()]
     return f"named_struct({', '.join(fields)})"
 
 
@@ -82,13 +136,14 @@ def places(line: str, spec: str) -> str:
     The offset of a single occurrence is the length of what stands before it. For several, the line is cut where
     the pattern begins, and the lengths of the cuts are added up. A pattern that may overlap itself is looked for
     without consuming it; an extra byte in front then keeps an occurrence at offset 0 apart (a newline, which no
-    pattern holds). Appending to an array copies it, so for very many cuts the sums are built chunk by chunk.
+    pattern holds). The cuts are made in the bytes, so lines in another encoding keep their offsets. Appending to an
+    array copies it, so for very many cuts the sums are built chunk by chunk.
     """
 
     def sums(parts: str, start: str) -> str:
         return (
             f"slice(aggregate({parts}, array({start}), (acc, part) -> "
-            f"array_append(acc, element_at(acc, -1) + octet_length(part) + {spec}.skip)), 2, size({parts}))"
+            f"array_append(acc, element_at(acc, -1) + length(part) + {spec}.skip)), 2, size({parts}))"
         )
 
     few = sums("slice(cuts, 1, size(cuts) - 1)", f"{spec}.start")
@@ -96,7 +151,7 @@ def places(line: str, spec: str) -> str:
         f"transform(sequence(0, int((size(cuts) - 2) div {_CHUNK})), "
         f"n -> slice(cuts, n * {_CHUNK} + 1, least({_CHUNK}, size(cuts) - 1 - n * {_CHUNK})))"
     )
-    widths = f"transform(chunks, chunk -> aggregate(chunk, 0L, (acc, part) -> acc + octet_length(part) + {spec}.skip))"
+    widths = f"transform(chunks, chunk -> aggregate(chunk, 0L, (acc, part) -> acc + length(part) + {spec}.skip))"
     starts = f"aggregate({widths}, array({spec}.start), (acc, width) -> array_append(acc, element_at(acc, -1) + width))"
     many = (
         f"transform(array({chunks}), chunks -> flatten(zip_with(chunks, slice({starts}, 1, size(chunks)), "
@@ -104,7 +159,8 @@ def places(line: str, spec: str) -> str:
     )
     once = f"substring_index({line}, {spec}.text, 2) = {line}"
     only = f"array(bigint(octet_length(substring_index({line}, {spec}.text, 1))))"
-    cuts = f"split(if({spec}.bare, {line}, concat(char(10), {line})), {spec}.regex, -1)"
+    raw = bytes_text(line)
+    cuts = f"split(if({spec}.bare, {raw}, concat(char(10), {raw})), {spec}.regex, -1)"
     several = f"transform(array({cuts}), cuts -> if(size(cuts) <= {_CHUNK}, {few}, {many}))[0]"
     return f"if({once}, {only}, {several})"
 
@@ -117,6 +173,12 @@ def positions(line: str, pattern: str) -> str:
     return f"if(contains({line}, {sql_text(pattern)}), {found}, cast(array() as array<bigint>))"
 
 
+def split_lines(value: str) -> str:
+    """The pieces of a text between newlines, with their bytes as they are."""
+    raw = f"transform(split({bytes_text(value)}, '\\n'), part -> string(encode(part, 'ISO-8859-1')))"
+    return f"if(is_valid_utf8({value}), split({value}, '\\n'), {raw})"
+
+
 # ---- slices -------------------------------------------------------------------------------------------
 
 

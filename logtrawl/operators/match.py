@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, byte_len, count_in, pattern_spec, places, sql_text
+from ..functions.text import (
+    any_of, byte_chars, byte_len, bytes_text, count_in, pattern_facts, pattern_spec, places, sql_text, trie_regex,
+)
+from ..session import BROADCAST_BYTES
 
-# Up to this many patterns are tested one by one in generated code. Beyond it one automaton per Python worker,
-# whose time does not depend on the number of patterns, is faster.
+# Up to this many patterns are tested one by one in generated code. Beyond it one expression for all of them is faster.
 INLINE_PATTERNS = 12
-# Patterns of a table are sent to the tasks up to this size, beyond it they are joined.
-PATTERN_BYTES = 16 * 1024 * 1024
+# Patterns of a table become one expression up to this size, beyond it they are joined.
+PATTERN_BYTES = 1024 * 1024
 
 
 # Order of matches inside a file: by line, then where the match ends, the longer pattern first.
@@ -30,8 +32,9 @@ def check_patterns(patterns: Sequence[str], on_duplicate: str = "error") -> list
     usable = [p for p in patterns if p]
     if len(set(usable)) < len(usable):
         if on_duplicate != "last":
-            raise ValueError(f"pattern given twice: {sorted({p for p in usable if usable.count(p) > 1})}")
-        usable = [p for n, p in enumerate(usable) if p not in usable[n + 1:]]
+            raise ValueError(f"pattern given twice: {sorted(p for p, n in Counter(usable).items() if n > 1)}")
+        # the last one keeps its place
+        usable = list(dict.fromkeys(reversed(usable)))[::-1]
     return usable
 
 
@@ -40,16 +43,7 @@ def search_lines(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     usable = check_patterns(patterns, on_duplicate="last")
     if len(usable) <= INLINE_PATTERNS:
         return lines.filter(any_of("line", usable))
-    sent = lines.sparkSession.sparkContext.broadcast(usable)
-    key = uuid.uuid4().hex
-
-    @F.pandas_udf("boolean")
-    def any_hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = _finder(key, sent)
-        for batch in batches:
-            yield pd.Series([bool(line) and next(iter(finder(line)), None) is not None for line in batch], dtype=bool)
-
-    return lines.filter(any_hit("line"))
+    return lines.filter(f"{bytes_text('line')} rlike {sql_text(trie_regex([byte_chars(p) for p in usable]))}")
 
 
 def search(lines: DataFrame, patterns: Sequence[str], on_duplicate: str = "error") -> DataFrame:
@@ -71,7 +65,7 @@ def find(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     The patterns are data of one expression, so the plan does not grow with their number.
     """
     if len(patterns) > INLINE_PATTERNS:
-        return _find_by_automaton(lines, patterns)
+        return _find_many(lines, patterns)
     specs = ", ".join(pattern_spec(p, id=n) for n, p in enumerate(patterns))
     hits = (
         f"flatten(transform(filter(array({specs}), spec -> contains(line, spec.text)), spec -> "
@@ -93,86 +87,47 @@ def pattern_size(patterns: Sequence[str], number: str = "pattern_id") -> str:
     return f"get(array({', '.join(f'{byte_len(p)}L' for p in patterns) or '0L'}), {number})"
 
 
-def _find_by_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Many patterns in one pass over each line, whatever their number.
+def _hit_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """One row per line and pattern that occurs in it, with ``pattern_id`` and the ``_spec`` for ``places``.
 
-    Only the line goes to Python, and only numbers come back: pattern, occurrence and offset of each hit.
+    One expression built from all patterns goes over the line and gives the longest pattern at each place. Shorter
+    ones that begin there are beginnings of it. The distinct texts are looked up in the table of patterns, so a
+    line is never copied by position and the work on a line does not depend on the number of patterns.
     """
-    sent = lines.sparkSession.sparkContext.broadcast(list(patterns))
-    key = uuid.uuid4().hex
-
-    @F.pandas_udf("pattern_id array<int>, occurrence array<bigint>, match_pos array<bigint>")
-    def hits_in(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = _finder(key, sent)
-        for batch in batches:
-            found = [_numbered(finder(line)) if line else ([], [], []) for line in batch]
-            yield pd.DataFrame(found, columns=["pattern_id", "occurrence", "match_pos"])
-
-    return lines.withColumn("_hits", hits_in("line")).selectExpr(
-        *[f"`{c}`" for c in lines.columns], "inline(arrays_zip(_hits.pattern_id, _hits.occurrence, _hits.match_pos))"
+    raw = sorted(byte_chars(p) for p in patterns)
+    shorter = sorted({len(p) for p, after in zip(raw, raw[1:]) if after.startswith(p)})
+    finder = sql_text(f"(?=({trie_regex(raw)}))")
+    hits = f"array_distinct(regexp_extract_all({bytes_text('line')}, {finder}, 1))"
+    if shorter:
+        sizes = f"array({', '.join(map(str, shorter))})"
+        begun = f"flatten(transform({sizes}, n -> transform(found, hit -> left(hit, n))))"
+        # a name inside the expression: a column would be made anew for each use
+        hits = f"transform(array({hits}), found -> array_distinct(concat(found, {begun})))[0]"
+    facts = [{"pattern_id": n, "_hit": byte_chars(p), **pattern_facts(p)} for n, p in enumerate(patterns)]
+    names = list(facts[0])
+    listed = pa.table([[f[name] for f in facts] for name in names], names=names)
+    spec = ", ".join(name for name in names if name not in ("pattern_id", "_hit"))
+    table = lines.sparkSession.createDataFrame(listed).selectExpr(
+        "_hit", "int(pattern_id) AS pattern_id", f"struct({spec}) AS _spec"
     )
+    if sum(map(byte_len, patterns)) + 128 * len(patterns) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return lines.selectExpr("*", f"explode({hits}) AS _hit").join(table, "_hit").drop("_hit")
 
 
-def _numbered(hits) -> tuple[list[int], list[int], list[int]]:
-    seen: dict[int, int] = {}
-    numbers, counts, places = [], [], []
-    for number, at in hits:
-        count = seen.get(number, 0)
-        seen[number] = count + 1
-        numbers.append(number)
-        counts.append(count)
-        places.append(at)
-    return numbers, counts, places
-
-
-# the automaton of the latest search, kept by a Python worker between its tasks
-_latest: dict[str, object] = {}
-
-
-def _finder(key: str, sent):
-    if key not in _latest:
-        _latest.clear()
-        _latest[key] = pattern_finder(sent.value)
-    return _latest[key]
-
-
-def pattern_finder(patterns: Sequence[str]):
-    """A function from a line to its ``(pattern number, byte offset)`` hits.
-
-    Lines are looked at as bytes (one character each), so offsets need no conversion.
-    """
-    raw = {p.encode("utf-8"): n for n, p in enumerate(patterns)}
-    try:
-        import ahocorasick
-    except ImportError:
-        return _finder_by_regex(raw)
-    machine = ahocorasick.Automaton()
-    for text, number in raw.items():
-        machine.add_word(text.decode("latin-1"), (number, len(text) - 1))
-    machine.make_automaton()
-
-    def hits_in(line: str):
-        one_byte_each = line if line.isascii() else line.encode("utf-8").decode("latin-1")
-        for last, (number, back) in machine.iter(one_byte_each):
-            yield number, last - back
-
-    return hits_in
-
-
-def _finder_by_regex(raw: dict[bytes, int]):
-    import re
-
-    longest_first = sorted(raw, key=len, reverse=True)
-    any_pattern = re.compile(b"(?=(" + b"|".join(re.escape(t) for t in longest_first) + b"))")
-    # the longest pattern that fits at a place; whatever else fits there is a start of it
-    starts = {t: [raw[t[:n]] for n in range(len(t), 0, -1) if t[:n] in raw] for t in raw}
+def _find_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    kept = [f"`{c}`" for c in lines.columns]
+    return _hit_patterns(lines, patterns).selectExpr(
+        *kept, "pattern_id", f"posexplode({places('line', '_spec')}) AS (occurrence, match_pos)"
+    ).selectExpr(*kept, "pattern_id", "bigint(occurrence) AS occurrence", "match_pos")
 
-    def hits_in(line: str):
-        for hit in any_pattern.finditer(line.encode("utf-8")):
-            for number in starts[hit.group(1)]:
-                yield number, hit.start()
 
-    return hits_in
+def count_by_number(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """Occurrences of checked patterns, ``pattern_id, n``, of those that occur; summed in the task that finds them."""
+    found = _hit_patterns(lines.select("line"), patterns)
+    return found.selectExpr("pattern_id", f"bigint(size({places('line', '_spec')})) AS n").groupBy("pattern_id").agg(
+        F.expr("sum(n) AS n")
+    )
 
 
 def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
@@ -196,22 +151,25 @@ def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern")
 def _search_join(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Equal-text join of the pieces of each line, one piece per start and pattern length.
 
-    Each piece meets at most one pattern, as pattern texts are distinct, so a frequent piece only makes one
-    join key large, which adaptive execution splits.
+    Only the place of a piece goes with it; the line is joined back to what was found, by its place. Each piece
+    meets at most one pattern, as pattern texts are distinct, so a frequent piece only makes one join key large,
+    which adaptive execution splits.
     """
     sizes = sorted(r.n for r in texts.selectExpr("octet_length(pattern) AS n").distinct().collect())
     kept = [f"`{c}`" for c in lines.columns]
+    place = ["file_rank", "block", "pos"]
     pieces = (
         lines.filter(f"octet_length(line) >= {sizes[0]}")
-        .selectExpr("*", f"explode(sequence(0, octet_length(line) - {sizes[0]})) AS match_pos")
+        .selectExpr(*place, "binary(line) AS _raw", f"explode(sequence(0, octet_length(line) - {sizes[0]})) AS match_pos")
         .selectExpr("*", f"explode(array({', '.join(map(str, sizes))})) AS match_len")
-        .filter("match_pos + match_len <= octet_length(line)")
-        .selectExpr("*", "substring(binary(line), match_pos + 1, match_len) AS _piece")
+        .filter("match_pos + match_len <= octet_length(_raw)")
+        .selectExpr(*place, "match_pos", "match_len", "substring(_raw, match_pos + 1, match_len) AS _piece")
     )
-    found = pieces.join(texts.selectExpr("pattern", "binary(pattern) AS _piece"), "_piece")
+    found = pieces.join(texts.selectExpr("pattern", "binary(pattern) AS _piece"), "_piece").drop("_piece")
     inside = "(PARTITION BY file_rank, block, pos, pattern ORDER BY match_pos)"
-    return found.selectExpr(
-        *kept, "pattern", f"bigint(row_number() OVER {inside} - 1) AS occurrence", "bigint(match_pos) AS match_pos",
+    numbered = found.selectExpr("*", f"bigint(row_number() OVER {inside} - 1) AS occurrence")
+    return lines.join(numbered, place).selectExpr(
+        *kept, "pattern", "occurrence", "bigint(match_pos) AS match_pos",
         "bigint(match_pos + match_len) AS match_end", "bigint(match_len) AS match_len",
     )
 
@@ -224,17 +182,15 @@ def count_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     if not patterns:
         return lines.sparkSession.createDataFrame([], "pattern string, n bigint")
     if len(patterns) > INLINE_PATTERNS:
-        return _count_by_automaton(lines, patterns)
+        return _count_many(lines, patterns)
     sums = [f"coalesce(sum({count_in('line', p)}), 0) AS _{i}" for i, p in enumerate(patterns)]
     rows = ", ".join(f"struct({sql_text(p)} AS pattern, _{i} AS n)" for i, p in enumerate(patterns))
     return lines.filter(any_of("line", patterns)).selectExpr(*sums).selectExpr(f"inline(array({rows}))")
 
 
-def _count_by_automaton(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Hits are counted in the task that finds them, then per pattern."""
+def _count_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     usable = check_patterns(patterns, on_duplicate="last")
-    found = find(lines.select("line"), usable).groupBy("pattern_id").agg(F.expr("count(1) AS n"))
-    counted = found.selectExpr(f"{pattern_text(usable)} AS pattern", "n")
+    counted = count_by_number(lines, usable).selectExpr(f"{pattern_text(usable)} AS pattern", "n")
     # one row per pattern asked for
-    asked = lines.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    asked = lines.sparkSession.createDataFrame(pa.table([list(patterns)], names=["pattern"]))
     return asked.join(counted, "pattern", "left").selectExpr("pattern", "coalesce(n, 0) AS n")

@@ -16,12 +16,12 @@ from .ordered import carry_last, running_total
 def time_range(lines: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Lines with a timestamp in ``[start, end]``; a line without one stays with the line before it.
 
-    Times are microseconds; either end may be open. Lines at the head of a file that no timestamp precedes are
-    left out.
+    Times are microseconds; either end may be open. A line at the head of a file goes on from the end of the file
+    before; lines that no timestamp precedes in any of the files are left out.
     """
     if start is not None and end is not None and end <= start:
         raise ValueError("the time range is empty")
-    stamped = carry_last(lines, {"_at": times.line_micros("line")}, ["pos"], across_files=False)
+    stamped = carry_last(lines, {"_at": times.line_micros("line")}, ["pos"])
     inside = ["_at IS NOT NULL"]
     inside += [f"_at >= {start}L"] if start is not None else []
     inside += [f"_at <= {end}L"] if end is not None else []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_lines
 from ..session import materialize
 from .ordered import running_total
 
@@ -16,8 +17,9 @@ def output_lines(output: DataFrame) -> DataFrame:
     texts. Line numbers come from counting newlines in log order, block by block.
     """
     cut = output.selectExpr(
-        "file_rank", "block", "pos", "ord", "sink", "size(split(text, '\\n')) - 1 AS _last",
-        "posexplode(split(text, '\\n')) AS (piece, part)",
+        "file_rank", "block", "pos", "ord", "sink", f"{split_lines('text')} AS _parts"
+    ).selectExpr(
+        "file_rank", "block", "pos", "ord", "sink", "size(_parts) - 1 AS _last", "posexplode(_parts) AS (piece, part)"
     )
     # counted and then joined: make the texts once
     cut = materialize(cut, "texts")

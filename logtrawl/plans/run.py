@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import template, text, times
 from ..functions.text import sql_text
 from ..operators import analysis
-from ..operators.match import INLINE_PATTERNS, find, pattern_size, pattern_text
+from ..operators.match import INLINE_PATTERNS, count_by_number, find, pattern_size, pattern_text
 from ..operators.ordered import carry_last, running_total
 from ..session import materialize, small_side
 from .rules import (
@@ -47,7 +47,7 @@ def run(
     _check_columns(program, lines, files)
     if _only_counts(program):
         parts = [_count_texts(program, lines.sparkSession, _counts_by_rule(program, lines))]
-        return reduce(DataFrame.unionByName, parts + _lifecycle(program, lines, files, None))
+        return reduce(DataFrame.unionByName, parts + _lifecycle(program, lines, files, None, None))
 
     matches = occurrences(program, lines)
     carried = var_scope == "carry" and bool(program.steps(Regex))
@@ -65,9 +65,9 @@ def run(
     if program.steps(Count):
         numbers = matches.groupBy("node").agg(F.expr("count(1) AS n"))
         parts.append(_count_texts(program, lines.sparkSession, numbers))
-    parts.append(_context(program, matches, lines))
+    parts.append(_context(program, matches, lines, carried))
     parts += [_custom(s, program, matches) for s in program.steps(Custom)]
-    parts += _lifecycle(program, lines, files, triggers)
+    parts += _lifecycle(program, lines, files, triggers, matches if carried else None)
     parts = [p for p in parts if p is not None]
     if not parts:
         schema = "file_rank bigint, block bigint, pos bigint, ord array<bigint>, sink string, text string"
@@ -162,9 +162,15 @@ def _only_counts(program: Program) -> bool:
 def _counts_by_rule(program: Program, lines: DataFrame) -> DataFrame:
     """Matches per rule when nothing but counts is asked: no match becomes a row.
 
-    A nested rule matches as often as the product of the matches along its path.
+    A nested rule matches as often as the product of the matches along its path. Beyond a few rules one expression
+    finds all patterns; nested rules then are matched as they are for other actions.
     """
     counted = [n for n in program.nodes if n.acts()]
+    if len(program.nodes) > INLINE_PATTERNS:
+        if any(n.depth for n in program.nodes):
+            return occurrences(program, lines).groupBy("node").agg(F.expr("count(1) AS n"))
+        # without nested rules a rule has the number of its pattern
+        return count_by_number(lines, [n.pattern for n in program.nodes]).withColumnRenamed("pattern_id", "node")
     found = lines.filter(" OR ".join(text.all_of("line", n.path) for n in counted))
     sums = [
         f"coalesce(sum(if({text.all_of('line', n.path)}, {' * '.join(text.count_in('line', p) for p in n.path)}, 0L)), 0) AS _{n.id}"
@@ -199,7 +205,8 @@ def _limit(program: Program, matches: DataFrame):
         few = own.selectExpr("*", f"row_number() OVER {inside} AS _near").filter(f"_near <= {max(level.values())}")
         ranked = running_total(few.drop("_near"), {"_rank": "1L"}, ["pos", "ord"], ["node"])
         last = ranked.filter(f"_rank = get(array({allowed}), node)").drop("_rank")
-        # at most one row per limited rule
+        # at most one row per limited rule; written, so that the plan of a depth is not part of the next one's
+        last = materialize(last, "limits")
         cuts = last.selectExpr(f"map_from_entries(collect_list(struct(node, {_key(depth)} AS cut))) AS cuts")
         # per node, the limited rule of this depth it is or is nested in
         limited = {inner: outer for outer in level for inner in program.below(outer)}
@@ -293,18 +300,24 @@ def _prints(program: Program, matches: DataFrame, carried: bool) -> DataFrame |
 
 def _carry_variables(rows: DataFrame, sets: Sequence[Step], names: Sequence[str], readers: set[int]) -> DataFrame:
     """Give every print the variables as set before it. Prints that read none stay out of the ordered pass."""
-    values = {}
-    for n, name in enumerate(names):
-        cases = [
-            f"WHEN step = {s.id} THEN {text.capture('line', s.action.pattern)}" for s in sets if s.action.var == name
-        ]
-        values[f"_var{n}"] = f"CASE {' '.join(cases)} END"
+    values = _captures(sets, {name: f"_var{n}" for n, name in enumerate(names)})
     taking = _ids({s.id for s in sets} | readers)
     ordered = carry_last(rows.filter(f"step IN ({taking})"), values, ["pos", "ord"])
     others = rows.filter(f"step NOT IN ({taking})").selectExpr("*", *[f"string(null) AS {n}" for n in values])
     return ordered.unionByName(others)
 
 
+def _captures(sets: Sequence[Step], columns: dict[str, str]) -> dict[str, str]:
+    """Per column, what the steps that set its variable capture."""
+    values = {}
+    for name, column in columns.items():
+        cases = [
+            f"WHEN step = {s.id} THEN {text.capture('line', s.action.pattern)}" for s in sets if s.action.var == name
+        ]
+        values[column] = f"CASE {' '.join(cases)} END"
+    return values
+
+
 def _match_values(program: Program, step: Step) -> dict[str, str]:
     """Variables as set by the match itself and its parents, the latest first."""
     found: dict[str, list[str]] = {}
@@ -344,8 +357,26 @@ def _count_texts(program: Program, spark, numbers: DataFrame) -> DataFrame:
     )
 
 
-def _context(program: Program, matches: DataFrame, lines: DataFrame) -> DataFrame | None:
-    """The lines around matches. All context actions share one join with the lines."""
+def _variables(program: Program, matches: DataFrame, steps: Sequence[Step], used: set[str], carried: bool):
+    """The rows of steps with a column per variable as set before the step, and the columns by name."""
+    sets = [s for s in program.steps(Regex) if s.action.var in used]
+    names = sorted({s.action.var for s in sets})
+    columns = {v: f"_var{n}" for n, v in enumerate(names)}
+    if carried and sets:
+        readers = {s.id for s in steps}
+        rows = _carry_variables(_steps_of(matches, program, [*sets, *steps]), sets, names, readers)
+        return rows.filter(f"step IN ({_ids(readers)})"), columns
+    rows = _steps_of(matches, program, steps)
+    own = {s.id: _match_values(program, s) for s in steps}
+    shown = [f"{_by_step(steps, lambda s: s.id, lambda s: own[s.id].get(v, 'string(null)'))} AS {c}" for v, c in columns.items()]
+    return rows.selectExpr("*", *shown), columns
+
+
+def _context(program: Program, matches: DataFrame, lines: DataFrame, carried: bool) -> DataFrame | None:
+    """The lines around matches. All context actions share one join with the lines.
+
+    A variable in a format has the value it had at the match.
+    """
     steps = [s for s in program.steps(Context) if s.action.before or s.action.after]
     if not steps:
         return None
@@ -353,21 +384,21 @@ def _context(program: Program, matches: DataFrame, lines: DataFrame) -> DataFram
     listed = [
         f"array({', '.join(f'{n}L' for n in around[i])})" if i in around else "null" for i in range(max(around) + 1)
     ]
-    wanted = (
-        _steps_of(matches, program, steps)
-        .selectExpr(*PLACE, "step", "lineno", f"explode(get(array({', '.join(listed)}), step)) AS _near")
-        .selectExpr(
-            "file_rank", "lineno + _near AS lineno", "step", "block AS _block", "pos AS _pos",
-            "concat(ord, array(_near)) AS ord",
-        )
+    used = set().union(*[template.variables(s.action.fmt) for s in steps])
+    rows, values = _variables(program, matches, steps, used, carried)
+    wanted = rows.selectExpr(
+        *PLACE, "step", "lineno", *values.values(), f"explode(get(array({', '.join(listed)}), step)) AS _near"
+    ).selectExpr(
+        "file_rank", "lineno + _near AS lineno", "step", "block AS _block", "pos AS _pos",
+        "concat(ord, array(_near)) AS ord", *values.values(),
     )
+    # the texts of variables have no size that is known beforehand
+    wanted = materialize(wanted, "wanted") if values else small_side(wanted, "wanted", 128)
     columns = [c for c in lines.columns if c not in ("file_rank", "lineno", "block", "pos")]
-    found = lines.select("file_rank", "lineno", *columns).join(
-        small_side(wanted, "wanted", 128), ["file_rank", "lineno"]
-    )
+    found = lines.select("file_rank", "lineno", *columns).join(wanted, ["file_rank", "lineno"])
 
     def shown(step: Step) -> str:
-        return "concat(line, char(10))" if step.action.fmt is None else template.render(step.action.fmt, "line", "0L")
+        return "concat(line, char(10))" if step.action.fmt is None else template.render(step.action.fmt, "line", "0L", values=values)
 
     return found.selectExpr(
         "file_rank", "_block AS block", "_pos AS pos", "ord", f"{_sink(steps)} AS sink",
@@ -399,13 +430,40 @@ def _at(file_rank: str, place: str, order: str) -> list[str]:
     return [f"{file_rank} AS file_rank", f"{place} AS block", f"{place} AS pos", f"{order} AS ord"]
 
 
-def _lifecycle(program: Program, lines: DataFrame, files: DataFrame | None, triggers) -> list[DataFrame]:
+def _file_values(program: Program, matches: DataFrame | None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Per file, the last value that its matches give to each variable of the blocks; and the columns by name."""
+    used = set().union(*[template.variables(fmt) for prints in program.lifecycle.values() for _, fmt in prints])
+    sets = [s for s in program.steps(Regex) if s.action.var in used]
+    if matches is None or not sets:
+        return None, {}
+    columns = {v: f"_var{n}" for n, v in enumerate(sorted({s.action.var for s in sets}))}
+    values = _captures(sets, columns)
+    rows = _steps_of(matches, program, sets).selectExpr(
+        "file_rank", "struct(block, pos, ord) AS _place", *[f"{value} AS {c}" for c, value in values.items()]
+    )
+    last = rows.groupBy("file_rank").agg(
+        *[F.expr(f"max_by({c}, if({c} IS NULL, null, _place)) AS {c}") for c in values]
+    )
+    return materialize(last, "values"), columns
+
+
+def _lifecycle(
+    program: Program, lines: DataFrame, files: DataFrame | None, triggers, matches: DataFrame | None
+) -> list[DataFrame]:
+    """The texts of blocks. With ``matches`` a variable has the value last set before the block."""
     parts = []
+    set_in, columns = _file_values(program, matches)
+    ended = lines.sparkSession.range(1)
+    if columns:
+        # no keys: one row, also when nothing was set
+        ended = set_in.selectExpr(*[f"max_by({c}, if({c} IS NULL, null, file_rank)) AS {c}" for c in columns.values()])
     for name, place in (("on_start", _FIRST), ("on_end", _LAST)):
+        source, values = (ended, columns) if name == "on_end" else (lines.sparkSession.range(1), {})
         for n, (sink, fmt) in enumerate(program.lifecycle[name]):
             parts.append(
-                lines.sparkSession.range(1).selectExpr(
-                    *_at(place, place, f"array(1L, {n}L)"), f"{sql_text(sink)} AS sink", f"{template.render(fmt)} AS text"
+                source.selectExpr(
+                    *_at(place, place, f"array(1L, {n}L)"), f"{sql_text(sink)} AS sink",
+                    f"{template.render(fmt, values=values)} AS text",
                 )
             )
     if not (program.lifecycle["on_file_start"] or program.lifecycle["on_file_end"]):
@@ -414,12 +472,19 @@ def _lifecycle(program: Program, lines: DataFrame, files: DataFrame | None, trig
     if triggers is not None:
         # files after the end of the run are never opened
         cut = triggers.selectExpr("min(file_rank) AS cut").scalar()
-        read = read.withColumn("_cut", cut).filter("_cut IS NULL OR file_rank <= _cut")
-    for name, place in (("on_file_start", _FIRST), ("on_file_end", _LAST)):
+        read = read.withColumn("_cut", cut).filter("_cut IS NULL OR file_rank <= _cut").drop("_cut")
+    # the start of a file is block 0, its end block 1, after which its values hold
+    events = read.selectExpr("*", "explode(array(0L, 1L)) AS block")
+    if columns:
+        given = {c: f"if(block = 1, _set{c}, null)" for c in columns.values()}
+        renamed = set_in.selectExpr("file_rank", *[f"{c} AS _set{c}" for c in columns.values()])
+        events = carry_last(events.join(renamed, "file_rank", "left"), given, ["block"])
+    for name, block, place in (("on_file_start", 0, _FIRST), ("on_file_end", 1, _LAST)):
         for n, (sink, fmt) in enumerate(program.lifecycle[name]):
             parts.append(
-                read.selectExpr(
-                    *_at("file_rank", place, f"array({n}L)"), f"{sql_text(sink)} AS sink", f"{template.render(fmt)} AS text"
+                events.filter(f"block = {block}").selectExpr(
+                    *_at("file_rank", place, f"array({n}L)"), f"{sql_text(sink)} AS sink",
+                    f"{template.render(fmt, values=columns)} AS text",
                 )
             )
     return parts

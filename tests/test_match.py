@@ -1,13 +1,15 @@
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from logtrawl import count_patterns, search, search_lines, search_table
+from logtrawl import Print, Rule, count_patterns, output_lines, run, search, search_lines, search_table
 from logtrawl.functions import text
 from logtrawl.operators import match
-from logtrawl.operators.match import MATCH_ORDER, check_patterns, pattern_finder
+from logtrawl.operators.match import MATCH_ORDER, check_patterns
 
 
 def naive(line, pattern):
@@ -86,11 +88,53 @@ def test_three_ways_agree(spark, lines, monkeypatch):
     assert found(search_table(lines(files), table)) == want
 
 
-def test_finders_agree(monkeypatch):
-    patterns = ["he", "she", "hers", "h", "é", "sé"]
-    line = "ushersé hehe"
-    raw = {p.encode(): n for n, p in enumerate(patterns)}
-    assert sorted(pattern_finder(patterns)(line)) == sorted(match._finder_by_regex(raw)(line))
+RAW = [
+    b"x\xff\xfeab cd ab", b"\xe2ab\x82ab\xc3\xa9", b"\xef\xbf\xbd\xff\xef\xbf\xbd", b"aaaa\x80aa\xf0aa", b"", b"\xc3\xa9" * 3 + b"\xc3ab",
+]
+
+
+@pytest.mark.parametrize("more", [0, 20, 1000])
+def test_bytes_of_any_encoding(spark, lines, more):
+    """Offsets and counts are those of the bytes, whatever they are and however many patterns are asked for."""
+    rng = random.Random(more)
+    raws = RAW + [bytes(rng.choice(b"ab \xc3\xa9\xff\xe2\x82\xef\xbf\xbd") for _ in range(rng.randrange(40))) for _ in range(30)]
+    patterns = ["ab", "aa", "é", "\ufffd", "b ", "a"] + [f"no {n}" for n in range(more)]
+    log = lines({0: [raw.hex() for raw in raws]}).withColumn("line", F.expr("string(unhex(line))"))
+    want = sorted(
+        (n, p, i, at)
+        for n, raw in enumerate(raws)
+        for p in patterns
+        for i, at in enumerate(k for k in range(len(raw)) if raw[k:].startswith(p.encode()))
+    )
+    got = search(log, patterns)
+    assert sorted((r.pos, r.pattern, r.occurrence, r.match_pos) for r in got.drop("line").collect()) == want
+    counts = {r.pattern: r.n for r in count_patterns(log, patterns).collect()}
+    assert counts == {p: sum(w[1] == p for w in want) for p in patterns}
+    hit = search_lines(log, patterns).selectExpr("pos").collect()
+    assert {r.pos for r in hit} == {w[0] for w in want}
+
+
+def test_printed_bytes_stay(lines):
+    log = lines({0: [raw.hex() for raw in RAW]}).withColumn("line", F.expr("string(unhex(line))"))
+    out = output_lines(run([Rule("a", Print())], log)).selectExpr("hex(binary(line)) AS h").collect()
+    want = [raw.hex().upper() for raw in RAW for _ in range(raw.count(b"a"))]
+    assert sorted(r.h for r in out) == sorted(want)
+
+
+def test_trie_takes_the_longest():
+    words = ["he", "she", "hers", "h", "s+e", *[chr(97 + n) + "x" for n in range(26)]]
+    regex = re.compile(text.trie_regex(words))
+    for value in ("hershey", "hexhe", "s+ehx", "zx", "q"):
+        for at in range(len(value)):
+            longest = max((w for w in words if value.startswith(w, at)), key=len, default=None)
+            hit = regex.match(value, at)
+            assert (hit and hit.group()) == longest
+
+
+def test_many_patterns_make_no_python(lines):
+    found = search(lines({0: ["a b"]}), [f"word {n}" for n in range(100)])
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_counts_zero_and_overlap(lines):

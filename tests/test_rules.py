@@ -288,3 +288,46 @@ def test_examples(spark, lines):
     got = texts(lt.run(examples.fields_of("o-1", "CHANGE", ["acct="], "f"), table))
     assert got == [("f", "acct=8\n"), ("stdout", "CHANGE: 2\n")]
     assert texts(lt.run(examples.first_of("o-1", "CHANGE"), table), "stdout") == [log[3] + "\n"]
+
+
+def test_variables_in_blocks_and_context(spark, lines):
+    table = lines({0: ["a", "set u=1.", "b"], 1: ["c"], 2: ["set u=2.", "d", "set u=3.", "e"]})
+    files = spark.createDataFrame([(0, "f0", None), (1, "f1", None), (2, "f2", None)], "file_rank bigint, path string, rotate_ts timestamp")
+    rules = RuleSet(
+        [Rule("set", Regex("u=([0-9])", "u"), Context(after=1, fmt="<${u} ${line}>"))],
+        on_start=[Print("start ${u}")], on_end=[Print("end ${u}")],
+        on_file_start=[Print("open ${u}")], on_file_end=[Print("close ${u}")],
+    )
+    shown = [r.text for r in lt.in_order(lt.run(rules, table, files)).collect()]
+    assert shown == [
+        "start ${u}", "open ${u}", "<1 b>", "close 1", "open 1", "close 1", "open 1", "<2 d>", "<3 e>", "close 3", "end 3",
+    ]
+    alone = lt.run(rules, table, files, var_scope="match").filter("text like '<%'")
+    assert sorted(r.text for r in alone.collect()) == ["<1 b>", "<2 d>", "<3 e>"]
+
+
+def test_a_variable_never_set_keeps_its_name(spark, lines):
+    rules = RuleSet([Rule("x", Regex("u=([0-9])", "u"))], on_end=[Print("end ${u} ${v}")])
+    assert [r.text for r in lt.run(rules, lines({0: ["y"]})).collect()] == ["end ${u} ${v}"]
+
+
+def test_nested_limits_do_not_multiply_the_plan(lines):
+    table = lines({0: ["a b c d"] * 5})
+
+    def plan(depth):
+        rule = Rule("d", MaxCount(2), Print())
+        for pattern in "cba"[3 - depth:]:
+            rule = Rule(pattern, MaxCount(3), rule)
+        return len(lt.run([rule], table)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert plan(3) < 3 * plan(1)
+
+
+def test_many_counts(lines):
+    table = lines({0: ["n1 n2 n1", "n30 n3"], 1: ["n1"]})
+    flat = lt.run([Rule(f"n{n} ", Count(f"{n}=${{count}}")) for n in range(40)], table)
+    got = dict(r.text.split("=") for r in flat.collect())
+    assert got == {str(n): str({1: 1, 2: 1, 30: 1}.get(n, 0)) for n in range(40)}
+    nested = lt.run([Rule(f"n{n}", Count(f"{n}=${{count}}"), Rule("n", Count(f"{n}n=${{count}}"))) for n in range(9)], table)
+    got = dict(r.text.split("=") for r in nested.collect())
+    assert (got["1"], got["1n"], got["3"], got["3n"], got["4n"]) == ("3", "7", "2", "4", "0")

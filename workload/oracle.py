@@ -80,14 +80,19 @@ SELECT doc_id, lineno, pattern, row_number() OVER (PARTITION BY doc_id, lineno,
 SELECT doc_id, pattern, lineno, match_pos,
        row_number() OVER (PARTITION BY doc_id ORDER BY lineno, match_end, strlen(pattern) DESC) AS match_no FROM occ""",
     "search_pattern_table": f"""WITH {DOC},
-pats AS (SELECT DISTINCT pattern FROM (SELECT unnest(regexp_split_to_array(text, '[^a-z]+')) AS pattern FROM benchmark)
-         WHERE length(pattern) >= 6),
-pairs AS (SELECT doc_id, lineno, line, pattern FROM doc, pats WHERE contains(line, pattern)),
-occ AS (SELECT doc_id, lineno, pattern, strlen(substr(line, 1, i - 1)) AS match_pos
-        FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM pairs)
-        WHERE substr(line, i, length(pattern)) = pattern),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lineno, pattern ORDER BY match_pos) - 1 AS occurrence FROM occ)
-SELECT doc_id, pattern, count(*) AS n, min(match_pos) AS first_pos, max(occurrence) AS top FROM numbered GROUP BY ALL""",
+pats AS (SELECT DISTINCT pattern FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS pattern FROM benchmark)
+         WHERE pattern <> ''),
+selfish AS (SELECT DISTINCT pattern FROM (SELECT pattern, unnest(range(1, length(pattern))) AS k FROM pats)
+            WHERE left(pattern, k) = right(pattern, k)),
+pairs AS MATERIALIZED (SELECT doc_id, lineno, line, p.pattern, s.pattern IS NOT NULL AS again
+  FROM doc, pats p LEFT JOIN selfish s ON p.pattern = s.pattern WHERE contains(line, p.pattern)),
+hits AS (SELECT doc_id, pattern, len(string_split(line, pattern)) - 1 AS n, strlen(string_split(line, pattern)[1]) AS first_pos
+         FROM pairs WHERE NOT again
+  UNION ALL
+  SELECT doc_id, pattern, count(*), min(strlen(left(line, i - 1)))
+  FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM pairs WHERE again)
+  WHERE substr(line, i, length(pattern)) = pattern GROUP BY doc_id, lineno, pattern)
+SELECT doc_id, pattern, sum(n)::BIGINT AS n, min(first_pos) AS first_pos, max(n) - 1 AS top FROM hits GROUP BY ALL""",
     "nested_all_of": f"""WITH {DOC}, {occ('doc', 'doc_id, lineno', ['the', 'er'])}
 SELECT p.doc_id, p.lineno, p.match_end AS parent_end, c.match_pos
 FROM occ p JOIN occ c ON p.doc_id = c.doc_id AND p.lineno = c.lineno WHERE p.pattern = 'the' AND c.pattern = 'er'""",
@@ -136,8 +141,12 @@ FROM c WHERE event_type = 'purchase'""",
   CASE WHEN regexp_matches(line, 'k=9[0-9]') THEN regexp_extract(line, 'k=(9[0-9])', 1) ELSE '${{high}}' END || chr(10) AS text
 FROM ev WHERE event_type = 'purchase'""",
     "cat_range": f"""WITH {EVM}, seen AS (SELECT *, last_value(CASE WHEN sub = 0 THEN ts END IGNORE NULLS)
-  OVER (PARTITION BY day ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM evm)
+  OVER (ORDER BY day, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM evm)
 SELECT day, pos, line FROM seen WHERE seen BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-09 10:45:00'""",
+    "cat_continued": f"""WITH {EVM}, seen AS (SELECT *, last_value(CASE WHEN sub = 0 THEN ts END IGNORE NULLS)
+  OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM evm)
+SELECT pos // 500 AS file_rank, pos, line FROM seen
+WHERE seen BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-09 10:45:00'""",
     "cat_split": f"""WITH {EVM}, s AS (SELECT day, pos, (sum(strlen(line) + 1) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1)::BIGINT // 20000 AS chunk FROM evm),
 f AS (SELECT chunk, arg_min(day, pos) AS first_day FROM s GROUP BY chunk)
 SELECT day, pos, s.chunk, repeat('zz', (s.chunk // 676)::INT) || chr((97 + s.chunk % 676 // 26)::INT) || chr((97 + s.chunk % 26)::INT)
@@ -210,6 +219,17 @@ UNION ALL SELECT 'stdout', 'signups ' || (SELECT count(*) FROM s) || chr(10)
 UNION ALL SELECT 'stdout', 'begin' || chr(10) UNION ALL SELECT 'stdout', 'end' || chr(10) UNION ALL SELECT 'end.log', 'done' || chr(10)
 UNION ALL SELECT 'stdout', 'start ' || path || ' (' || coalesce(strftime(make_timestamp(rotate_us), '%Y-%m-%d %H:%M:%S'), 'n/a') || ')' || chr(10) FROM ranked
 UNION ALL SELECT 'stdout', 'stop ' || path || chr(10) FROM ranked""",
+    "lifecycle_variables": f"""WITH {CAT},
+users AS (SELECT day, arg_max(user_id, event_id) FILTER (WHERE event_type = 'error')::VARCHAR AS u FROM ev GROUP BY day),
+told AS (SELECT path, r.file_rank, last_value(u IGNORE NULLS) OVER (ORDER BY r.file_rank ROWS UNBOUNDED PRECEDING) AS now,
+  last_value(u IGNORE NULLS) OVER (ORDER BY r.file_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM ranked r JOIN users ON r.day = users.day)
+SELECT 'stdout' AS sink, 'first ${{user}}' || chr(10) AS text
+UNION ALL SELECT 'stdout', 'last ' || coalesce(arg_max(now, file_rank), '${{user}}') || chr(10) FROM told
+UNION ALL SELECT 'stdout', path || ' opens after ' || coalesce(before, '${{user}}') || chr(10) FROM told
+UNION ALL SELECT 'stdout', path || ' closes with ' || coalesce(now, '${{user}}') || chr(10) FROM told""",
+    "count_many": f"""WITH {EV}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY user_id)
+SELECT 'stdout' AS sink, i || ': ' || coalesce(n, 0) || chr(10) AS text FROM range(1000) t(i) LEFT JOIN n ON user_id = i""",
     "output_text": f"""WITH {EV}, u AS (SELECT * FROM ev WHERE user_id::VARCHAR LIKE '1%'),
 parts AS (
   SELECT 'stdout' AS sink, event_id, 0 AS n, CASE event_type WHEN 'error' THEN 'ERROR ' WHEN 'click' THEN 'CLICK ' ELSE '' END

@@ -43,8 +43,8 @@ def search_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_pattern_table(spark: SparkSession, sf: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("explode(split(text, '[^a-z]+')) AS pattern")
-    found = search_table(tables.document_log(spark, sf), words.filter("length(pattern) >= 6"))
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("explode(split(text, '[ \\t\\n\\r]+')) AS pattern")
+    found = search_table(tables.document_log(spark, sf), words)
     return found.selectExpr("file_rank AS doc_id", "pattern", "match_pos", "occurrence").groupBy("doc_id", "pattern").agg(
         F.expr("count(1) AS n"), F.expr("min(match_pos) AS first_pos"), F.expr("max(occurrence) AS top")
     )
@@ -136,6 +136,14 @@ def cat_range(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("day", "pos", "line")
 
 
+def cat_continued(spark: SparkSession, sf: str) -> DataFrame:
+    """Files cut at any line, so that some begin with lines that go on from the file before."""
+    log = tables.event_log_multi(spark, sf).withColumn("file_rank", F.expr("pos div 500"))
+    start = times.stamp_span("2024-01-05 06:30:00")[0]
+    found = time_range(log, start, times.end_argument("100:15:00", start))
+    return found.select("file_rank", "pos", "line")
+
+
 def cat_split(spark: SparkSession, sf: str) -> DataFrame:
     log = tables.event_log_multi(spark, sf).selectExpr("*", "concat('/logs/app.log-', day, '.gz') AS path")
     return split_by_size(log, 20_000).select("day", "pos", "chunk", "chunk_name")
@@ -331,6 +339,25 @@ def lifecycle_rows(spark: SparkSession, sf: str) -> DataFrame:
     return run(rules, tables.event_log(spark, sf), known).select("sink", "text")
 
 
+def lifecycle_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that print the variable as it stands when they run."""
+    rules = RuleSet(
+        [Rule("| ERROR |", Regex("user_id=([[:digit:]]+)", "user"))],
+        on_start=[Print("first ${user}\\n")],
+        on_end=[Print("last ${user}\\n")],
+        on_file_start=[Print("${filename} opens after ${user}\\n")],
+        on_file_end=[Print("${filename} closes with ${user}\\n")],
+    )
+    known = _catalog(spark, sf).withColumn("file_rank", F.expr("file_rank + 19723"))
+    return run(rules, tables.event_log(spark, sf), known).select("sink", "text")
+
+
+def count_many(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand counts in one pass."""
+    rules = [Rule(f"user_id={n} ", Count(f"{n}: ${{count}}\\n")) for n in range(1000)]
+    return run(rules, tables.event_log(spark, sf)).select("sink", "text")
+
+
 def output_text(spark: SparkSession, sf: str) -> DataFrame:
     rules = [
         Rule(
@@ -388,10 +415,11 @@ QUERIES = {
     for q in (
         search_any, search_occurrences, search_order, search_pattern_table, nested_all_of, print_matches,
         count_rules, count_nested, interval_by_rule, max_count, exit_cutoff, max_count_exit, nested_max_count,
-        regex_extract, var_carry, var_match, cat_range, cat_split, context, context_action, line_positions,
+        regex_extract, var_carry, var_match, cat_range, cat_continued, cat_split, context, context_action, line_positions,
         line_slice, byte_sizes, match_plus, match_until, render_format, time_parse, time_format, duration_text,
         duration_parts, hms_parse, catalog_list, catalog_at, catalog_range, catalog_month, catalog_summary,
-        rotate_time, files_after, files_before, route_sinks, lifecycle_rows, output_text, custom_action,
+        rotate_time, files_after, files_before, route_sinks, lifecycle_rows, lifecycle_variables,
+        count_many, output_text, custom_action,
         many_rules, track_entity, posix_classes,
     )
 }
