@@ -21,17 +21,23 @@ def time_range(lines: DataFrame, start: int | None = None, end: int | None = Non
     """
     if start is not None and end is not None and end <= start:
         raise ValueError("the time range is empty")
-    stamped = carry_last(lines, {"_at": times.line_micros("line")}, ["pos"])
-    inside = ["_at IS NOT NULL"]
-    inside += [f"_at >= {start}L"] if start is not None else []
-    inside += [f"_at <= {end}L"] if end is not None else []
+    return _in_range(lines, start, end, "0L")
+
+
+def _in_range(lines: DataFrame, start: int | None, end: int | None, stretch: str) -> DataFrame:
+    """Times go on from file to file inside a ``stretch`` only."""
+    at = times.line_micros("line")
+    stamped = carry_last(lines, {"_at": f"if({at} IS NULL, null, struct({at} AS us, {stretch} AS stretch))"}, ["pos"])
+    inside = [f"_at.stretch = {stretch}"]
+    inside += [f"_at.us >= {start}L"] if start is not None else []
+    inside += [f"_at.us <= {end}L"] if end is not None else []
     return stamped.filter(" AND ".join(inside)).drop("_at")
 
 
 def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
     """Lines of a time range from a catalog. ``end`` may be a duration counted from ``start``.
 
-    Only files whose span overlaps the range are read.
+    Only files whose span overlaps the range are read. What goes on from a file that is not read is outside the range.
     """
     from ..sources.lines import read_logs
 
@@ -39,7 +45,12 @@ def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
     until = times.end_argument(end, begin)
     if until <= begin:
         raise ValueError("the time range is empty")
-    return time_range((read or read_logs)(spark, files_between(files, begin, until)), begin, until)
+    chosen = files_between(files, begin, until)
+    lines = (read or read_logs)(spark, chosen)
+    # files next to each other, one row per file
+    stretches = chosen.selectExpr("file_rank", "file_rank - row_number() OVER (ORDER BY file_rank) AS _stretch")
+    joined = lines.join(small_side(stretches, "stretches", 32), "file_rank").select(*lines.columns, "_stretch")
+    return _in_range(joined, begin, until, "_stretch").drop("_stretch")
 
 
 def split_by_size(lines: DataFrame, chunk_bytes: int, path: str = "path", order: Sequence[str] = ("pos",)) -> DataFrame:
