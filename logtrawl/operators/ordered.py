@@ -37,6 +37,11 @@ def running_total(
     )
 
 
+def last_before(blocks: DataFrame, names: Sequence[str]) -> DataFrame:
+    """For a table with one row per block: the last value that is not NULL in the rows of all blocks before."""
+    return _before(blocks, names, "last", (), True).drop("_placed")
+
+
 def carry_last(
     df: DataFrame, values: dict[str, str], order: Sequence[str], by: Sequence[str] = (), across_files: bool = True
 ) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..session import materialize, small_side
+from ..session import BROADCAST_BYTES, materialize, small_side
 from ..sources.catalog import basename, files_between
-from .ordered import carry_last, running_total
+from .ordered import last_before, running_total
 
 
 def time_range(lines: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -25,13 +26,52 @@ def time_range(lines: DataFrame, start: int | None = None, end: int | None = Non
 
 
 def _in_range(lines: DataFrame, start: int | None, end: int | None, stretch: str) -> DataFrame:
-    """Times go on from file to file inside a ``stretch`` only."""
-    at = times.line_micros("line")
-    stamped = carry_last(lines, {"_at": f"if({at} IS NULL, null, struct({at} AS us, {stretch} AS stretch))"}, ["pos"])
-    inside = [f"_at.stretch = {stretch}"]
-    inside += [f"_at.us >= {start}L"] if start is not None else []
-    inside += [f"_at.us <= {end}L"] if end is not None else []
-    return stamped.filter(" AND ".join(inside)).drop("_at")
+    """Times go on from file to file inside a ``stretch`` only.
+
+    A pass over places and times tells which blocks lie inside the range, outside, or across one of its ends. Only the
+    lines of the last kind are moved, to find the time that a line without one goes on from.
+    """
+    low, high = (f"{start}L" if start is not None else "null"), (f"{end}L" if end is not None else "null")
+    own = f"if({times.line_micros('line')} IS NULL, null, struct({times.line_micros('line')} AS us, {stretch} AS stretch))"
+    times_of = lines.selectExpr("file_rank", "block", "pos", f"{own} AS _at", f"{stretch} AS _own")
+    blocks = materialize(_block_kinds(times_of, low, high), "spans")
+    kinds = {r.kind: r["count"] for r in blocks.groupBy("kind").count().collect()}  # at most three
+    if sum(kinds.values()) * 64 <= BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
+    kept = [f"`{c}`" for c in lines.columns]
+    same = "coalesce({0}, raise_error('a block without its times: the input changed between two reads'))"
+    known = lines.join(blocks, ["file_rank", "block"], "left").withColumn("kind", F.expr(same.format("kind")))
+    parts = [known.filter("kind = 'inside'").selectExpr(*kept)]
+    if "edge" in kinds:
+        inside = "(PARTITION BY file_rank, block ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+        stamped = known.filter("kind = 'edge'").selectExpr(*kept, "_in", f"{own} AS _own_at")
+        stamped = stamped.selectExpr("*", f"coalesce(last(_own_at, true) OVER {inside}, _in) AS _at")
+        wanted = f"_at.stretch = {stretch} AND coalesce(_at.us >= {low}, true) AND coalesce(_at.us <= {high}, true)"
+        parts.append(stamped.filter(wanted).selectExpr(*kept))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_kinds(times_of: DataFrame, low: str, high: str) -> DataFrame:
+    """Per block, ``kind`` (all its lines are ``inside`` the range, all ``outside``, or it holds an ``edge``) and ``_in``, the
+    time that goes on into it. ``times_of`` has a row per line: its place, ``_at`` (time and stretch) and ``_own`` stretch."""
+    spans = times_of.groupBy("file_rank", "block").agg(
+        F.expr("min(_own) AS _own"), F.expr("min(_at.us) AS _low"), F.expr("max(_at.us) AS _high"),
+        F.expr("min_by(_at IS NULL, pos) AS _headless"), F.expr("max_by(_at, if(_at IS NULL, null, pos)) AS _edge_at"),
+    )
+    # one pass over the lines; what follows has a row per block
+    spans = materialize(spans, "times")
+    joined = spans.drop("_edge_at").join(last_before(spans, ["_edge_at"]), ["file_rank", "block"], "left")
+    # lines before the first time of a block have the time that goes on into it, if it is of the same stretch
+    head = "if(_headless AND _edge_at.stretch = _own, _edge_at.us, null)"
+    joined = joined.selectExpr(
+        "file_rank", "block", "_edge_at AS _in", f"least(_low, {head}) AS _low", f"greatest(_high, {head}) AS _high",
+        f"_headless AND {head} IS NULL AS _lost",
+    )
+    kind = (
+        f"CASE WHEN _low IS NULL OR coalesce(_high < {low}, false) OR coalesce(_low > {high}, false) THEN 'outside' "
+        f"WHEN _lost OR coalesce(_low < {low}, false) OR coalesce(_high > {high}, false) THEN 'edge' ELSE 'inside' END"
+    )
+    return joined.selectExpr("file_rank", "block", "_in", f"{kind} AS kind")
 
 
 def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:

@@ -9,12 +9,15 @@ from ..functions.text import split_lines
 from ..session import materialize
 from .ordered import running_total
 
+LINE_BYTES = 256 * 1024 * 1024  # a line is one value of one row, which cannot be of any size
+
 
 def output_lines(output: DataFrame) -> DataFrame:
     """Join printed texts to whole lines per sink: ``sink, out_lineno, line``.
 
     A print without a newline is continued by the next one of the same sink, so a line may have several
-    texts. Line numbers come from counting newlines in log order, block by block.
+    texts. Line numbers come from counting newlines in log order, block by block. A line of more than ``LINE_BYTES``,
+    such as all prints of a sink that never ends a line, is refused before it is put together.
     """
     cut = output.selectExpr(
         "file_rank", "block", "pos", "ord", "sink", f"{split_lines('text')} AS _parts"
@@ -24,6 +27,10 @@ def output_lines(output: DataFrame) -> DataFrame:
     # counted and then joined: make the texts once
     cut = materialize(cut, "texts")
     numbered = running_total(cut, {"out_lineno": "bigint(piece > 0)"}, ["pos", "ord", "piece"], ["sink"])
+    sizes = numbered.selectExpr("sink", "out_lineno", "octet_length(part) AS _n").groupBy("sink", "out_lineno")
+    endless = sizes.agg(F.expr("sum(_n) AS _n")).filter(f"_n > {LINE_BYTES}").groupBy().agg(F.expr("min(sink) AS sink")).first()
+    if endless.sink is not None:
+        raise ValueError(f"sink {endless.sink!r} has a line of more than {LINE_BYTES} bytes: end its prints with a newline")
     joined = numbered.selectExpr(
         "sink", "out_lineno", "struct(file_rank, block, pos, ord, piece, part) AS _piece", "piece < _last AS _ended"
     ).groupBy("sink", "out_lineno").agg(

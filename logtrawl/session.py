@@ -37,10 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Used where several later steps need the same matches: the text is then scanned once, the lineage is
     short, and a lost executor costs a re-read instead of a re-scan.
     """
+    return write_table(df, name)[0]
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``materialize``, with the path, for callers that ``drop`` the table when they are done."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/logtrawl/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_side(df: DataFrame, name: str, row_bytes: int) -> DataFrame:

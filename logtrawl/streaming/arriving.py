@@ -5,7 +5,8 @@ than the order of a finished collection, where rotation times rank the files.
 
 Intervals and limits keep one small row per rule between batches, written next to the stream's checkpoint. Each
 batch is worked like a finished collection, so a rule that matches in most lines is still spread over blocks
-instead of being one state task.
+instead of being one state task. The matches of a batch are a table only as long as its sink runs, which must read
+its rows before it returns; of the states, the last two stay.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from ..functions import times
 from ..functions.text import any_of, count_in, sql_text
 from ..operators.match import MATCH_ORDER, check_patterns, search
 from ..operators.ordered import previous, running_total
-from ..session import materialize
+from ..session import drop, write_table
 from ..sources.catalog import literal_glob
+from ..sources.lines import BLOCK_ROWS
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -100,21 +102,30 @@ def _run(lines, patterns, step, sink: Sink, checkpoint: str, trigger) -> Streami
         spark = batch.sparkSession
         # a batch that is run again starts from the same state, so it gives the same rows
         old = spark.read.schema(schema).parquet(f"{state}/{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        matches = materialize(_placed(search(batch, patterns)), "batch")
-        rows, new = step(matches, old)
-        sink(rows, batch_id)
-        new.coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        found, path = write_table(search(batch, patterns).selectExpr("*", "monotonically_increasing_id() AS pos"), "batch")
+        try:
+            rows, new = step(_placed(found), old)
+            sink(rows, batch_id)
+            new.coalesce(1).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        finally:
+            drop(spark, path)
+        # this batch may be run again from the state before it; older ones are done for good
+        if batch_id > 1:
+            drop(spark, f"{state}/{batch_id - 2}")
 
     writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def _placed(matches: DataFrame) -> DataFrame:
-    """Give the matches of a batch a place: files by time and path, then blocks, then lines."""
-    kept = [c for c in matches.columns if c not in ("file_time",)]
-    numbered = matches.selectExpr("*", "monotonically_increasing_id() AS pos")
+    """Give the matches of a batch a place: files by time and path, then blocks, then lines.
+
+    A ``.gz`` file is one split; its matches are dealt with in blocks of ``BLOCK_ROWS``.
+    """
+    kept = [c for c in matches.columns if c not in ("file_time", "block")]
     # one row per file of the batch
     files = matches.select("path", "file_time").distinct().selectExpr(
         "path", "bigint(row_number() OVER (ORDER BY file_time, path)) AS file_rank"
     )
-    return numbered.join(files, "path").selectExpr(*[f"`{c}`" for c in kept], "pos", "file_rank")
+    block = f"if(path LIKE '%.gz', pos div {BLOCK_ROWS}L, block) AS block"
+    return matches.join(files, "path").selectExpr(*[f"`{c}`" for c in kept], block, "file_rank")

@@ -185,6 +185,38 @@ def test_time_range_over_block_edges(spark, tmp_path, small_splits):
         lt.time_range(lines, start, start)
 
 
+def test_time_range_like_one_reader(spark, lines):
+    """Blocks inside, outside and across the ends, times that go back, heads without a time, open ends."""
+    rng = random.Random(8)
+    for turn in range(6):
+        files = {
+            rank: [
+                (f"2020-09-17 10:{rng.randrange(30) if turn % 2 else rank * 20 + n:02d}:00 " if rng.random() < 0.6 else "") + f"{rank}.{n}"
+                for n in range(rng.randrange(1, 20))
+            ]
+            for rank in range(3)
+        }
+        start, end = (times.stamp_span(f"2020-09-17 10:{m:02d}:00")[0] for m in (5, 24))
+        for low, high in ((start, end), (start, None), (None, end), (None, None)):
+            want, at = [], None
+            for rank in files:
+                for line in files[rank]:
+                    at = times.stamp_span(line[:19])[0] if line.startswith("2020") else at
+                    if at is not None and (low is None or at >= low) and (high is None or at <= high):
+                        want.append(line)
+            got = lt.time_range(lines(files, block_rows=rng.choice([2, 3, 50])), low, high)
+            assert [r.line for r in got.orderBy("file_rank", "pos").collect()] == want
+
+
+def test_blocks_inside_a_range_stay_where_they_are(spark, lines):
+    table = lines({0: [f"2020-09-17 10:{n:02d}:00 x" for n in range(40)]}, block_rows=5)
+    at = lambda m: times.stamp_span(f"2020-09-17 10:{m:02d}:00")[0]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # the ends of the range are ends of blocks: no line needs a window
+    assert "Window" not in plan(lt.time_range(table, at(5), at(14)))
+    assert "Window" in plan(lt.time_range(table, at(6), at(14)))
+
+
 def test_cat_reads_only_files_of_the_range(spark, logs):
     files = lt.catalog(spark, logs, "app.log", NOW)
     seen = []

@@ -331,3 +331,13 @@ def test_many_counts(lines):
     nested = lt.run([Rule(f"n{n}", Count(f"{n}=${{count}}"), Rule("n", Count(f"{n}n=${{count}}"))) for n in range(9)], table)
     got = dict(r.text.split("=") for r in nested.collect())
     assert (got["1"], got["1n"], got["3"], got["3n"], got["4n"]) == ("3", "7", "2", "4", "0")
+
+
+def test_a_line_without_an_end_is_refused(spark, lines, monkeypatch):
+    """Prints of a sink that never end its line do not become one row of any size."""
+    table = lines({0: ["ab"] * 50})
+    out = lt.run([Rule("a", Print("E"), File("other.txt"), Print("whole\n"))], table)
+    assert lt.output_lines(out).filter("sink = 'stdout'").first().line == "E" * 50
+    monkeypatch.setattr("logtrawl.operators.sinks.LINE_BYTES", 49)
+    with pytest.raises(ValueError, match="stdout"):
+        lt.output_lines(out)

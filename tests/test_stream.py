@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -95,6 +96,10 @@ def test_max_count_goes_on_after_a_restart(spark, arriving, tmp_path):
 
     feed(start(), files[:1])
     feed(start(), files[1:])
+    # what a batch wrote for itself is gone, of the states two are left
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not [n for n in os.listdir(f"{shared}/logtrawl") if n.startswith("batch-")]
+    assert sorted(n for n in os.listdir(tmp_path / "state" / "rules") if n.isdigit()) == ["1", "2"]
     got = {}
     for batch in rows.values():
         for r in batch:
