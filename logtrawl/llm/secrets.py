@@ -1,12 +1,15 @@
 """Secret scan with corpus-wide ownership frequency, in SQL functions only.
 
-Candidates are found in whole texts and hashed. Each hash is counted over all documents by distinct owners and
-distinct repositories: a value that many owners hold is a widely copied example, a value of a single owner that looks
-random is a live credential. Counts are aggregated in steps (value, owner, repository; value, owner; value), each with
-partial sums before its shuffle, and go back to the candidates by an ordinary join whose hot values Spark splits.
+Candidates are found in whole texts and hashed. Each hash is counted over all documents by distinct owners: a value that
+looks random is a live credential while fewer than ``WIDE_OWNERS`` owners hold it in texts of their own, and a widely
+copied example from there on. Whole copies of a text count for one owner there, the smallest that has it, so that copying
+a document settles nothing. A value that does not look random is never live; it is copied once ``WIDE_OWNERS`` owners hold it,
+in copies or not. Counts are aggregated in steps (value, owner, repository; value, owner; value, and value, text; value,
+owner; value), each with partial sums before its shuffle, and go back to the candidates by an ordinary join whose hot
+values Spark splits. Repositories are counted but take no part in the verdict.
 
 Base kinds: ``assign`` (a named value of eight characters or more), ``access`` and ``hex``. The method's own kind is ``owned``: a
-longer random-looking token outside the base spans that belongs to one owner. Null texts are empty; a null owner or
+longer random-looking token outside the base spans that is live. Null texts are empty; a null owner or
 repository counts as one of its own; repeated rows count once per owner and repository.
 """
 
@@ -53,10 +56,14 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
 
 
 def ownership(occurrences: DataFrame) -> DataFrame:
-    """``hash, owners, repositories, occurrences`` from one row per occurrence (``hash, owner, repository``)."""
+    """``hash, holders, repositories, occurrences, owners, looks`` from one row per occurrence (``hash, owner, repository,
+    text_key, looks``): ``holders`` are all distinct owners, ``owners`` those of distinct texts, one for each text."""
     first = occurrences.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
     second = first.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
-    return second.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
+    held = second.groupBy("hash").agg(F.count("*").alias("holders"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
+    texts = occurrences.groupBy("hash", "text_key").agg(F.min("owner").alias("owner"), F.max("looks").alias("looks"))
+    own = texts.groupBy("hash", "owner").agg(F.max("looks").alias("looks")).groupBy("hash").agg(F.count("*").alias("owners"), F.max("looks").alias("looks"))
+    return held.join(own, "hash")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
@@ -73,13 +80,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     )
     rows = staged(candidates(rows, "text").drop("text"), "secret-candidates")
     every = "concat(assign, access, hex, token)"
-    found = rows.filter(f"size({every}) > 0").selectExpr("row", "owner", "repository", f"explode(array_distinct(transform({every}, s -> struct(s.hash as hash, s.looks as looks)))) as c")
-    found = found.select("row", "owner", "repository", "c.hash", "c.looks")
+    found = rows.filter(f"size({every}) > 0").selectExpr("row", "owner", "repository", "text_key", f"explode(array_distinct(transform({every}, s -> struct(s.hash as hash, s.looks as looks)))) as c")
+    found = found.select("row", "owner", "repository", "text_key", "c.hash", "c.looks")
     counts = staged(ownership(found), "secret-owners")
-    judged = found.join(counts, "hash").select(
+    alive = F.col("looks") & (F.col("owners") < WIDE_OWNERS)
+    judged = found.select("row", "hash").join(counts, "hash").select(
         "row",
-        F.when((F.col("owners") == 1) & F.col("looks"), F.struct("hash")).alias("live"),
-        F.when(F.col("owners") >= WIDE_OWNERS, F.struct("hash")).alias("copied"),
+        F.when(alive, F.struct("hash")).alias("live"),
+        F.when(~alive & (F.col("holders") >= WIDE_OWNERS), F.struct("hash")).alias("copied"),
     )
     verdict = judged.groupBy("row").agg(F.collect_set("live.hash").alias("live"), F.collect_set("copied.hash").alias("copied"))
     rows = rows.join(verdict, "row", "left").withColumns({c: F.expr(f"coalesce({c}, cast(array() as array<long>))") for c in ("live", "copied")})

@@ -99,6 +99,20 @@ def test_ownership(spark):
     assert masked == {**{i: rows[i][1] for i in range(4)}, 10: f"x password: {secrets.MASK} y {secrets.MASK} z", 11: f"again secret={secrets.MASK}", 12: None}
 
 
+def test_owners_without_copies(spark):
+    """Whole copies are no further owners, two owners leave a value live, three with texts of their own do not."""
+    one, two, three, none = "q8Zt1LmX0vB2nR7s", "Wd5kP0sJ3hYf9GuC", "Tn6bE2xR8mKa4VqZ", "Hc7oS1iN5wUl3DjM"
+    texts = [(f"token = {one}", s) for s in ("a", "b", "c", "d")]
+    texts += [(f"secret={two} {s}", s) for s in ("a", "b")] + [(f"secret={two} a", "c")]
+    texts += [(f"secret={three} {s}", s) for s in ("a", "b", "c")]
+    texts += [(f"token: {none}", s) for s in (None, None, "a")]
+    docs = spark.createDataFrame([(i, t, s, "en") for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string, lang string").repartition(3)
+    found = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.scan(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == [(1, 0)] * 7 + [(0, 1)] * 3 + [(1, 0)] * 3
+    masked = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert {i for i in masked if secrets.MASK not in masked[i]} == {7, 8, 9}
+
+
 def test_reliabilities():
     """Two labelers that agree outweigh one that votes at random."""
     patterns = [((1, 1, 1, 1), 300), ((-1, -1, -1, -1), 300), ((1, 1, 1, -1), 280), ((-1, -1, -1, 1), 290)]
