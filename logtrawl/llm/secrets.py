@@ -35,8 +35,13 @@ def _value(kind: str) -> str:
     return f"regexp_extract(s.value, {literal(ASSIGN)}, 1)" if kind == "assign" else "s.value"
 
 
-def _random_looking(value: str) -> str:
-    return f"({value} rlike '[0-9]' and {value} rlike '[A-Za-z]' and size(array_distinct(split({value}, ''))) >= 10 and not {value} rlike '(?i)example|sample|dummy|changeme|xxxx|0123456789|abcdef01')"
+def _random_looking(value: str, named: bool = False) -> str:
+    """A named value may be short or without digits: half as many distinct characters as it is long are enough, ten at most,
+    and for a digit stands that upper and lower case change more often than where words are put together."""
+    distinct = f"least(10, char_length({value}) / 2)" if named else "10"
+    changes = f"size(split({value}, '(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])', -1)) - 1"
+    mixed = f"({value} rlike '[0-9]' or 3 * ({changes}) >= char_length({value}))" if named else f"{value} rlike '[0-9]'"
+    return f"({mixed} and {value} rlike '[A-Za-z]' and size(array_distinct(split({value}, ''))) >= {distinct} and not {value} rlike '(?i)example|sample|dummy|changeme|xxxx|0123456789|abcdef01')"
 
 
 def candidates(df: DataFrame, text: str) -> DataFrame:
@@ -52,7 +57,7 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     inside = " or ".join(f"exists({k}, b -> b.start < s.end and s.start < b.end)" for k in KINDS)
     df = df.withColumn("token", F.expr(f"filter(token, s -> not ({inside}))"))
     form = "transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'hash', xxhash64({v}), 'looks', {l}))"
-    return df.withColumns({k: F.expr(form.format(k=k, v=_value(k), l=_random_looking(_value(k)))) for k in (*KINDS, "token")})
+    return df.withColumns({k: F.expr(form.format(k=k, v=_value(k), l=_random_looking(_value(k), k == "assign"))) for k in (*KINDS, "token")})
 
 
 def ownership(occurrences: DataFrame) -> DataFrame:

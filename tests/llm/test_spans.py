@@ -113,6 +113,17 @@ def test_owners_without_copies(spark):
     assert {i for i in masked if secrets.MASK not in masked[i]} == {7, 8, 9}
 
 
+def test_short_and_digitless_assigned_values(spark):
+    """The name marks a value: it may be short or without digits, but no word, number or repetition."""
+    live = ["x7Kp2mQz", "hunter2go", "a1b2c3d4e5f6", "qZtLmXvBnRsWkP", "0f3a0f3b12c4"]
+    not_live = ["password", "accessToken", "getAccessToken", "12345678", "a1a1a1a1a1", "aaaaaaaaaaaa1", "sampleKey01"]
+    docs = spark.createDataFrame([(i, f"password={v}", "a", "en") for i, v in enumerate(live + not_live)], "doc_id long, text string, source string, lang string")
+    found = {r.doc_id: r.n_live for r in secrets.scan(docs).collect()}
+    assert [found[i] for i in range(len(found))] == [1] * len(live) + [0] * len(not_live)
+    masked = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert all(masked[i] == f"password={secrets.MASK if i < len(live) else v}" for i, v in enumerate(live + not_live))
+
+
 def test_reliabilities():
     """Two labelers that agree outweigh one that votes at random."""
     patterns = [((1, 1, 1, 1), 300), ((-1, -1, -1, -1), 300), ((1, 1, 1, -1), 280), ((-1, -1, -1, 1), 290)]
