@@ -3,7 +3,9 @@
 Each tree gives every vector of a block a long string of bits, the sides of random hyperplanes, orthogonal within a tree as far as
 the dimensions reach, and keeps the strings in a sorted array. A query descends in each tree to the longest prefix that it shares
 with any entry; then all trees ascend together, one bit at a time, until their matches, repeats included, are ``reach`` times
-the rows of the block; in the last step only as many trees ascend as that needs. The union of the matches is scored exactly.
+the rows of the block; in the last step only as many trees ascend as that needs. Entries with one string are one match of their
+tree, so equal rows use up no more of the ascent than a single row. It goes on while the union of the matches has fewer than ``k`` rows
+besides the query's own. The union is scored exactly.
 
 For inner products, vectors get one more component that makes them equally long, and queries a zero there.
 ``reach`` and ``trees`` set the recall; every row is in every tree of its block, and blocks are bounded.
@@ -66,33 +68,21 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     asked = np.concatenate([queries / np.where(largest > 0, largest, 1), np.zeros((m, 1))], axis=1)
     query_codes = _codes(asked, planes, trees)
     want = max(reach * n, trees * k)
-    begin, end = np.zeros((trees, m), np.int64), np.full((trees, m), n)
-    lower_begin, lower_end = _ranges(sorted_codes, query_codes, BITS)
-    waiting = np.ones(m, bool)
-    for length in range(BITS - 1, -1, -1):  # ascend together
-        b, e = _ranges(sorted_codes, query_codes, length)
-        wide, narrow = e - b, lower_end - lower_begin
-        # with the first trees one step higher and the others still below
-        matched = np.cumsum(wide, axis=0) + narrow.sum(axis=0) - np.cumsum(narrow, axis=0)
-        stop = waiting & ((matched[-1] >= want) | (length == 0))
-        if stop.any():
-            risen = np.argmax((matched >= want) | (np.arange(trees)[:, None] == trees - 1), axis=0)
-            up = (np.arange(trees)[:, None] <= risen) & stop
-            begin = np.where(up, b, np.where(stop, lower_begin, begin))
-            end = np.where(up, e, np.where(stop, lower_end, end))
-            waiting &= ~stop
-        if not waiting.any():
-            break
-        lower_begin, lower_end = b, e
-    at, found, scores = [], [], []
+    # how many different strings stand before a place
+    strings = np.zeros((trees, n + 1), np.int64)
+    strings[:, 1] = 1
+    strings[:, 2:] = 1 + np.cumsum(sorted_codes[:, 1:] != sorted_codes[:, :-1], axis=1)
     mark = np.zeros(n, bool)
-    for i in range(m):
+
+    def seen(i: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         mark[:] = False
-        for t, (b, e) in enumerate(zip(begin[:, i].tolist(), end[:, i].tolist(), strict=True)):
+        for t, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
             if e > b:
                 mark[order[t, b:e]] = True
         near = np.flatnonzero(mark)
-        near = near[ids[near] != query_ids[i]]
+        return near[ids[near] != query_ids[i]]
+
+    def scored(i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         with np.errstate(over="ignore", invalid="ignore"):
             rough = vectors[near] @ queries[i]
             if len(near) > k:  # equal rows must get equal scores, so the last digits come from row-wise sums
@@ -100,9 +90,28 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                 near = near[rough >= edge - 1e-9 * max(1.0, abs(edge))] if np.isfinite(edge) else near
             score = (vectors[near] * queries[i]).sum(axis=1)
         best = best_of(ids[near], score, k)
-        at.append(np.full(len(best), i))
-        found.append(near[best])
-        scores.append(score[best])
+        return np.full(len(best), i), near[best], score[best]
+
+    out = []
+    lower_begin, lower_end = _ranges(sorted_codes, query_codes, BITS)
+    waiting = np.ones(m, bool)
+    for length in range(BITS - 1, -1, -1):  # ascend together
+        b, e = _ranges(sorted_codes, query_codes, length)
+        wide, narrow = (np.take_along_axis(strings, y, axis=1) - np.take_along_axis(strings, x, axis=1) for x, y in ((b, e), (lower_begin, lower_end)))
+        # with the first trees one step higher and the others still below
+        matched = np.cumsum(wide, axis=0) + narrow.sum(axis=0) - np.cumsum(narrow, axis=0)
+        stop = waiting & ((matched[-1] >= want) | (length == 0))
+        risen = np.argmax((matched >= want) | (np.arange(trees)[:, None] == trees - 1), axis=0)
+        for i in np.flatnonzero(stop).tolist():
+            up = np.arange(trees) <= risen[i]
+            near = seen(i, np.where(up, b[:, i], lower_begin[:, i]), np.where(up, e[:, i], lower_end[:, i]))
+            if len(near) >= k or length == 0:
+                out.append(scored(i, near))
+                waiting[i] = False
+        if not waiting.any():
+            break
+        lower_begin, lower_end = b, e
+    at, found, scores = zip(*out, strict=True)
     return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
 
 

@@ -76,3 +76,34 @@ def test_forest_finds_all_with_full_reach():
     at, found, scores = prefix_forest.block_search(ids[:40], v[:40], ids, v, 10, trees=8, reach=8.0, seed=1)
     got = sorted((int(ids[a]), int(f)) for a, f in zip(at, found, strict=True))
     assert got == sorted((a, b) for a, _, b, _ in all_best(ids, v[:40] @ v.T, ids[:40], 10))
+
+
+def test_forest_returns_all_rows(spark):
+    """As many rows as there are, up to k: with huge components, and for queries in clusters of exactly k rows."""
+    huge = spark.createDataFrame([(i, [1e300 * i, -1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert prefix_forest.forest_search(huge, k=2, every=2).count() == 4
+    rng = np.random.default_rng(2)
+    for noise in (0, 1e-9):
+        v = rng.normal(size=(500, 32))
+        v[40:60] = v[40] + noise * rng.normal(size=(20, 32))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        ids = np.arange(500)
+        at, found, _ = prefix_forest.block_search(ids[40:60], v[40:60], ids, v, 20, trees=96, reach=0.8, seed=7)
+        assert np.bincount(at).tolist() == [20] * 20
+        assert all(len(set(found[at == i]) & set(range(40, 60))) == 19 for i in range(20))
+
+
+@pytest.mark.parametrize("noise", [0, 1e-9])
+def test_recall_beside_a_hot_cluster(noise):
+    """A third of the rows (nearly) equal: queries beside them find the others no worse."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64))
+    v[2000:] = v[0] + noise * rng.normal(size=(1000, 64))
+    v[1:101] = v[0] + 0.9 * v[1:101]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[2000:] *= 0.7  # so that others are among the best
+    ids = np.arange(3000)
+    at, found, _ = prefix_forest.block_search(ids[1:101], v[1:101], ids, v, 20, trees=96, reach=0.8, seed=7)
+    want = {(a, b) for a, _, b, _ in all_best(ids, v[1:101] @ v.T, ids[1:101], 20)}
+    got = {(int(a) + 1, int(f)) for a, f in zip(at, found, strict=True)}
+    assert len(want & got) / len(want) >= 0.99
