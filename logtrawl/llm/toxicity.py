@@ -127,6 +127,10 @@ class Grammar:
             left = max((text.rfind(c, floor, begin) for c in ".!?;\n|"), default=-1)
             if left < 0:
                 left = text.find(" ", floor, begin) if floor > done else floor - 1
+                if floor > done and left < 0:  # no blank either: what is left of a cut word is none
+                    left = floor - 1
+                    while left + 1 < begin and text[left].isalpha() and text[left + 1].isalpha():
+                        left += 1
             right = _END.search(text, end + 1, end + 1 + CLAUSE)
             if right:
                 done = right.start()

@@ -132,6 +132,20 @@ def test_clauses_not_words():
     assert grammar.features(long)[0] > 0
 
 
+def test_clauses_of_unspaced_texts():
+    """Without blanks and end marks a clause has at most CLAUSE characters before its match, whole words only."""
+    grammar, seen = toxicity.Grammar({"idiot": 4.0}), []
+    clause = grammar.clause
+    grammar.clause = lambda text: seen.append(text) or clause(text)
+    part = "字" * 5 + "。" + "x" * 5 + "-idiot" + "-" * 2 * toxicity.CLAUSE
+    once, often = grammar.features(part), grammar.features(part * 40)
+    assert len(seen) == 41 and max(map(len, seen)) <= 2 * toxicity.CLAUSE + len("idiot")
+    assert often[0] == pytest.approx(np.log1p(40 * np.expm1(once[0]))) and often[2] == once[2]
+    seen.clear()
+    grammar.features("!" + "字、" * 200 + "y" * 10 + "idiot" + "-" * 297 + "、idiot")
+    assert not any(text.startswith("idiot") for text in seen if text != "idiot")
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
