@@ -32,6 +32,8 @@ PIECE = 2 << 20  # bytes of text worked on at once
 HELD = 1_000_000  # shingles held before they are passed on
 HOT = 200_000  # shingles with a place of their own in the common order; a matter of speed only
 TARGET_TOKENS = 1_000_000  # prefix tokens of one target
+HEAVY = 250_000  # a shingle that so many sets repeat is no target's; its nodes meet by joins
+SALTS = 32  # parts of the nodes of one heavy shingle and size
 CHUNK_TOKENS = 1_000_000  # shingles in one chunk of a group
 CHUNK_NODES = 1024
 LEAF = 8
@@ -351,8 +353,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, node long, bits binary, heavy binary")
 
 
-def _hot(sets: DataFrame) -> np.ndarray:
-    """The most repeated shingles, the most frequent last: at most HOT."""
+def _hot(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most repeated shingles, the most frequent last: at most HOT; and those of them that HEAVY sets or more repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,13 +364,31 @@ def _hot(sets: DataFrame) -> np.ndarray:
 
     counted = sets.filter("heavy is not null").select("heavy").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     most = counted.filter("n >= 8").orderBy(F.desc("n"), "token").limit(HOT).toPandas()
-    return most["token"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
+    hot = most["token"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
+    return hot, hot[most["n"].to_numpy(np.int64)[::-1] >= HEAVY]
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: int, of: int) -> DataFrame:
-    """``target, packed``: the prefix tokens of each batch's distinct nodes, dealt to targets by token."""
+def _prefix_sets(texts: pa.Array, hot: np.ndarray, size: int, need: int, of: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Node, number of shingles and prefix tokens of the distinct nodes of a batch."""
     place = np.argsort(hot)
     known = hot[place]
+    seen: set[int] = set()
+    for _, tokens in shingle_sets(texts, size):
+        node = _node(tokens)
+        if node in seen:
+            continue
+        seen.add(node)
+        n = len(tokens)
+        length = n - -(-need * n // of) + 1 + n // MORE
+        if len(known):
+            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            rank = np.where(known[at] == tokens, place[at] + 1, 0)
+            tokens = tokens[np.argsort(rank, kind="stable")]
+        yield node, n, tokens[:length].copy()
+
+
+def _prefixes(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, targets: int, size: int, need: int, of: int) -> DataFrame:
+    """``target, packed``: the prefix tokens of each batch's distinct nodes but for the heavy ones, dealt to targets by token."""
 
     def packed(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         tokens = np.concatenate(parts)
@@ -387,23 +407,16 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
             parts, nodes, sizes, held = [], [], [], 0
-            for _, tokens in shingle_sets(batch.column(0), size):
-                node = _node(tokens)
-                if node in seen:
-                    continue
-                seen.add(node)
-                n = len(tokens)
-                length = n - -(-need * n // of) + 1 + n // MORE
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    rank = np.where(known[at] == tokens, place[at] + 1, 0)
-                    tokens = tokens[np.argsort(rank, kind="stable")]
-                parts.append(tokens[:length].copy())
+            for node, n, tokens in _prefix_sets(batch.column(0), hot, size, need, of):
+                if len(heavy):
+                    tokens = tokens[~np.isin(tokens, heavy)]
+                    if not len(tokens):
+                        continue
+                parts.append(tokens)
                 nodes.append(node)
                 sizes.append(n)
-                held += length
+                held += len(tokens)
                 if held >= HELD // 2:
                     yield packed(parts, nodes, sizes)
                     parts, nodes, sizes, held = [], [], [], 0
@@ -413,8 +426,48 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, targets: int, size: int, need: i
     return docs.mapInArrow(run, "target long, packed binary")
 
 
-def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame:
-    """``anchor, node, n``: the nodes that share a prefix token, under the smallest of them (with itself).
+def _heavy_met(docs: DataFrame, hot: np.ndarray, heavy: np.ndarray, size: int, need: int, of: int) -> DataFrame:
+    """``anchor, node, n, anchor_n, alone`` for each heavy prefix token, as ``_members`` finds them for the others.
+
+    The nodes of a token are summed up by size first. Its runs are told from these sizes alone, so no task holds its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            count = [len(x[2]) for x in held]
+            token = np.concatenate([x[2] for x in held]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.repeat(np.array([x[c] for x in held], np.int64), count)) for c in (0, 1))], ["token", "node", "n"])
+
+        for batch in batches:
+            held, count = [], 0
+            for node, n, tokens in _prefix_sets(batch.column(0), hot, size, need, of):
+                tokens = tokens[np.isin(tokens, heavy)]
+                if len(tokens):
+                    held.append((node, n, tokens))
+                    count += len(tokens)
+                if count >= HELD // 2:
+                    yield rows(held)
+                    held, count = [], 0
+            if held:
+                yield rows(held)
+
+    entries = staged(docs.mapInArrow(run, "token long, node long, n long").distinct(), "join-heavy")
+    sizes = entries.groupBy("token", "n").agg(F.min("node").alias("low"), F.count("*").alias("nodes"))
+    # a run ends where the next size is too far; a token has one row for each size here
+    by_size = Window.partitionBy("token").orderBy("n")
+    before = F.lag("n").over(by_size)
+    sizes = sizes.withColumn("begins", F.when(before.isNull() | (of * before < need * F.col("n")), 1).otherwise(0))
+    sizes = sizes.withColumn("run", F.sum("begins").over(by_size))
+    whole = Window.partitionBy("token", "run")
+    sizes = sizes.withColumn("first", F.min(F.struct("low", "n")).over(whole)).withColumn("length", F.sum("nodes").over(whole))
+    sizes = sizes.filter("length > 1").selectExpr("token", "n", "first.low as anchor", "first.n as anchor_n", "cast(length = 2 as long) as alone")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(sizes, ["token", "n", "salt"]).filter("node != anchor").select("anchor", "node", "n", "anchor_n", "alone")
+
+
+def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataFrame | None = None) -> DataFrame:
+    """``anchor, node, n``: the nodes that share a prefix token, under the smallest of them (with itself); ``heavy`` has
+    those that ``_heavy_met`` found.
 
     Two nodes that meet alone must do so at as many tokens as their lengthened prefixes guarantee for a link. Where
     three or more meet, one common token is enough."""
@@ -465,7 +518,8 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int) -> DataFrame
             yield groups(held)
 
     dealt = prefixes.repartition(targets, "target").sortWithinPartitions("target")
-    met = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("anchor", "node", "n", "anchor_n")
+    met = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    met = (met.union(heavy) if heavy is not None else met).groupBy("anchor", "node", "n", "anchor_n")
     met = met.agg(F.sum("alone").alias("alone"), F.min("alone").alias("least"))
     met = staged(met.filter(f"least = 0 or alone >= 1 + floor(least(n, anchor_n) / {MORE})"), "join-met")
     return met.select("anchor", "node", "n").union(met.select("anchor", F.col("anchor").alias("node"), F.col("anchor_n").alias("n")).distinct())
@@ -587,13 +641,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, need: int,
     """``doc_id, text_key, n, label, first`` of every row with words: its component, and the smallest id there."""
     docs = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"), F.xxhash64(whole_text(text_col)).alias("text_key"))
     sets = staged(_sets(docs, size), "join-sets")
-    hot = _hot(sets)
+    hot, heavy = _hot(sets)
     total = sets.agg(F.sum("n")).first()[0] or 0
     targets = max(1, -(-int(total * (of - need) / of) // TARGET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    members = staged(_members(_prefixes(docs.select("text"), hot, targets, size, need, of), targets, need, of), "join-members")
+    texts = docs.select("text")
+    met = _heavy_met(texts, hot, heavy, size, need, of) if len(heavy) else None
+    members = staged(_members(_prefixes(texts, hot, heavy, targets, size, need, of), targets, need, of, met), "join-members")
     bits = sets.select("node", F.col("bits").alias("data")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     near = staged(_near(members, bits, need, of), "join-near")
-    tokens = _token_rows(docs.select("text"), _bitset(near), size)
+    tokens = _token_rows(texts, _bitset(near), size)
     stars = staged(_stars(near, tokens, need, of), "join-stars")
     firsts = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))

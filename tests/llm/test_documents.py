@@ -51,6 +51,35 @@ def test_linked_groups(spark, odd_docs, empty_docs, monkeypatch):
     assert sorted(str(tuple(r)) for r in signature_join.linked_groups(odd_docs).collect()) == want
 
 
+def test_heavy_shingles(spark, monkeypatch):
+    """No task is dealt all nodes of a shingle that many share, and the members are the same as if it were."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(300):
+        if i % 3:
+            words = [f"u{i}x{j}" for j in range(rnd.randrange(5, 60))]
+        else:
+            words = [f"w{j}" for j in range(rnd.choice([20, 50, 54, 58, 120]))]
+            words[rnd.randrange(len(words))] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = docs.select("text").localCheckpoint()
+    found, prefix_rows = [], []
+    for limit in (signature_join.HEAVY, 15):
+        monkeypatch.setattr(signature_join, "HEAVY", limit)
+        hot, heavy = signature_join._hot(signature_join._sets(docs.selectExpr("doc_id", "text", "xxhash64(text) as text_key"), 5))
+        prefixes = signature_join._prefixes(texts, hot, heavy, 3, 5, 75, 100)
+        times = Counter()
+        for r in prefixes.collect():
+            used, count = np.frombuffer(r.packed, np.int64, 2).tolist()
+            times.update(np.frombuffer(r.packed, np.uint64, count, 16 + 16 * used).tolist())
+        prefix_rows.append(max(times.values()))
+        met = signature_join._heavy_met(texts, hot, heavy, 5, 75, 100) if len(heavy) else None
+        found.append(sorted(map(tuple, signature_join._members(prefixes, 3, 75, 100, met).collect())))
+    assert prefix_rows[0] > 30 > prefix_rows[1] and found[0] == found[1]
+    assert sorted(map(tuple, signature_join.linked_groups(docs).collect())) == sorted(plain_groups(rows)[0])
+
+
 def test_join_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op6_signature_trees(spark, DATA).collect())) == sorted(plain_groups(rows)[0])
