@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_top, packing, pii, prefix_forest, secrets, shards, signature_join, simple8b, token_text, toxicity
-from .common import byte_bpe_path, documents, embeddings
+from . import exact_top, packing, pii, prefix_forest, recursive_bpe, secrets, shards, signature_join, simple8b, token_text, toxicity
+from .common import byte_bpe_path, byte_ranks_path, documents, embeddings
 
 
 HELD_OUT = "coalesce(crc32(cast(cast({0} as string) as binary)) % 4 = 2, false)"
@@ -55,13 +55,17 @@ def op10_byte_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(documents(spark, sf_dir), shards=40)
 
 
+def op13_recursive_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursive_bpe.round_trip_digests(documents(spark, sf_dir), byte_ranks_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_clause_grammar, op2_no_random_access, op3_simple8b, op4_ownership, op5_prefix_forest, op6_signature_trees, op7_sum_of_squares, op8_weak_supervision, op9_pair_index, op10_byte_prefix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_clause_grammar, op2_no_random_access, op3_simple8b, op4_ownership, op5_prefix_forest, op6_signature_trees, op7_sum_of_squares, op8_weak_supervision, op9_pair_index, op10_byte_prefix, op13_recursive_merges, pipeline)}
 
 OP2_SQL = """WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
