@@ -171,6 +171,7 @@ class Block:
 
 def block_nodes(rows: DataFrame) -> DataFrame:
     """``NODES`` of every block, from ``shard, conv_id, path, chars, before`` sorted within its shard; ``before`` is the last path of the shard in front."""
+    cells = CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = None, 0, None
@@ -190,7 +191,7 @@ def block_nodes(rows: DataFrame) -> DataFrame:
                     if held:
                         yield done()
                     shard, block, before = now, 0, last
-                if held and (len(held) + 1) * max(widest, len(chars)) > CELLS:
+                if held and (len(held) + 1) * max(widest, len(chars)) > cells:
                     yield done()
                 held.append((conv, path, np.array(chars, np.int64)))
                 widest = max(widest, len(chars), 1)
