@@ -5,19 +5,26 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    any_of, byte_chars, byte_len, bytes_text, count_in, pattern_facts, pattern_spec, places, sql_text, trie_regex,
+    any_of, byte_chars, byte_len, bytes_text, count_in, occurrences_of, pattern_spec, places, sql_text, trie_regex,
 )
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, materialize
 
 # Up to this many patterns are tested one by one in generated code. Beyond it one expression for all of them is faster.
 INLINE_PATTERNS = 12
 # Patterns of a table become one expression up to this size, beyond it they are joined.
 PATTERN_BYTES = 1024 * 1024
+# Input below this size for each core may come in fewer splits than there are cores.
+SPLIT_BYTES = 32 * 1024 * 1024
+# Patterns of a larger table are found by grams of so many bytes, in pieces of lines, with a set of so many marks at most.
+GRAM, PIECE_BYTES, GRAM_BITS = 4, 1024, 1 << 23
+# The rarest gram of a pattern is told from one line of so many.
+GRAM_SAMPLE = 32
 
 
 # Order of matches inside a file: by line, then where the match ends, the longer pattern first.
@@ -87,47 +94,43 @@ def pattern_size(patterns: Sequence[str], number: str = "pattern_id") -> str:
     return f"get(array({', '.join(f'{byte_len(p)}L' for p in patterns) or '0L'}), {number})"
 
 
-def _hit_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """One row per line and pattern that occurs in it, with ``pattern_id`` and the ``_spec`` for ``places``.
+def _find_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """One expression built from all patterns goes over each line once; its hits and their places become rows, which
+    are looked up in the table of patterns. The work on a line depends on its hits, not on the number of patterns."""
+    raw = [byte_chars(p) for p in patterns]
+    kept = [f"`{c}`" for c in lines.columns]
+    found = _spread(lines).selectExpr("*", f"inline({occurrences_of('line', raw)}) AS (_hit, occurrence, match_pos)")
+    return found.join(_numbered(lines, raw), "_hit").selectExpr(*kept, "pattern_id", "occurrence", "match_pos")
 
-    One expression built from all patterns goes over the line and gives the longest pattern at each place. Shorter
-    ones that begin there are beginnings of it. The distinct texts are looked up in the table of patterns, so a
-    line is never copied by position and the work on a line does not depend on the number of patterns.
-    """
-    raw = sorted(byte_chars(p) for p in patterns)
-    shorter = sorted({len(p) for p, after in zip(raw, raw[1:]) if after.startswith(p)})
-    finder = sql_text(f"(?=({trie_regex(raw)}))")
-    hits = f"array_distinct(regexp_extract_all({bytes_text('line')}, {finder}, 1))"
-    if shorter:
-        sizes = f"array({', '.join(map(str, shorter))})"
-        begun = f"flatten(transform({sizes}, n -> transform(found, hit -> left(hit, n))))"
-        # a name inside the expression: a column would be made anew for each use
-        hits = f"transform(array({hits}), found -> array_distinct(concat(found, {begun})))[0]"
-    facts = [{"pattern_id": n, "_hit": byte_chars(p), **pattern_facts(p)} for n, p in enumerate(patterns)]
-    names = list(facts[0])
-    listed = pa.table([[f[name] for f in facts] for name in names], names=names)
-    spec = ", ".join(name for name in names if name not in ("pattern_id", "_hit"))
-    table = lines.sparkSession.createDataFrame(listed).selectExpr(
-        "_hit", "int(pattern_id) AS pattern_id", f"struct({spec}) AS _spec"
-    )
-    if sum(map(byte_len, patterns)) + 128 * len(patterns) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
-    return lines.selectExpr("*", f"explode({hits}) AS _hit").join(table, "_hit").drop("_hit")
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """Lines of an input of fewer splits than cores, dealt to all cores; a larger one is left where it is read."""
+    if lines.isStreaming:
+        return lines
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    size = lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return lines.repartition(cores) if size < cores * SPLIT_BYTES else lines
 
-def _find_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    kept = [f"`{c}`" for c in lines.columns]
-    return _hit_patterns(lines, patterns).selectExpr(
-        *kept, "pattern_id", f"posexplode({places('line', '_spec')}) AS (occurrence, match_pos)"
-    ).selectExpr(*kept, "pattern_id", "bigint(occurrence) AS occurrence", "match_pos")
+
+def _numbered(lines: DataFrame, raw: Sequence[str]) -> DataFrame:
+    """``_hit, pattern_id`` of the patterns."""
+    table = lines.sparkSession.createDataFrame(pa.table({"_hit": pa.array(raw), "pattern_id": pa.array(range(len(raw)), pa.int32())}))
+    return F.broadcast(table) if sum(map(len, raw)) * 2 + 32 * len(raw) <= BROADCAST_BYTES else table
 
 
 def count_by_number(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Occurrences of checked patterns, ``pattern_id, n``, of those that occur; summed in the task that finds them."""
-    found = _hit_patterns(lines.select("line"), patterns)
-    return found.selectExpr("pattern_id", f"bigint(size({places('line', '_spec')})) AS n").groupBy("pattern_id").agg(
-        F.expr("sum(n) AS n")
-    )
+    """Occurrences of checked patterns, ``pattern_id, n``, of those that occur; summed in the task that finds them.
+
+    Counted are the longest patterns at each place; a pattern has the counts of all that begin with it.
+    """
+    raw = [byte_chars(p) for p in patterns]
+    finder = sql_text(f"(?=({trie_regex(raw)}))")
+    found = _spread(lines.select("line")).selectExpr(f"explode(regexp_extract_all({bytes_text('line')}, {finder}, 1)) AS _hit")
+    counted = found.groupBy("_hit").agg(F.expr("count(1) AS n"))
+    number = {p: n for n, p in enumerate(raw)}
+    begun = [(p, number[p[:n]]) for p in raw for n in range(1, len(p) + 1) if p[:n] in number]
+    table = lines.sparkSession.createDataFrame(pa.table({"_hit": [b[0] for b in begun], "pattern_id": pa.array([b[1] for b in begun], pa.int32())}))
+    return counted.join(table, "_hit").groupBy("pattern_id").agg(F.expr("sum(n) AS n"))
 
 
 def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
@@ -149,29 +152,74 @@ def search_table(lines: DataFrame, patterns: DataFrame, column: str = "pattern")
 
 
 def _search_join(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """Equal-text join of the pieces of each line, one piece per start and pattern length.
+    """Each pattern is looked for by its rarest gram, and only where a gram of some pattern stands.
 
-    Only the place of a piece goes with it; the line is joined back to what was found, by its place. Each piece
-    meets at most one pattern, as pattern texts are distinct, so a frequent piece only makes one join key large,
-    which adaptive execution splits.
+    A set of bits of bounded size tells at each byte whether such a gram may stand there. Where one may, the gram is joined with
+    those of the patterns and the pattern compared with the line: at once if the patterns are small enough to be sent to
+    every task, else when the lines are joined back to the places. How rare a gram is decides the work, never the result.
     """
-    sizes = sorted(r.n for r in texts.selectExpr("octet_length(pattern) AS n").distinct().collect())
     kept = [f"`{c}`" for c in lines.columns]
     place = ["file_rank", "block", "pos"]
-    pieces = (
-        lines.filter(f"octet_length(line) >= {sizes[0]}")
-        .selectExpr(*place, "binary(line) AS _raw", f"explode(sequence(0, octet_length(line) - {sizes[0]})) AS match_pos")
-        .selectExpr("*", f"explode(array({', '.join(map(str, sizes))})) AS match_len")
-        .filter("match_pos + match_len <= octet_length(_raw)")
-        .selectExpr(*place, "match_pos", "match_len", "substring(_raw, match_pos + 1, match_len) AS _piece")
-    )
-    found = pieces.join(texts.selectExpr("pattern", "binary(pattern) AS _piece"), "_piece").drop("_piece")
+    chosen = _rarest_grams(lines, texts)
+    size = chosen.selectExpr("count(1) AS n", "coalesce(sum(octet_length(_text)), 0) AS bytes", "collect_set(octet_length(_gram)) AS sizes").first()
+    if not size.n:
+        return search(lines, [])
+    placed = _gram_places(lines, sorted(size.sizes)).filter(_may_stand(chosen, size.n))
+    start = "match_pos >= 0 AND substring(binary(line), match_pos + 1, octet_length(_text)) = _text"
+    small = size.bytes + 64 * size.n <= BROADCAST_BYTES
+    found = placed.join(F.broadcast(chosen) if small else chosen, "_gram").selectExpr("*", "_at - _offset AS match_pos")
+    if small:
+        found = found.filter(start)
     inside = "(PARTITION BY file_rank, block, pos, pattern ORDER BY match_pos)"
-    numbered = found.selectExpr("*", f"bigint(row_number() OVER {inside} - 1) AS occurrence")
-    return lines.join(numbered, place).selectExpr(
+    number = f"bigint(row_number() OVER {inside} - 1) AS occurrence"
+    found = found.select(*place, "pattern", "match_pos", *([] if small else ["_text"]))
+    joined = lines.join(found.selectExpr("*", number), place) if small else lines.join(found, place).filter(start).selectExpr("*", number)
+    return joined.selectExpr(
         *kept, "pattern", "occurrence", "bigint(match_pos) AS match_pos",
-        "bigint(match_pos + match_len) AS match_end", "bigint(match_len) AS match_len",
+        "bigint(match_pos + octet_length(pattern)) AS match_end", "bigint(octet_length(pattern)) AS match_len",
+    )
+
+
+def _gram_places(lines: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``file_rank, block, pos, line, _at, _gram`` of every byte of the lines: the grams of these sizes that begin there.
+
+    Long lines are cut first, so that a gram is never taken out of more than a piece.
+    """
+    cuts = (
+        f"transform(sequence(0, int((octet_length(raw) - 1) div {PIECE_BYTES})), "
+        f"n -> struct(n * {PIECE_BYTES} AS _base, substring(raw, n * {PIECE_BYTES} + 1, {PIECE_BYTES + GRAM - 1}) AS _piece))"
+    )
+    pieces = lines.filter("octet_length(line) > 0").selectExpr(
+        "file_rank", "block", "pos", "line", f"inline(transform(array(binary(line)), raw -> {cuts})[0])"
+    )
+    every = f"explode(sequence(0, least(octet_length(_piece), {PIECE_BYTES}) - 1)) AS _in"
+    grams = pieces.selectExpr("*", every)
+    grams = grams.selectExpr("*", f"explode(array({', '.join(map(str, sizes))})) AS _size") if len(sizes) > 1 else grams.selectExpr("*", f"{sizes[0]} AS _size")
+    return grams.filter("_in + _size <= octet_length(_piece)").selectExpr(
+        "file_rank", "block", "pos", "line", "_base + _in AS _at", "substring(_piece, _in + 1, _size) AS _gram"
+    )
+
+
+def _rarest_grams(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pattern, _text, _gram, _offset``: of each pattern the gram that some of the lines have least (a shorter pattern is its own)."""
+    whole = texts.selectExpr("pattern", "binary(pattern) AS _text")
+    grams = whole.selectExpr("*", f"explode(sequence(0, greatest(octet_length(_text) - {GRAM}, 0))) AS _offset").selectExpr(
+        "*", f"substring(_text, _offset + 1, {GRAM}) AS _gram"
     )
+    some = lines.filter(f"pmod(xxhash64(file_rank, block, pos), {GRAM_SAMPLE}) = 0").select("file_rank", "block", "pos", "line")
+    counted = _gram_places(some, [GRAM]).groupBy("_gram").agg(F.expr("count(1) AS n"))
+    ranked = grams.join(counted, "_gram", "left").groupBy("pattern").agg(F.expr("min(struct(coalesce(n, 0) AS n, _offset, _gram)) AS best"))
+    return materialize(ranked.selectExpr("pattern", "binary(pattern) AS _text", "best._gram AS _gram", "best._offset AS _offset"), "grams")
+
+
+def _may_stand(chosen: DataFrame, n: int):
+    """A test of ``_gram``: one byte of a constant for each remainder of a hash, at most ``GRAM_BITS``."""
+    width = min(GRAM_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    slot = f"pmod(xxhash64(_gram), {width})"
+    found = chosen.selectExpr(f"int({slot}) AS slot").distinct().toPandas()["slot"].to_numpy()
+    marks = np.zeros(width, np.uint8)
+    marks[found] = 1
+    return F.substring(F.lit(marks.tobytes()), F.expr(f"int({slot}) + 1"), F.lit(1)) == F.lit(b"\x01")
 
 
 def count_patterns(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:

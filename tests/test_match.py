@@ -10,6 +10,7 @@ from logtrawl import Print, Rule, count_patterns, output_lines, run, search, sea
 from logtrawl.functions import text
 from logtrawl.operators import match
 from logtrawl.operators.match import MATCH_ORDER, check_patterns
+from logtrawl.sources import tables
 
 
 def naive(line, pattern):
@@ -131,6 +132,51 @@ def test_trie_takes_the_longest():
             assert (hit and hit.group()) == longest
 
 
+def test_beginnings_of_beginnings(spark, lines):
+    """Many patterns, each the beginning of the next; and a pattern of a table far longer than the rest."""
+    patterns = ["a" * n for n in range(1, 701)] + ["ab", "b"]
+    files = {0: ["a" * 750, "aab" * 3, "b", "", "x" * 9 + "aaa"]}
+    want = expected(files, patterns)
+    assert found(search(lines(files), patterns)) == want
+    counts = {r.pattern: r.n for r in count_patterns(lines(files), patterns).collect()}
+    assert counts == {p: sum(w[2] == p for w in want) for p in patterns}
+    assert search_lines(lines(files), patterns).count() == 4
+
+
+def test_hot_line_among_many_patterns(lines):
+    line = "ab" * 900 + "é" + "abab" * 40
+    patterns = ["ab", "b", "abab", "éa", *[f"no {n}" for n in range(20)]]
+    assert found(search(lines({0: [line, "b"]}), patterns)) == expected({0: [line, "b"]}, patterns)
+
+
+@pytest.mark.parametrize("broadcast", [match.BROADCAST_BYTES, 0])
+def test_rare_grams(spark, lines, monkeypatch, broadcast):
+    """Patterns of every length around a gram, across pieces of lines, beside each other and overlapping."""
+    monkeypatch.setattr(match, "PATTERN_BYTES", 0)
+    monkeypatch.setattr(match, "PIECE_BYTES", 16)
+    monkeypatch.setattr(match, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(9)
+    files = {f: ["".join(rng.choice("abcé ") for _ in range(rng.choice([0, 3, 15, 16, 17, 40, 90]))) for _ in range(12)] for f in range(3)}
+    every = [line[i : i + n] for texts in files.values() for line in texts for n in (1, 3, 4, 5, 16, 21) for i in range(0, len(line), 7)]
+    patterns = sorted({p for p in every if p} | {"aaaa", "never there", "é"})
+    table = spark.createDataFrame([(p,) for p in [*patterns, ""]], "pattern string")
+    assert found(search_table(lines(files), table)) == expected(files, patterns)
+    assert search_table(lines(files), table.filter("pattern = ''")).count() == 0
+
+
+def test_few_places_become_rows(spark, monkeypatch):
+    """Of the bytes of the documents, only those with the rarest gram of a pattern are looked at again."""
+    monkeypatch.setattr(match, "GRAM_SAMPLE", 1)  # so small a table has too few lines for a sample
+    log = tables.document_log(spark, "/root/testdata/sf0.001")
+    texts = log.selectExpr("substring(line, 11, 24) AS pattern").filter("octet_length(pattern) >= 24").distinct()
+    chosen = match._rarest_grams(log, texts).cache()
+    read = log.selectExpr("sum(octet_length(line)) AS n").first().n
+    shuffled = match._gram_places(log, [match.GRAM]).filter(match._may_stand(chosen, chosen.count())).join(chosen, "_gram").count()
+    assert chosen.count() > 500
+    assert shuffled < read / 20
+    chosen.unpersist()
+
+
 def test_many_patterns_make_no_python(lines):
     found = search(lines({0: ["a b"]}), [f"word {n}" for n in range(100)])
     plan = found._jdf.queryExecution().toString()
