@@ -190,7 +190,7 @@ def _long_numbers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @cache
-def library_encoder(path: str) -> Encoder:
+def library_encoder(path: str, words: int = WORDS) -> Encoder:
     """The ids of the tokenizers library, one encoder per Python worker."""
     import os
 
@@ -206,4 +206,4 @@ def library_encoder(path: str) -> Encoder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    return Encoder(encode, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+    return Encoder(encode, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, words)

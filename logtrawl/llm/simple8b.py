@@ -37,6 +37,7 @@ END = "S8B-END\n"
 BLOCK = 65_536
 FRAME_TOKENS = 1_000_000
 PART_FRAMES = 16
+WORDS = 900_000  # pre-tokens remembered by a Python worker
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -45,26 +46,22 @@ def pack(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64)
-    take, selector = np.ones(n, np.int64), np.zeros(n, np.int64)
-    place = np.arange(n)
-    for s in range(len(COUNTS) - 1, 0, -1):  # wider counts overwrite narrower ones
-        wide = np.flatnonzero(values >> np.uint64(WIDTHS[s]))
-        if s == len(COUNTS) - 1:
-            selector[:] = s
-            selector[wide] = 0
-            continue
-        if len(wide) == n:
+    small = values.astype(np.uint32) if int(values.max()) < 2**32 else values
+    take, selector = np.ones(n, np.uint8), np.zeros(n, np.uint8)
+    narrow = np.arange(n, dtype=np.int32)
+    for s in range(len(COUNTS) - 1, 0, -1):  # from one wide value a word to many narrow ones
+        count, width = COUNTS[s], WIDTHS[s]
+        if small.dtype.itemsize * 8 > width:
+            narrow = narrow[small[narrow] < small.dtype.type(1 << width)]
+        first = narrow[: max(0, len(narrow) - count + 1)]
+        first = first[narrow[count - 1 :] - first == count - 1]
+        if not len(first):  # what takes more and narrower values fits nowhere either
             break
-        clear = np.full(n, n, np.int64)  # the next value that is too wide
-        clear[wide] = wide
-        clear = np.minimum.accumulate(clear[::-1])[::-1]
-        fits = np.flatnonzero(clear - place >= COUNTS[s])
-        take[fits], selector[fits] = COUNTS[s], s
-    jump = (place + take).tolist()
-    heads, at = [], 0
+        take[first], selector[first] = count, s
+    step, heads, at = take.tolist(), [], 0
     while at < n:
         heads.append(at)
-        at = jump[at]
+        at += step[at]
     heads = np.array(heads)
     kind = selector[heads]
     words = np.empty(len(heads), np.uint64)
@@ -165,7 +162,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int, i
     frame = frame.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary_path)
+        encoder = library_encoder(vocabulary_path, WORDS)
         for batch in by_bytes(batches, 1):
             ids, counts = encoder.encode(batch.column(1).to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end_id)
