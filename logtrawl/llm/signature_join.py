@@ -320,7 +320,7 @@ def _children(i: np.ndarray, one: Tree, level: int, j: np.ndarray, other: Tree)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, text_key, n, node, bits`` of every row, and on some rows ``heavy``: shingles with their counts that
+    """``doc_id, text_key, n, node`` of every row, ``bits`` on the first row of a node in its batch, and on some rows ``heavy``: shingles with their counts that
     neighbouring rows repeat."""
 
     def repeated(seen: dict[int, np.ndarray]) -> bytes:
@@ -334,10 +334,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             bits: list[bytes | None] = [None] * batch.num_rows
             heavy: list[bytes | None] = [None] * batch.num_rows
             seen: dict[int, np.ndarray] = {}
+            sent: set[int] = set()
             held, last = 0, 0
             for i, tokens in shingle_sets(batch.column(1), size):
                 n[i], node[i], last = len(tokens), _node(tokens), i
-                bits[i] = bitmap(tokens, _width(len(tokens))).astype("<u8").tobytes()
+                if int(node[i]) not in sent:
+                    sent.add(int(node[i]))
+                    bits[i] = bitmap(tokens, _width(len(tokens))).astype("<u8").tobytes()
                 if int(node[i]) not in seen:
                     seen[int(node[i])] = tokens
                     held += len(tokens)
@@ -470,11 +473,20 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataF
     those that ``_heavy_met`` found.
 
     Two nodes that meet alone must do so at as many tokens as their lengthened prefixes guarantee for a link. Where
-    three or more meet, one common token is enough."""
+    three or more meet, one common token is enough. A target returns what it found packed, one row for each home of
+    nodes; homes sum the pairs up, so a pair is one row in however many targets and tokens it meets."""
 
-    names = ["anchor", "node", "n", "anchor_n", "alone"]
+    names = ["anchor", "node", "n", "anchor_n", "alone", "least"]
 
-    def groups(packed: list[bytes]) -> pa.RecordBatch:
+    def summed(rows: np.ndarray) -> np.ndarray:
+        """One row of each pair: ``alone`` added, the smallest ``least``."""
+        if not len(rows):
+            return rows
+        rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
+        return np.concatenate([rows[first, :4], np.add.reduceat(rows[:, 4:5], first), np.minimum.reduceat(rows[:, 5:], first)], axis=1)
+
+    def groups(packed: list[bytes]) -> np.ndarray:
         tokens, nodes, sizes = [], [], []
         for data in packed:
             used, count = np.frombuffer(data, np.int64, 2).tolist()
@@ -495,32 +507,47 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataF
         run = np.cumsum(begins) - 1
         starts = np.flatnonzero(begins)
         if not len(starts):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
+            return np.empty((0, 6), np.int64)
         length = np.diff(np.concatenate([starts, [len(token)]]))[run]
         lowest = starts + [int(np.argmin(node[a:b])) if b - a > 1 else 0 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True)]
         anchor = lowest[run]
         keep = (length > 1) & (anchor != np.arange(len(token)))
-        rows = np.stack([node[anchor], node, n, n[anchor], length == 2], axis=1)[keep]
-        rows, times = np.unique(rows, axis=0, return_counts=True)
-        rows[:, 4] *= times
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names)
+        alone = (length == 2).astype(np.int64)
+        return summed(np.stack([node[anchor], node, n, n[anchor], alone, alone], axis=1)[keep])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+        """The packed rows of one key after another."""
         now, held = None, []
         for batch in batches:
-            for target, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if target != now and held:
-                    yield groups(held)
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != now and held:
+                    yield now, held
                     held = []
-                now = target
+                now = key
                 held.append(data)
         if held:
-            yield groups(held)
+            yield now, held
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in each(batches):
+            rows = groups(held)
+            home = (_mix(rows[:, 1].astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0, [True]])) if len(rows) else np.zeros(1, np.int64)
+            parts = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[p[0]]) for p in parts], pa.int64()), pa.array([rows[p].tobytes() for p in parts], pa.binary())], ["home", "packed"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in each(batches):
+            rows = summed(np.frombuffer(b"".join(held), np.int64).reshape(-1, 6))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names)
 
     dealt = prefixes.repartition(targets, "target").sortWithinPartitions("target")
-    met = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    met = (met.union(heavy) if heavy is not None else met).groupBy("anchor", "node", "n", "anchor_n")
-    met = met.agg(F.sum("alone").alias("alone"), F.min("alone").alias("least"))
+    homes = dealt.mapInArrow(meet, "home long, packed binary").repartition(targets, "home").sortWithinPartitions("home")
+    met = homes.mapInArrow(sum_up, ", ".join(f"{c} long" for c in names))
+    if heavy is not None:
+        met = met.union(heavy.withColumn("least", F.col("alone"))).groupBy("anchor", "node", "n", "anchor_n")
+        met = met.agg(F.sum("alone").alias("alone"), F.min("least").alias("least"))
     met = staged(met.filter(f"least = 0 or alone >= 1 + floor(least(n, anchor_n) / {MORE})"), "join-met")
     return met.select("anchor", "node", "n").union(met.select("anchor", F.col("anchor").alias("node"), F.col("anchor_n").alias("n")).distinct())
 
@@ -647,7 +674,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, need: int,
     texts = docs.select("text")
     met = _heavy_met(texts, hot, heavy, size, need, of) if len(heavy) else None
     members = staged(_members(_prefixes(texts, hot, heavy, targets, size, need, of), targets, need, of, met), "join-members")
-    bits = sets.select("node", F.col("bits").alias("data")).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    bits = sets.filter("bits is not null").groupBy("node").agg(F.first("bits").alias("data")).join(members.select("node").distinct(), "node", "left_semi")
     near = staged(_near(members, bits, need, of), "join-near")
     tokens = _token_rows(texts, _bitset(near), size)
     stars = staged(_stars(near, tokens, need, of), "join-stars")
