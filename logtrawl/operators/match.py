@@ -19,8 +19,6 @@ from ..session import BROADCAST_BYTES, materialize
 INLINE_PATTERNS = 12
 # Patterns of a table become one expression up to this size, beyond it they are joined.
 PATTERN_BYTES = 1024 * 1024
-# Input below this size for each core may come in fewer splits than there are cores.
-SPLIT_BYTES = 32 * 1024 * 1024
 # Patterns of a larger table are found by grams of so many bytes, in pieces of lines, with a set of so many marks at most.
 GRAM, PIECE_BYTES, GRAM_BITS = 4, 1024, 1 << 23
 # The rarest gram of a pattern is told from one line of so many.
@@ -99,19 +97,10 @@ def _find_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     are looked up in the table of patterns. The work on a line depends on its hits, not on the number of patterns."""
     raw = [byte_chars(p) for p in patterns]
     kept = [f"`{c}`" for c in lines.columns]
-    found = _spread(lines).selectExpr("*", f"inline({occurrences_of('line', raw)}) AS (_hit, occurrence, match_pos)")
+    found = lines.selectExpr("*", f"inline({occurrences_of('line', raw)}) AS (_hit, occurrence, match_pos)")
     return found.join(_numbered(lines, raw), "_hit").selectExpr(*kept, "pattern_id", "occurrence", "match_pos")
 
 
-def _spread(lines: DataFrame) -> DataFrame:
-    """Lines of an input of fewer splits than cores, dealt to all cores; a larger one is left where it is read."""
-    if lines.isStreaming:
-        return lines
-    cores = lines.sparkSession.sparkContext.defaultParallelism
-    size = lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return lines.repartition(cores) if size < cores * SPLIT_BYTES else lines
-
-
 def _numbered(lines: DataFrame, raw: Sequence[str]) -> DataFrame:
     """``_hit, pattern_id`` of the patterns."""
     table = lines.sparkSession.createDataFrame(pa.table({"_hit": pa.array(raw), "pattern_id": pa.array(range(len(raw)), pa.int32())}))
@@ -125,7 +114,7 @@ def count_by_number(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """
     raw = [byte_chars(p) for p in patterns]
     finder = sql_text(f"(?=({trie_regex(raw)}))")
-    found = _spread(lines.select("line")).selectExpr(f"explode(regexp_extract_all({bytes_text('line')}, {finder}, 1)) AS _hit")
+    found = lines.selectExpr(f"explode(regexp_extract_all({bytes_text('line')}, {finder}, 1)) AS _hit")
     counted = found.groupBy("_hit").agg(F.expr("count(1) AS n"))
     number = {p: n for n, p in enumerate(raw)}
     begun = [(p, number[p[:n]]) for p in raw for n in range(1, len(p) + 1) if p[:n] in number]

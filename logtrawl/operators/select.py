@@ -127,18 +127,46 @@ def chunk_letters(chunk: str) -> str:
 def context_lines(lines: DataFrame, hits: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """The hit lines and their neighbours, each line once, marked by ``is_hit``.
 
-    ``hits`` holds the lines asked for, ``lines`` all lines, both with ``file_rank`` and ``lineno``. The lines
-    meet the wanted numbers in an equal-key join; only many wanted numbers make it shuffle the lines.
+    ``hits`` holds the lines asked for, ``lines`` all lines, both with ``file_rank, block`` and ``lineno``. Few wanted
+    numbers are sent to where the lines are read. Many hits go with the lines to their blocks, once: a window in
+    the block tells which lines are near a hit, and blocks tell their neighbours how far their first and last hit reach.
     """
     if before < 0 or after < 0:
         raise ValueError("before and after must not be negative")
+    keys = [c for c in ("file_rank", "block", "lineno") if c in hits.columns]
+    hits = materialize(hits.select(*keys).distinct(), "hits")
+    if "block" not in keys or hits.count() * (before + after + 1) * 32 <= BROADCAST_BYTES:
+        return _numbers_around(lines, hits, before, after)
+    return _halo(lines, hits, before, after)
+
+
+def _numbers_around(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
     wanted = (
-        hits.select("file_rank", "lineno")
-        .distinct()
-        .selectExpr("file_rank", "lineno", f"explode(sequence({-before}L, {after}L)) AS _step")
+        hits.selectExpr("file_rank", "lineno", f"explode(sequence({-before}L, {after}L)) AS _step")
         .selectExpr("file_rank", "lineno + _step AS lineno", "_step = 0 AS is_hit")
         .groupBy("file_rank", "lineno")
         .agg(F.expr("bool_or(is_hit) AS is_hit"))
     )
     wanted = small_side(wanted, "wanted", 32)
     return lines.join(wanted, ["file_rank", "lineno"]).selectExpr(*[f"`{c}`" for c in lines.columns], "is_hit")
+
+
+def _halo(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
+    kept = [f"`{c}`" for c in lines.columns]
+    unit = ["file_rank", "block"]
+    spans = lines.groupBy(*unit).agg(F.expr("min(lineno) AS _low"), F.expr("max(lineno) AS _high"))
+    edges = hits.groupBy(*unit).agg(F.expr("min(lineno) AS _first"), F.expr("max(lineno) AS _last")).join(spans, unit)
+    # one row per block, opened to at most before + after numbers
+    beyond = (
+        f"concat(if(_first - {before} < _low AND _low > 0, sequence(greatest(_first - {before}, 0L), _low - 1), array()), "
+        f"if(_last + {after} > _high, sequence(_high + 1, _last + {after}), array()))"
+    )
+    beyond = small_side(edges.selectExpr("file_rank", f"explode({beyond}) AS lineno", "true AS _beyond").distinct(), "beyond", 32)
+    marks = hits.selectExpr(*unit, "lineno", "true AS _mark")
+    marked = lines.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    inside = "(PARTITION BY file_rank, block ORDER BY lineno RANGE BETWEEN"
+    near = marked.selectExpr(
+        *kept, "_mark", f"max(_mark) OVER {inside} CURRENT ROW AND CURRENT ROW) AS is_hit",
+        f"max(_mark) OVER {inside} {after} PRECEDING AND {before} FOLLOWING) AS _near",
+    ).filter("NOT _mark")
+    return near.join(beyond, ["file_rank", "lineno"], "left").filter("_near OR _beyond").selectExpr(*kept, "is_hit")

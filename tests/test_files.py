@@ -3,9 +3,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import logtrawl as lt
 from logtrawl.functions import times
+from logtrawl.operators import select
 from logtrawl.sources import catalog as cat_module
 
 DAY = 86400
@@ -279,6 +281,24 @@ def test_context(spark, lines):
     ]
 
 
+@pytest.mark.parametrize(("before", "after", "size"), [(0, 0, 3), (2, 1, 3), (1, 4, 1), (7, 0, 2), (0, 9, 4), (3, 3, 100)])
+def test_context_of_many_hits(spark, lines, monkeypatch, before, after, size):
+    """Hits go with the lines to their blocks, and reach into the blocks around, however small these are."""
+    monkeypatch.setattr(select, "BROADCAST_BYTES", 0)
+    rng = random.Random(before * 10 + size)
+    files = {f: ["a hit" if rng.random() < 0.25 else "line" for _ in range(rng.randrange(1, 40))] for f in range(4)}
+    table = lines(files).withColumn("block", F.expr(f"lineno div {size}"))
+    got = lt.context_lines(table, lt.search_lines(table, ["hit"]), before, after)
+    assert got.columns == [*table.columns, "is_hit"]
+    want = [
+        (f, n, text == "a hit", text)
+        for f, texts in files.items()
+        for n, text in enumerate(texts)
+        if any(texts[k] == "a hit" for k in range(max(n - after, 0), min(n + before + 1, len(texts))))
+    ]
+    assert sorted((r.file_rank, r.lineno, r.is_hit, r.line) for r in got.collect()) == want
+
+
 def test_stop_early(spark, tmp_path):
     paths = []
     for n in range(20):

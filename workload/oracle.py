@@ -94,8 +94,10 @@ hits AS (SELECT doc_id, pattern, len(string_split(line, pattern)) - 1 AS n, strl
   WHERE substr(line, i, length(pattern)) = pattern GROUP BY doc_id, lineno, pattern)
 SELECT doc_id, pattern, sum(n)::BIGINT AS n, min(first_pos) AS first_pos, max(n) - 1 AS top FROM hits GROUP BY ALL""",
     "nested_all_of": f"""WITH {DOC}, {occ('doc', 'doc_id, lineno', ['the', 'er'])}
-SELECT p.doc_id, p.lineno, p.match_end AS parent_end, c.match_pos
-FROM occ p JOIN occ c ON p.doc_id = c.doc_id AND p.lineno = c.lineno WHERE p.pattern = 'the' AND c.pattern = 'er'""",
+SELECT p.doc_id, p.lineno, count(*) AS n, sum(p.match_end)::BIGINT AS sum_parent_end, min(p.match_end) AS min_parent_end, max(p.match_end) AS max_parent_end,
+       sum(c.match_pos)::BIGINT AS sum_match_pos, min(c.match_pos) AS min_match_pos, max(c.match_pos) AS max_match_pos
+FROM occ p JOIN occ c ON p.doc_id = c.doc_id AND p.lineno = c.lineno WHERE p.pattern = 'the' AND c.pattern = 'er'
+GROUP BY p.doc_id, p.lineno""",
     "print_matches": f"""WITH {EV} SELECT file_rank, event_id AS pos, 'stdout' AS sink, line || chr(10) AS text FROM ev WHERE event_type = 'error'
 UNION ALL SELECT file_rank, event_id, 'stdout', line || chr(10) FROM ev WHERE user_id = 13""",
     "count_rules": f"""WITH {DOC}, {occ('doc', 'doc_id, lineno', ['the', 'anan', 'é', 'tion', 'no such text'])}
