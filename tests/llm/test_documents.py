@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from logtrawl.llm import queries, shards, signature_join, toxicity
+from logtrawl.llm.common import staged
 
 from .conftest import DATA
 
@@ -63,7 +64,7 @@ def test_heavy_shingles(spark, monkeypatch):
             words[rnd.randrange(len(words))] = f"new{i}"
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    texts = docs.select("text").localCheckpoint()
+    texts = staged(docs.select("text"), "test-texts")
     found, prefix_rows = [], []
     for limit in (signature_join.HEAVY, 15):
         monkeypatch.setattr(signature_join, "HEAVY", limit)
