@@ -1,10 +1,11 @@
-import os
+import glob
 
 import pytest
 
 import logtrawl as lt
 from logtrawl import Context, Count, Custom, Exit, File, Interval, MaxCount, Print, Regex, Rule, RuleSet
 from logtrawl.functions import template
+from logtrawl.operators import sinks
 from logtrawl.plans import examples
 
 
@@ -193,13 +194,45 @@ def test_output_lines_and_sinks(spark, lines, tmp_path):
         lt.write_output(out, folder, modes)
 
     def content(sink):
-        where = f"{folder}/sink={sink}"
-        return "".join(open(f"{where}/{p}").read() for p in sorted(os.listdir(where)) if p.startswith("part"))
+        return "".join(open(p).read() for p in sorted(glob.glob(f"{folder}/sink={sink}/*/part*")))
 
     assert content("stdout") == "Y x y\none\n\ntwo\nx\n"
     assert content("f") == "00\n" and content("log") == "tail\ntail\n"
 
 
+def read_back(spark, folder):
+    found = {}
+    for r in lt.read_output(spark, folder).orderBy("sink", "run", "part", "pos").collect():
+        found.setdefault(r.sink, []).append(r.line)
+    return found
+
+
+def test_appended_runs_stay_in_order(spark, lines, tmp_path, monkeypatch):
+    folder = str(tmp_path / "out of [runs] %41")
+    rules = [Rule("x", File("more/é+%2B.log", append=True), Print(), File("new"), Print())]
+    modes = lt.Program(rules).append_sinks()
+    wrote = []
+    for n in range(12):
+        texts = [f"x {n} {i}" for i in range(7)]
+        assert lt.write_output(lt.run(rules, lines({0: texts})), folder, modes) == n
+        wrote += texts
+        assert read_back(spark, folder) == {"more/é+%2B.log": wrote, "new": texts}
+    # a run that fails at its end leaves nothing behind that counts
+    out = lt.run(rules, lines({0: ["x lost"]}))
+    with monkeypatch.context() as patched:
+        patched.setattr("logtrawl.operators.sinks._commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            lt.write_output(out, folder, modes)
+    assert read_back(spark, folder) == {"more/é+%2B.log": wrote, "new": texts}
+    assert lt.write_output(out, folder, modes) == 12
+    assert read_back(spark, folder) == {"more/é+%2B.log": [*wrote, "x lost"], "new": ["x lost"]}
+    # no text, no run
+    assert lt.write_output(out.filter("false"), folder, modes) is None
+    assert lt.read_output(spark, str(tmp_path / "never")).count() == 0
+    with pytest.raises(RuntimeError, match="another run"):
+        sinks._commit(spark, folder, {"number": 12, "folder": "run=x", "sinks": {}})
+
+
 def test_lifecycle(spark, lines):
     rules = RuleSet(
         [Rule("x", Print())], on_start=[Print("begin\n")], on_end=[Print("a"), File(stderr=True), Print("b")],
