@@ -294,17 +294,39 @@ def java_regex(regex: str) -> str:
 
 def _has_group(regex: str) -> bool:
     """Whether a Java pattern captures anything: a parenthesis outside brackets, not escaped, and plain or named."""
-    bare = re.sub(r"\\Q.*?\\E|\\.", "", regex, flags=re.DOTALL)
-    bare = re.sub(r"\[\^?\]?[^\]]*\]", "", bare)
-    return re.search(r"\((?!\?)|\(\?<[A-Za-z]", bare) is not None
+    return re.search(r"\((?!\?)|\(\?<[A-Za-z]", _bare(regex)) is not None
+
+
+def _bare(regex: str) -> str:
+    """A Java pattern without what is quoted, escaped or in brackets."""
+    return re.sub(r"\[\^?\]?[^\]]*\]", "", re.sub(r"\\Q.*?\\E|\\.", "", regex, flags=re.DOTALL))
 
 
 def capture(line: str, regex: str) -> str:
     """First group of the first match (the whole match if the pattern has no group), NULL without a match.
 
-    POSIX classes are understood. Java picks the first alternative that fits, a POSIX matcher the longest; order
-    alternatives accordingly.
+    POSIX classes are understood. The match is the longest of those that begin first, as egrep has it; of several ways
+    to match as much, the one that prefers earlier alternatives and longer repeats. A pattern without alternatives and
+    repeated groups is matched as it is. Others are matched up to a bound on what is left of the line behind the match,
+    which halving makes as small as it can be. Patterns with back references, which egrep lacks, prefer the first alternative.
     """
     regex = java_regex(regex)
     group = 1 if _has_group(regex) else 0
-    return f"if({line} rlike {sql_text(regex)}, regexp_extract({line}, {sql_text(regex)}, {group}), null)"
+    pattern = sql_text(regex)
+    if not re.search(r"\||\)[*+?{]", _bare(regex)) or re.search(r"\\[1-9k]", regex):
+        return f"if({line} rlike {pattern}, regexp_extract({line}, {pattern}, {group}), null)"
+
+    def bounded(least: str, most: str) -> str:
+        whole = f"(?:{regex})" if group else f"({regex})"
+        parts = "'(?s:^.{'", "skipped", sql_text("})" + whole + "(?=(?s:.{"), least, "','", most, sql_text("})\\z)")
+        return f"concat({', '.join(parts)})"
+
+    middle = "(span.low + span.high) div 2"
+    halved = (
+        f"aggregate(sequence(0, int(log2(length({line}) + 1)) + 1), struct(0L AS low, bigint(length({line}) - skipped) AS high), (span, n) -> "
+        f"if(span.low < span.high, if({line} rlike {bounded('0', middle)}, "
+        f"struct(span.low AS low, {middle} AS high), struct({middle} + 1 AS low, span.high AS high)), span), span -> span.low)"
+    )
+    start = f"length(regexp_extract({line}, {sql_text(f'^((?s:.*?))(?:{regex})')}, 1))"
+    found = f"transform(array({halved}), rest -> regexp_extract({line}, {bounded('rest', 'rest')}, 1))[0]"
+    return f"if({line} rlike {pattern}, transform(array({start}), skipped -> {found})[0], null)"

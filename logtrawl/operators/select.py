@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..session import BROADCAST_BYTES, materialize, small_side
-from ..sources.catalog import basename, files_between
+from ..sources.catalog import basename, catalog_of, choose_files, files_between
 from .ordered import last_before, running_total
 
 
@@ -74,8 +74,9 @@ def _block_kinds(times_of: DataFrame, low: str, high: str) -> DataFrame:
     return joined.selectExpr("file_rank", "block", "_in", f"{kind} AS kind")
 
 
-def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
-    """Lines of a time range from a catalog. ``end`` may be a duration counted from ``start``.
+def cat(spark, files: DataFrame | str | Sequence[str], start: str, end: str, read=None) -> DataFrame:
+    """Lines of a time range from a catalog, or from files that are named one by one and taken literally, in this
+    order. ``end`` may be a duration counted from ``start``.
 
     Only files whose span overlaps the range are read. What goes on from a file that is not read is outside the range.
     """
@@ -85,6 +86,8 @@ def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
     until = times.end_argument(end, begin)
     if until <= begin:
         raise ValueError("the time range is empty")
+    if not isinstance(files, DataFrame):
+        files = catalog_of(spark, files)
     chosen = files_between(files, begin, until)
     lines = (read or read_logs)(spark, chosen)
     # files next to each other, one row per file
@@ -93,6 +96,31 @@ def cat(spark, files: DataFrame, start: str, end: str, read=None) -> DataFrame:
     return _in_range(joined, begin, until, "_stretch").drop("_stretch")
 
 
+def read_chosen(
+    spark, files: DataFrame, before: str | None = None, after: str | None = None, now: int | None = None,
+    granularity: str = "file", read=None,
+) -> DataFrame:
+    """The lines of the files that ``choose_files`` takes, in its order.
+
+    ``granularity="line"`` leaves out the lines of these files on the wrong side of the time; a line without one goes with
+    the line before it, in the order of time of the files.
+    """
+    from ..sources.lines import read_logs
+
+    if granularity not in ("file", "line"):
+        raise ValueError("granularity is file or line")
+    now = times.now_micros() if now is None else now
+    chosen = choose_files(files, before, after, now)
+    read = read or read_logs
+    if granularity == "file" or (before is None and after is None):
+        return read(spark, chosen)
+    moment = times.time_spec(after if after is not None else before, now)
+    ascending = files.join(chosen.select("path"), "path", "left_semi")
+    lines = time_range(read(spark, ascending), moment if after is not None else None, moment if before is not None else None)
+    ranks = small_side(chosen.selectExpr("path", "file_rank AS _rank"), "ranks", 256)
+    return lines.join(ranks, "path").selectExpr(*["_rank AS file_rank" if c == "file_rank" else f"`{c}`" for c in lines.columns])
+
+
 def split_by_size(lines: DataFrame, chunk_bytes: int, path: str = "path", order: Sequence[str] = ("pos",)) -> DataFrame:
     """Add ``chunk`` and ``chunk_name`` (``aa-<file>``, ``ab-<file>``, ...), cut at line ends.
 

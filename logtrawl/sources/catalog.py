@@ -7,6 +7,7 @@ the live file plus its rotations, ``<name>.log-YYYYMMDD-<epoch seconds>[.gz]``.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,17 @@ def catalog(
     return describe(files, log_name, now, first_lines)
 
 
+def catalog_of(spark: SparkSession, paths: str | Sequence[str], now: int | None = None, first_lines: bool = True) -> DataFrame:
+    """The catalog of just these files, taken literally, without their rotations; they keep the order they are given in."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    places = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    stores = [place.getFileSystem(spark._jsc.hadoopConfiguration()) for place in places]
+    found = [(str(s.makeQualified(p).toString()), s.getFileStatus(p).getLen(), n) for n, (s, p) in enumerate(zip(stores, places, strict=True))]
+    given = spark.createDataFrame(found, "path string, size_bytes bigint, _nth bigint")
+    rows = describe(given.drop("_nth"), "", now, first_lines).drop("file_rank", "log_name").join(given.drop("size_bytes"), "path")
+    return rows.selectExpr(f"{basename('path')} AS log_name", *[f"`{c}`" for c in rows.columns if c != "_nth"], "_nth AS file_rank")
+
+
 def describe(files: DataFrame, log_name: str, now: int | None = None, first_lines: bool = True) -> DataFrame:
     """Turn ``path, size_bytes`` rows (``first_ts`` too, where it is known) into catalog rows."""
     known = files.selectExpr(

@@ -299,6 +299,35 @@ def test_context_of_many_hits(spark, lines, monkeypatch, before, after, size):
     assert sorted((r.file_rank, r.lineno, r.is_hit, r.line) for r in got.collect()) == want
 
 
+def test_files_named_one_by_one(spark, logs):
+    """No rotations are looked for, and the given order stays."""
+    old = f"{logs}/old/app.log-20200917-{1600300800 + DAY}"
+    only = lt.catalog_of(spark, f"{logs}/app.log", NOW)
+    assert names(lt.list_logs(only)) == ["app.log"]
+    got = lt.cat(spark, f"{logs}/app.log", "2020-09-01 00:00:00", "2020-10-01 00:00:00")
+    assert sorted(r.line for r in got.collect()) == ["2020-09-19 00:00:01.000000 live one", "second"]
+    both = lt.catalog_of(spark, [f"{logs}/app.log", old], NOW)
+    assert [(r.file_rank, os.path.basename(r.path)) for r in both.orderBy("file_rank").collect()] == [(0, "app.log"), (1, os.path.basename(old))]
+    assert both.columns == lt.catalog(spark, logs, "app.log", NOW).columns or set(both.columns) == set(lt.catalog(spark, logs, "app.log", NOW).columns)
+    lines = lt.cat(spark, [f"{logs}/app.log", old], "2020-09-17 10:00:00", "12:00:00")
+    assert [r.line for r in lines.orderBy("file_rank", "pos").collect()] == ["2020-09-17 10:00:00.500000 x\r", "lone\rcr", "2020-09-17 11:00:00 y"]
+
+
+def test_granularity_of_lines(spark, logs):
+    files = lt.catalog(spark, logs, "app.log", NOW)
+    after = lambda g: lt.read_chosen(spark, files, after="2020-09-17 10:30:00", now=NOW, granularity=g)
+    before = lambda g: lt.read_chosen(spark, files, before="2020-09-17 10:30:00", now=NOW, granularity=g)
+    shown = lambda df: [r.line for r in df.orderBy("file_rank", "pos").collect()]
+    x, lone, y = "2020-09-17 10:00:00.500000 x\r", "lone\rcr", "2020-09-17 11:00:00 y"
+    late = ["no stamp", "2020-09-18 12:00:00 z é", "2020-09-19 00:00:01.000000 live one", "second"]
+    early = ["2020-09-16 08:00:00.000000 first", "  more", "2020-09-16 09:00:00 b"]
+    assert shown(after("file")) == [x, lone, y, *late] and shown(after("line")) == [y, *late]
+    assert shown(before("file")) == [x, lone, y, *early] and shown(before("line")) == [x, lone, *early]
+    assert before("line").columns == before("file").columns
+    with pytest.raises(ValueError):
+        after("byte")
+
+
 def test_stop_early(spark, tmp_path):
     paths = []
     for n in range(20):

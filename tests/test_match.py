@@ -231,3 +231,26 @@ def test_capture(spark):
     rows = spark.createDataFrame([("id=12 x",), ("none",)], "line string")
     got = rows.selectExpr(f"{text.capture('line', 'id=([0-9]+)')} AS g", f"{text.capture('line', 'id=[0-9]+')} AS w").collect()
     assert [tuple(r) for r in got] == [("12", "id=12"), (None, None)]
+
+
+LONGEST = ["(a|ab)(c|bcd)?", "x*(b|bc|bcd)d?", "(a+|ab|abc)+", "(ab|a)(bc|c)?$", "^(a|ab|b)+", "(b?)(ab)?(c|abc)*", "((a|ab)(c|bcd))(d*)", "a|abc|ab", "(é|éa|b)*c?", "[|(a]+b?", "(a|(ab))+"]
+
+
+@pytest.mark.parametrize("regex", LONGEST)
+def test_longest_captures(spark, regex):
+    """Of the matches that begin first the longest; of the ways to match as much, the first that is tried."""
+    rng = random.Random(len(regex))
+    values = ["", "abcd", "xabcd", "zzabbcd", "abab", "|(ab", "a\rb", "😀abcd", "abcabcd", *["".join(rng.choice("abcdxé") for _ in range(rng.randrange(14))) for _ in range(60)]]
+
+    def longest(value):
+        plain = re.compile(regex)
+        first = plain.search(value)
+        if not first:
+            return None
+        for left in range(len(value) - first.start() + 1):
+            m = re.compile(f"(?:{regex})(?=(?s:.{{{left}}})\\Z)").match(value, first.start())
+            if m:
+                return (m[1] or "") if plain.groups else m[0]
+
+    rows = spark.createDataFrame(list(enumerate(values)), "n int, line string").selectExpr("n", f"{text.capture('line', regex)} AS got")
+    assert [r.got for r in rows.orderBy("n").collect()] == [longest(v) for v in values]
