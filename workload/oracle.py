@@ -70,6 +70,14 @@ def duration(us: str) -> str:
 
 TYPES = ["| SIGNUP |", "| PURCHASE |", "| ERROR |", "| VIEW |", "| CLICK |"]
 
+# files of 500 events, rotated in the second after the last of them, every other one compressed, the last one live
+FILES = EV + """, lines AS (SELECT *, event_id // 500 AS part, row_number() OVER w - 1 AS nth, (sum(strlen(line) + 1) OVER w)::BIGINT - strlen(line) - 1 AS line_offset
+  FROM ev WINDOW w AS (PARTITION BY event_id // 500 ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+files AS (SELECT *, CASE WHEN live THEN 'app.log' ELSE 'app.log-20240201-' || ends || CASE WHEN part % 2 = 0 THEN '.gz' ELSE '' END END AS name
+  FROM (SELECT part, part = (SELECT max(event_id) // 500 FROM ev) AS live, min(ts_us) AS first_us, max(ts_us) // 1000000 + 1 AS ends,
+               sum(strlen(line) + 1)::BIGINT AS bytes FROM lines GROUP BY part))"""
+MOMENT = "epoch_us(TIMESTAMP '2024-01-11 12:00:00')"
+
 ORACLE = {
     "search_any": f"""WITH {DOC} SELECT doc_id, lineno, line FROM doc
 WHERE contains(line, 'nthe') OR contains(line, 'tion') OR contains(line, 'é')""",
@@ -250,4 +258,31 @@ UNION ALL SELECT file_rank, event_id, 'purchases.txt', substr(line, 1, 26) || '
 UNION ALL SELECT file_rank, event_id, 'errors.txt', substr(line, 1, 10) || ' k=1' || chr(10) FROM u WHERE event_type = 'error' AND contains(line, ' k=1')
 UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'purchases: ' || (SELECT count(*) FROM u WHERE event_type = 'purchase') || chr(10)""",
     "posix_classes": f"""WITH {EV} SELECT event_id, upper(event_type) AS kind, user_id::VARCHAR AS user_id FROM ev""",
+    "file_list": f"""WITH {FILES} SELECT part AS file_rank, name, first_us, CASE WHEN NOT live THEN ends * 1000000 END AS rotate_us,
+  CASE WHEN name NOT LIKE '%.gz' THEN bytes END AS plain_bytes FROM files""",
+    "file_lines": f"WITH {FILES} SELECT part AS file_rank, nth AS lineno, line_offset, line FROM lines",
+    "file_cat": f"""WITH {FILES} SELECT part // 2 AS file_rank, line FROM lines
+WHERE part % 2 = 0 AND ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-05 06:30:00' + INTERVAL 300 HOUR + INTERVAL 15 MINUTE""",
+    "file_direction": f"""WITH {FILES}, kept AS (
+  SELECT part, name, row_number() OVER (ORDER BY part DESC) - 1 AS file_rank
+  FROM (SELECT *, lag(ends) OVER (ORDER BY part) * 1000000 AS before FROM files) WHERE first_us <= {MOMENT} AND coalesce(before <= {MOMENT}, true))
+SELECT file_rank, name, n_lines, last_line FROM kept
+LEFT JOIN (SELECT part, count(*) AS n_lines, max(line) AS last_line FROM lines WHERE ts_us <= {MOMENT} GROUP BY part) USING (part)""",
+    "file_search": f"""WITH {FILES} SELECT part AS file_rank, ' user_id=' || user_id || ' ' || (line_offset + strpos(line, ' user_id=1') - 1) || ' ' || line_offset || ' ' || nth || chr(10) AS text
+FROM lines WHERE contains(line, ' user_id=1')""",
+    "sinks_read_back": f"""WITH {EV} SELECT 'all.log' AS sink, run::BIGINT AS run, row_number() OVER (PARTITION BY run ORDER BY event_id) AS n, left(line, 26) AS line
+FROM ev JOIN (VALUES ('error', 0), ('view', 1)) k(event_type, run) USING (event_type)
+UNION ALL SELECT 'last.log', 1, row_number() OVER (ORDER BY event_id), substr(line, 30) FROM ev WHERE event_type = 'view'""",
+    "regex_longest": f"""WITH {EV} SELECT event_id, left(k, 2) AS digits,
+  CASE event_type WHEN 'purchase' THEN 'PURCHASE' WHEN 'view' THEN 'VIEW' END AS word,
+  'user' AS pair, 'event_id=' || event_id AS whole FROM ev""",
+    "last_of_equal_patterns": f"""WITH {EV} SELECT event_id AS pos, '| ERROR | last' || chr(10) AS text FROM ev WHERE event_type = 'error'
+UNION ALL SELECT event_id, line || chr(10) FROM ev WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'k=7 ' || (strpos(line, ' k=7')) FROM ev WHERE k LIKE '7%'
+UNION ALL SELECT event_id, 'user_id=7  ' || (strpos(line, 'user_id=7 ') - 1) FROM ev WHERE user_id = 7""",
+    "offset_formats": f"""WITH {EV}, placed AS (SELECT *, (sum(strlen(line) + 1) OVER (PARTITION BY day ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT - strlen(line) - 1 AS place FROM ev)
+SELECT file_rank, (place + strpos(line, '| VIEW |') - 1) || ' ' || place || chr(10) AS text FROM placed WHERE event_type = 'view'
+UNION ALL SELECT file_rank, (strpos(line, 'k=') - 1) || ' ' || place || chr(10) FROM placed WHERE event_type = 'view'""",
+    "custom_at_end": f"""WITH {EV} SELECT file_rank, event_id AS pos, 'stdout' AS sink, (strlen(line) * 3)::VARCHAR AS text FROM ev WHERE event_type = 'error' AND event_id % 3 = 0
+UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'sum ' || coalesce(sum(strlen(line) * 3), 0)::BIGINT FROM ev WHERE event_type = 'error'""",
 }

@@ -19,6 +19,8 @@ from logtrawl.sources import catalog as files
 from logtrawl.session import materialize
 from logtrawl.sources import tables
 
+from .file_queries import FILE_QUERIES
+
 EVENT_TYPES = ["| SIGNUP |", "| PURCHASE |", "| ERROR |", "| VIEW |", "| CLICK |"]
 NOW = times.stamp_span("2024-02-01 00:00:00")[0]
 
@@ -413,7 +415,7 @@ def posix_classes(spark: SparkSession, sf: str) -> DataFrame:
     return tables.event_log(spark, sf).selectExpr("pos AS event_id", f"{kind} AS kind", f"{user} AS user_id")
 
 
-QUERIES = {
+QUERIES = FILE_QUERIES | {
     q.__name__: q
     for q in (
         search_any, search_occurrences, search_order, search_pattern_table, nested_all_of, print_matches,
