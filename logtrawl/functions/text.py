@@ -170,73 +170,6 @@ def places(line: str, spec: str) -> str:
     return f"if({once}, {only}, {several})"
 
 
-def sums_before(values: str) -> str:
-    """For each number of an array, the sum of those before it; built chunk by chunk, as appending copies the array."""
-
-    def sums(part: str, start: str) -> str:
-        grown = f"aggregate({part}, array({start}), (acc, value) -> array_append(acc, element_at(acc, -1) + value))"
-        return f"slice({grown}, 1, size({part}))"
-
-    chunks = (
-        f"transform(sequence(0, int((size(given) - 1) div {_CHUNK})), "
-        f"n -> slice(given, n * {_CHUNK} + 1, least({_CHUNK}, size(given) - n * {_CHUNK})))"
-    )
-    totals = "transform(chunks, chunk -> aggregate(chunk, 0L, (acc, value) -> acc + value))"
-    many = (
-        f"transform(array({chunks}), chunks -> flatten(zip_with(chunks, {sums(totals, '0L')}, "
-        f"(chunk, base) -> {sums('chunk', 'base')})))[0]"
-    )
-    return f"transform(array({values}), given -> if(size(given) <= {_CHUNK}, {sums('given', '0L')}, {many}))[0]"
-
-
-# no byte looks like these in ``bytes_text``
-_HIT, _REST = "\u0100", "\u0101"
-
-
-def hits(line: str, words: Sequence[str]) -> str:
-    """Every place of a line where some of the words (``byte_chars`` of patterns) begin: ``struct<hit, at>``, the longest word there.
-
-    One pass of one expression marks the places and repeats each hit between two marks; the line is cut at the
-    marks, and the lengths of the cuts add up to the places.
-    """
-    marked = f"regexp_replace({bytes_text(line)}, {sql_text(f'(?=({trie_regex(words)}))')}, {sql_text(f'{_HIT}$1{_REST}')})"
-    cut = f"locate('{_REST}', cut)"
-    found = f"transform(slice(cuts, 2, size(cuts) - 1), cut -> left(cut, {cut} - 1))"
-    gaps = f"transform(cuts, (cut, n) -> bigint(length(cut) - if(n = 0, 0, {cut})))"
-    at = f"slice({sums_before(gaps)}, 2, size(cuts) - 1)"
-    pairs = f"zip_with({found}, {at}, (hit, at) -> struct(hit, at))"
-    return f"transform(array(split({marked}, '{_HIT}', -1)), cuts -> {pairs})[0]"
-
-
-def occurrences_of(line: str, words: Sequence[str]) -> str:
-    """Every occurrence of the words in a line: ``struct<hit, occurrence, at>``, in no order.
-
-    Words that begin a longer one stand where it stands.
-    """
-    known = set(words)
-    longer = sorted(w for w in known if any(w[:n] in known for n in range(1, len(w))))
-    everything = hits(line, words)
-    if longer:
-        shorter = sorted({w[:n] for w in longer for n in range(1, len(w))} & known)
-        least = min(map(len, shorter))
-        listed = ", ".join(map(sql_text, shorter))
-        begun = (
-            f"transform(filter(sequence({least}, length(found.hit) - 1), n -> left(found.hit, n) IN ({listed})), "
-            "n -> struct(left(found.hit, n) AS hit, found.at AS at))"
-        )
-        more = f"if(found.hit IN ({', '.join(map(sql_text, longer))}), concat(array(found), {begun}), array(found))"
-        everything = f"flatten(transform({everything}, found -> {more}))"
-    # equal words side by side, each word's places in order
-    first = "filter(transform(sorted, (x, n) -> if(n = 0 OR get(sorted, n - 1).hit <> x.hit, n, -1)), n -> n >= 0)"
-    runs = (
-        "transform(starts, (begin, run) -> transform("
-        "slice(sorted, begin + 1, coalesce(get(starts, run + 1), size(sorted)) - begin), "
-        "(x, n) -> struct(x.hit AS hit, bigint(n) AS occurrence, x.at AS at)))"
-    )
-    numbered = f"transform(array({first}), starts -> flatten({runs}))[0]"
-    return f"transform(array(sort_array({everything})), sorted -> {numbered})[0]"
-
-
 def positions(line: str, pattern: str) -> str:
     """Byte offsets of all occurrences of a pattern, an empty array if there are none."""
     if not pattern:

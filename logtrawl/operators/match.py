@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import (
-    any_of, byte_chars, byte_len, bytes_text, count_in, occurrences_of, pattern_spec, places, sql_text, trie_regex,
+    any_of, byte_chars, byte_len, bytes_text, count_in, pattern_spec, places, sql_text, trie_regex,
 )
 from ..session import BROADCAST_BYTES, materialize
+from .scan import FOUND, Scan, found_in
 
 # Up to this many patterns are tested one by one in generated code. Beyond it one expression for all of them is faster.
 INLINE_PATTERNS = 12
@@ -93,18 +95,11 @@ def pattern_size(patterns: Sequence[str], number: str = "pattern_id") -> str:
 
 
 def _find_many(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """One expression built from all patterns goes over each line once; its hits and their places become rows, which
-    are looked up in the table of patterns. The work on a line depends on its hits, not on the number of patterns."""
-    raw = [byte_chars(p) for p in patterns]
-    kept = [f"`{c}`" for c in lines.columns]
-    found = lines.selectExpr("*", f"inline({occurrences_of('line', raw)}) AS (_hit, occurrence, match_pos)")
-    return found.join(_numbered(lines, raw), "_hit").selectExpr(*kept, "pattern_id", "occurrence", "match_pos")
-
-
-def _numbered(lines: DataFrame, raw: Sequence[str]) -> DataFrame:
-    """``_hit, pattern_id`` of the patterns."""
-    table = lines.sparkSession.createDataFrame(pa.table({"_hit": pa.array(raw), "pattern_id": pa.array(range(len(raw)), pa.int32())}))
-    return F.broadcast(table) if sum(map(len, raw)) * 2 + 32 * len(raw) <= BROADCAST_BYTES else table
+    """One pass over the bytes finds all patterns in all lines of a batch, as one array a line; it is opened at the end,
+    where columns that nothing asks for are gone. The work does not depend on the number of patterns."""
+    schema = T.StructType([*lines.schema.fields, T.StructField("_found", FOUND)])
+    found = found_in(Scan([p.encode("utf-8") for p in patterns]), lines.columns.index("line"), schema)
+    return lines.mapInArrow(found, schema).selectExpr(*[f"`{c}`" for c in lines.columns], "inline(_found)")
 
 
 def count_by_number(lines: DataFrame, patterns: Sequence[str]) -> DataFrame:

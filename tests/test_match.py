@@ -1,14 +1,17 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtrawl import Print, Rule, count_patterns, output_lines, run, search, search_lines, search_table
 from logtrawl.functions import text
-from logtrawl.operators import match
+from logtrawl.operators import match, scan
 from logtrawl.operators.match import MATCH_ORDER, check_patterns
 from logtrawl.sources import tables
 
@@ -177,10 +180,49 @@ def test_few_places_become_rows(spark, monkeypatch):
     chosen.unpersist()
 
 
-def test_many_patterns_make_no_python(lines):
-    found = search(lines({0: ["a b"]}), [f"word {n}" for n in range(100)])
-    plan = found._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+def test_many_patterns_are_one_pass(lines):
+    """Lines and counts need no Python; matches are found in one pass, without a join or a copy of a line."""
+    patterns = [f"word {n}" for n in range(100)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (search_lines(lines({0: ["a b"]}), patterns), count_patterns(lines({0: ["a b"]}), patterns)):
+        assert not any(word in plan(df) for word in ("Python", "Pandas", "Arrow"))
+    found = plan(search(lines({0: ["a b"]}), patterns))
+    assert found.count("MapInArrow") == 1 and "Join" not in found
+
+
+def test_scan_against_plain_search(monkeypatch):
+    """Pieces and heads of any size; patterns that share a head; lines side by side."""
+    rng = random.Random(3)
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(scan, "PIECE", piece)
+        for _ in range(12):
+            raws = [bytes(rng.choice(b"ab \xc3\xa9") for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(12)]
+            patterns = {bytes(rng.choice(b"ab \xc3\xa9") for _ in range(rng.choice([1, 2, 3, 31, 32, 33, 40]))) for _ in range(30)}
+            patterns = sorted(patterns | {raw[3:50] for raw in raws if len(raw) > 60} | {b"a" * n for n in (31, 32, 33, 34)})
+            ends = np.cumsum([len(raw) for raw in raws])
+            got = scan.Scan(patterns).places(np.frombuffer(b"".join(raws), np.uint8), ends)
+            want = [
+                (i, n, at) for i, raw in enumerate(raws) for n, p in enumerate(patterns)
+                for at in range(len(raw) - len(p) + 1) if raw.startswith(p, at)
+            ]
+            assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
+def test_slices_of_a_batch(lines, monkeypatch):
+    files = {0: ["ab" * n for n in range(40)] + [None, "b"]}
+    patterns = ["ab", "b", "ba", *[f"no {n}" for n in range(20)]]
+    data = np.frombuffer(b"".join((t or "").encode() for t in files[0]), np.uint8)
+    assert len(data) > 1000
+    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("_found", scan.FOUND)])
+    monkeypatch.setattr(scan, "SLICE_BYTES", 100)
+    run_ = scan.found_in(scan.Scan([p.encode() for p in patterns]), 0, schema)
+    whole = pa.RecordBatch.from_arrays([pa.array(["cut", *files[0], "cut"])], ["line"])
+    got = [row for batch in run_(iter([whole.slice(1, len(files[0])), whole.slice(0, 0)])) for row in batch.to_pylist()]
+    assert [r["line"] for r in got] == files[0]
+    for r in got:
+        assert [(patterns[f["pattern_id"]], f["occurrence"], f["match_pos"]) for f in r["_found"]] == [
+            (p, i, at) for p in patterns for i, at in enumerate(naive(r["line"] or "", p))
+        ]
 
 
 def test_counts_zero_and_overlap(lines):
