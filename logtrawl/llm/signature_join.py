@@ -28,7 +28,7 @@ from .common import staged, whole_text
 
 WORDS = 5
 NEED, OF = 75, 100  # a link needs NEED * union <= OF * intersection
-PIECE = 2 << 20  # bytes of text worked on at once
+PIECE = 1 << 20  # bytes of text worked on at once
 HELD = 1_000_000  # shingles held before they are passed on
 HOT = 200_000  # shingles with a place of their own in the common order; a matter of speed only
 TARGET_TOKENS = 1_000_000  # prefix tokens of one target
@@ -486,7 +486,7 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataF
         first = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
         return np.concatenate([rows[first, :4], np.add.reduceat(rows[:, 4:5], first), np.minimum.reduceat(rows[:, 5:], first)], axis=1)
 
-    def groups(packed: list[bytes]) -> np.ndarray:
+    def groups(packed: list[pa.Buffer]) -> np.ndarray:
         tokens, nodes, sizes = [], [], []
         for data in packed:
             used, count = np.frombuffer(data, np.int64, 2).tolist()
@@ -509,27 +509,26 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataF
         if not len(starts):
             return np.empty((0, 6), np.int64)
         length = np.diff(np.concatenate([starts, [len(token)]]))[run]
-        lowest = starts + [int(np.argmin(node[a:b])) if b - a > 1 else 0 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True)]
-        anchor = lowest[run]
+        anchor = np.flatnonzero(node == np.minimum.reduceat(node, starts)[run])[run]  # a node stands once in a run
         keep = (length > 1) & (anchor != np.arange(len(token)))
         alone = (length == 2).astype(np.int64)
         return summed(np.stack([node[anchor], node, n, n[anchor], alone, alone], axis=1)[keep])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-        """The packed rows of one key after another."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Buffer]]:
+        """The packed rows of one key after another, as they lie in their batches."""
         now, held = None, []
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key != now and held:
-                    yield now, held
+                    yield held
                     held = []
                 now = key
-                held.append(data)
+                held.append(data.as_buffer())
         if held:
-            yield now, held
+            yield held
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in each(batches):
+        for held in each(batches):
             rows = groups(held)
             home = (_mix(rows[:, 1].astype(np.uint64)) % np.uint64(targets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
@@ -538,8 +537,8 @@ def _members(prefixes: DataFrame, targets: int, need: int, of: int, heavy: DataF
             yield pa.RecordBatch.from_arrays([pa.array([int(home[p[0]]) for p in parts], pa.int64()), pa.array([rows[p].tobytes() for p in parts], pa.binary())], ["home", "packed"])
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in each(batches):
-            rows = summed(np.frombuffer(b"".join(held), np.int64).reshape(-1, 6))
+        for held in each(batches):
+            rows = summed(np.concatenate([np.frombuffer(data, np.int64) for data in held]).reshape(-1, 6))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names)
 
     dealt = prefixes.repartition(targets, "target").sortWithinPartitions("target")
@@ -604,12 +603,12 @@ def _by_pair(rows: DataFrame, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            for *row, data in zip(*(batch.column(c).to_pylist() for c in columns[:-1]), batch.column(columns[-1]), strict=True):
                 if row[:3] != now and held:
                     yield work(held)
                     held = []
                 now = row[:3]
-                held.append(row)
+                held.append((*row, data.as_buffer()))
         if held:
             yield work(held)
 
