@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.text import sql_text
@@ -72,13 +75,59 @@ def describe(files: DataFrame, log_name: str, now: int | None = None, first_line
     ).selectExpr("*", "rotate_ts IS NULL AS is_live")
     if "first_ts" not in files.columns:
         if first_lines:
-            known = known.mapInPandas(_with_first_line, known.schema.simpleString()[7:-1] + ",first_line:string")
-            known = known.selectExpr("*", f"{times.line_ts('first_line')} AS first_ts").drop("first_line")
+            known = _first_lines(known).selectExpr("*", f"{times.line_ts('first_line')} AS first_ts").drop("first_line")
         else:
             known = known.selectExpr("*", "cast(null AS timestamp) AS first_ts")
     return with_order(known, now)
 
 
+def _first_lines(files: DataFrame) -> DataFrame:
+    """Files with ``first_line``: read by the executors where they can open the store themselves, else by Spark's own file
+    systems, which only the driver reaches, many at a time."""
+    from pyarrow import fs
+
+    store = "regexp_extract(path, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    unknown = []
+    for row in files.groupBy(F.expr(f"{store} AS store")).agg(F.min("path").alias("path")).collect():  # one row a kind of store
+        try:
+            fs.FileSystem.from_uri(_local(row.path))
+        except (pa.ArrowException, OSError):
+            unknown.append(row.store)
+    read = files.mapInPandas(_with_first_line, files.schema.simpleString()[7:-1] + ",first_line:string")
+    if not unknown:
+        return read
+    other = f"{store} IN ({', '.join(map(sql_text, unknown))})"
+    heads = _heads(files.sparkSession, [r.path for r in files.filter(other).select("path").collect()])
+    table = files.sparkSession.createDataFrame(heads, "path string, first_line string")
+    near = files.filter(f"NOT {other}")
+    read = near.mapInPandas(_with_first_line, files.schema.simpleString()[7:-1] + ",first_line:string")
+    return read.unionByName(files.filter(other).join(table, "path"))
+
+
+def _heads(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(path: str) -> tuple[str, str]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = codecs.getCodec(place) if path.endswith(".gz") else None
+            content = codec.createInputStream(stream) if codec is not None else stream
+            first = jvm.org.apache.commons.io.input.BoundedInputStream(content, 64)
+            return path, jvm.org.apache.commons.io.IOUtils.toString(first, "ISO-8859-1").split("\n")[0]
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(head, paths))
+
+
+def _local(path: str) -> str:
+    """Spark writes ``file:/x``, others ``/x``."""
+    return path[5:] if re.match(r"file:/(?!/)", path) else path
+
+
 def _with_first_line(batches):
     """Head of each file, enough to hold a timestamp at byte 0 of its first line."""
     from pyarrow import fs
@@ -86,8 +135,7 @@ def _with_first_line(batches):
     for batch in batches:
         heads = []
         for path in batch["path"]:
-            where = path[5:] if re.match(r"file:/(?!/)", path) else path
-            store, inner = fs.FileSystem.from_uri(where)
+            store, inner = fs.FileSystem.from_uri(_local(path))
             with store.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None) as stream:
                 heads.append(stream.read(64).split(b"\n")[0].decode("utf-8", "replace"))
         yield batch.assign(first_line=heads)

@@ -313,6 +313,16 @@ def test_files_named_one_by_one(spark, logs):
     assert [r.line for r in lines.orderBy("file_rank", "pos").collect()] == ["2020-09-17 10:00:00.500000 x\r", "lone\rcr", "2020-09-17 11:00:00 y"]
 
 
+def test_store_that_only_spark_knows(spark, logs):
+    """The same catalog through a path that nothing but Spark's file systems can open."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.only.link./in", f"file://{logs}")
+    there, here = lt.catalog(spark, "viewfs://only/in", "app.log", NOW), lt.catalog(spark, logs, "app.log", NOW)
+    shown = lambda df: [(r.file_rank, os.path.basename(r.path), r.first_ts, r.rotate_ts) for r in df.orderBy("file_rank").collect()]
+    assert shown(there) == shown(here) and sum(r[2] is not None for r in shown(there)) == 3
+    found = [sorted(r.line for r in lt.cat(spark, files, "2020-09-17 10:00:00", "12:00:00").collect()) for files in (there, here)]
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
 def test_granularity_of_lines(spark, logs):
     files = lt.catalog(spark, logs, "app.log", NOW)
     after = lambda g: lt.read_chosen(spark, files, after="2020-09-17 10:30:00", now=NOW, granularity=g)
