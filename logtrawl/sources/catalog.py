@@ -43,17 +43,45 @@ def catalog(
     Listing touches no file content. ``first_lines=False`` leaves ``first_ts`` NULL and opens no file. Spark's readers
     pass over files whose names begin with ``_`` or ``.``; a ``log_name`` of that kind is refused.
     """
+    return describe(_listed(spark, root, log_name).drop("changed"), log_name, now, first_lines)
+
+
+def _listed(spark: SparkSession, root: str, log_name: str) -> DataFrame:
     if log_name.startswith(("_", ".")):
         raise ValueError(f"Spark does not read files whose names begin with {log_name[0]}")
-    pattern = literal_glob(log_name) + "*"
-    files = (
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .option("pathGlobFilter", literal_glob(log_name) + "*")
         .load(root)
-        .selectExpr("path", "length AS size_bytes")
+        .selectExpr("path", "length AS size_bytes", "modificationTime AS changed")
     )
-    return describe(files, log_name, now, first_lines)
+
+
+def kept_catalog(spark: SparkSession, root: str, log_name: str, store: str, now: int | None = None) -> DataFrame:
+    """``catalog`` that keeps the times of first lines in the folder ``store`` between calls.
+
+    Only files that are new, or whose size or time of change is another than before, are opened. Each call that finds any writes a
+    new version of the table; the one before stays for readers that still use it, older ones go.
+    """
+    same = ["path", "size_bytes", "changed"]
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [s.getPath().getParent() for s in files.globStatus(place(f"{literal_glob(store)}/version-*/_SUCCESS")) or []]
+    versions = sorted(int(p.getName()[8:]) for p in whole)
+    schema = "path string, size_bytes bigint, changed timestamp, first_ts timestamp"
+    old = spark.read.schema(schema).parquet(literal_glob(f"{store}/version-{versions[-1]}")) if versions else spark.createDataFrame([], schema)
+    listed = _listed(spark, root, log_name)
+    fresh = listed.join(old.select(*same), same, "left_anti")
+    gone = old.select(*same).join(listed, same, "left_anti")
+    if not versions or not fresh.isEmpty() or not gone.isEmpty():
+        version = versions[-1] + 1 if versions else 0
+        opened = _first_lines(fresh).selectExpr(*same, f"{times.line_ts('first_line')} AS first_ts")
+        listed.join(old, same).select(*same, "first_ts").unionByName(opened).write.parquet(f"{store}/version-{version}")
+        old = spark.read.schema(schema).parquet(literal_glob(f"{store}/version-{version}"))
+        for number in versions[:-1]:
+            files.delete(place(f"{store}/version-{number}"), True)
+    return describe(old.drop("changed"), log_name, now)
 
 
 def catalog_of(spark: SparkSession, paths: str | Sequence[str], now: int | None = None, first_lines: bool = True) -> DataFrame:

@@ -323,6 +323,29 @@ def test_store_that_only_spark_knows(spark, logs):
     assert found[0] == found[1] and len(found[0]) == 4
 
 
+def test_kept_catalog_opens_only_new_files(spark, logs, tmp_path):
+    store = str(tmp_path / "store [1]")
+    shown = lambda df: [(os.path.basename(r.path), r.size_bytes, r.first_ts) for r in df.orderBy("file_rank").collect()]
+    first = shown(lt.kept_catalog(spark, logs, "app.log", store, NOW))
+    assert first == shown(lt.catalog(spark, logs, "app.log", NOW))
+    assert shown(lt.kept_catalog(spark, logs, "app.log", store, NOW)) == first and os.listdir(store) == ["version-0"]
+    # other bytes, but neither size nor time changed: the file is not opened again
+    old = f"{logs}/old/app.log-20200917-{1600300800 + DAY}"
+    stat, data = os.stat(old), open(old, "rb").read()
+    write(old, data.replace(b"2020-09-17 10", b"2020-09-17 09"))
+    os.utime(old, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    new = f"{logs}/old/app.log-20200919-{1600300800 + 3 * DAY}"
+    write(new, "2020-09-18 20:00:00 new\n")
+    again = shown(lt.kept_catalog(spark, logs, "app.log", store, NOW))
+    assert [r for r in again if r[0] != os.path.basename(new)] == first and len(again) == len(first) + 1
+    assert dict((r[0], str(r[2])) for r in again)[os.path.basename(new)] == "2020-09-18 20:00:00"
+    os.utime(old, (1, 1))  # changed: opened
+    os.remove(new)
+    last = dict((r[0], str(r[2])) for r in shown(lt.kept_catalog(spark, logs, "app.log", store, NOW)))
+    assert last[os.path.basename(old)].startswith("2020-09-17 09") and os.path.basename(new) not in last
+    assert sorted(os.listdir(store)) == ["version-1", "version-2"]
+
+
 def test_granularity_of_lines(spark, logs):
     files = lt.catalog(spark, logs, "app.log", NOW)
     after = lambda g: lt.read_chosen(spark, files, after="2020-09-17 10:30:00", now=NOW, granularity=g)
