@@ -13,6 +13,7 @@ from logtrawl import Print, Rule, count_patterns, output_lines, run, search, sea
 from logtrawl.functions import text
 from logtrawl.operators import match, scan
 from logtrawl.operators.match import MATCH_ORDER, check_patterns
+from logtrawl.plans.sql import register_log
 from logtrawl.sources import tables
 
 
@@ -296,3 +297,14 @@ def test_longest_captures(spark, regex):
 
     rows = spark.createDataFrame(list(enumerate(values)), "n int, line string").selectExpr("n", f"{text.capture('line', regex)} AS got")
     assert [r.got for r in rows.orderBy("n").collect()] == [longest(v) for v in values]
+
+
+def test_sql_functions(spark, lines):
+    register_log(lines(FILES), "test_log")
+    rows = spark.sql("SELECT line, log_places(line, 'aa') AS aa, log_places(line, 'é') AS e, log_places(line, '') AS none FROM test_log").collect()
+    assert all((r.aa, r.e, r.none) == (naive(r.line, "aa"), naive(r.line, "é"), []) for r in rows) and len(rows) == 9
+    cuts = [(2, 5), (-3, None), (None, -2), (9, 1), (-500, 500), (-10, -4), (None, None)]
+    for first, last in cuts:
+        value = lambda x: "NULL" if x is None else str(x)
+        found = spark.sql(f"SELECT line, log_slice(line, {value(first)}, {value(last)}) AS cut, {text.byte_slice('line', first, last)} AS same FROM test_log").collect()
+        assert all(r.cut == r.same for r in found)

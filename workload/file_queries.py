@@ -13,6 +13,7 @@ from logtrawl import (
 )
 from logtrawl.functions import text, times
 from logtrawl.operators.ordered import running_total
+from logtrawl.plans.sql import register_log
 from logtrawl.session import work_dir
 from logtrawl.sources import tables
 from logtrawl.sources.catalog import basename
@@ -129,10 +130,33 @@ def custom_at_end(spark: SparkSession, sf: str) -> DataFrame:
     return run([Rule("| ERROR |", Custom("line_sizes", {"factor": 3}))], tables.event_log(spark, sf)).selectExpr("file_rank", "pos", "sink", "text")
 
 
+def sql_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of patterns, in SQL only."""
+    register_log(tables.event_log(spark, sf), "sql_search_log")
+    return spark.sql(
+        """SELECT event_id, pattern, bigint(nth) AS occurrence, place AS match_pos
+        FROM (SELECT event_id, pattern, log_places(line, pattern) AS places FROM sql_search_log
+              LATERAL VIEW explode(array('user_id=1', '0', '|')) AS pattern)
+        LATERAL VIEW posexplode(places) AS nth, place"""
+    )
+
+
+def sql_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Pauses between events of a kind and day, and values cut out of their lines, in SQL only."""
+    register_log(tables.event_log(spark, sf), "sql_values_log")
+    return spark.sql(
+        """SELECT event_id, log_stamp(us) AS stamp, log_duration(us - before) AS pause, log_until(line, place, 'user_id=', ' ') AS user,
+               log_slice(line, -4, NULL) AS tail, log_slice(line, 11, 16) AS clock
+        FROM (SELECT event_id, line, log_us(line) AS us, get(log_places(line, 'user_id='), 0) AS place,
+                     lag(log_us(line)) OVER (PARTITION BY day, event_type ORDER BY event_id) AS before FROM sql_values_log)
+        WHERE before IS NOT NULL"""
+    )
+
+
 FILE_QUERIES = {
     q.__name__: q
     for q in (
         file_list, file_lines, file_cat, file_direction, file_search, sinks_read_back, regex_longest, last_of_equal_patterns,
-        offset_formats, custom_at_end,
+        offset_formats, custom_at_end, sql_search, sql_values,
     )
 }

@@ -285,4 +285,9 @@ SELECT file_rank, (place + strpos(line, '| VIEW |') - 1) || ' ' || place || chr(
 UNION ALL SELECT file_rank, (strpos(line, 'k=') - 1) || ' ' || place || chr(10) FROM placed WHERE event_type = 'view'""",
     "custom_at_end": f"""WITH {EV} SELECT file_rank, event_id AS pos, 'stdout' AS sink, (strlen(line) * 3)::VARCHAR AS text FROM ev WHERE event_type = 'error' AND event_id % 3 = 0
 UNION ALL SELECT {LAST}, {LAST}, 'stdout', 'sum ' || coalesce(sum(strlen(line) * 3), 0)::BIGINT FROM ev WHERE event_type = 'error'""",
+    "sql_search": f"""WITH {EV}, {occ('ev', 'event_id', ['user_id=1', '0', '|'])}
+SELECT event_id, pattern, row_number() OVER (PARTITION BY event_id, pattern ORDER BY match_pos) - 1 AS occurrence, match_pos FROM occ""",
+    "sql_values": f"""WITH {EV}, gaps AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY day, event_type ORDER BY event_id) AS gap FROM ev)
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, {duration('gap')} AS pause, 'user_id=' || user_id AS user, right(line, 4) AS tail,
+       substr(line, 12, 5) AS clock FROM gaps WHERE gap IS NOT NULL""",
 }
