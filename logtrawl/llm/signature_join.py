@@ -39,6 +39,7 @@ CHUNK_NODES = 1024
 LEAF = 8
 MORE = 16  # a prefix has one token more for so many shingles
 FILTER_BITS = 1 << 23
+PAIR_WORDS = 1 << 20  # words of bitmaps compared at once
 _ODD, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -215,7 +216,7 @@ def _open(one, other, i: np.ndarray, j: np.ndarray, need: int, of: int) -> np.nd
     low, high = np.minimum(one[1][i], other[1][j]), np.maximum(one[1][i], other[1][j])
     ok = (of * one[2][i] >= need * other[1][j]) & (of * other[2][j] >= need * one[1][i])
     at = np.flatnonzero(ok)
-    for part in np.array_split(at, max(1, len(at) // 20_000)):
+    for part in np.array_split(at, max(1, len(at) * one[0].shape[1] // PAIR_WORDS)):
         a, b = i[part], j[part]
         common = np.bitwise_count(one[0][a] & other[0][b]).sum(axis=1).astype(np.int64) + np.minimum(one[3][a], other[3][b])
         ok[part] = (of + need) * common >= need * (low[part] + high[part])
