@@ -43,3 +43,28 @@ def test_entry(spark):
 def test_every_query_has_sql():
     assert set(LOG_QUERIES) == set(LOG_ORACLE)
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_nested_all_of_gives_every_pair(spark, tmp_path):
+    """One row per match and nested match of a line, also where two parents end before the same child."""
+    texts = {7: "the er, é the her her\nno child: the\nno parent: er", 8: "er there the\n\nthe er", 9: "", 10: None}
+    table = spark.createDataFrame([(d, "s", t) for d, t in texts.items()], "doc_id bigint, source string, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def places(line, word):
+        raw = line.encode()
+        return [n for n in range(len(raw)) if raw.startswith(word, n)]
+
+    want = Counter(
+        (d, n, parent + 3, child)
+        for d, text in texts.items()
+        for n, line in enumerate((text or "").split("\n"))
+        for parent in places(line, b"the")
+        for child in places(line, b"er")
+    )
+    columns = ["doc_id", "lineno", "parent_end", "match_pos"]
+    got = Counter(tuple(r) for r in QUERIES["nested_all_of"](spark, str(tmp_path)).select(*columns).collect())
+    assert got == want and sum(got.values()) == 6 + 4 + 1
+    duck = pytest.importorskip("duckdb").connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert Counter(duck.sql(ORACLE["nested_all_of"]).project(", ".join(columns)).fetchall()) == want

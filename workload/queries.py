@@ -53,11 +53,9 @@ def search_pattern_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_all_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of a match and a nested one, summed up by line."""
+    """Every pair of a match and a nested one."""
     found = occurrences([Rule("the", Rule("er", Print()))], tables.document_log(spark, sf))
-    pairs = found.selectExpr("file_rank AS doc_id", "pos AS lineno", "ord[0] AS parent_end", "match_pos")
-    places = [F.expr(f"{f}({c}) AS {f}_{c}") for c in ("parent_end", "match_pos") for f in ("sum", "min", "max")]
-    return pairs.groupBy("doc_id", "lineno").agg(F.expr("count(1) AS n"), *places)
+    return found.selectExpr("file_rank AS doc_id", "pos AS lineno", "ord[0] AS parent_end", "match_pos")
 
 
 def print_matches(spark: SparkSession, sf: str) -> DataFrame:
