@@ -34,7 +34,10 @@ def _blocks(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
 
 def matrix(vectors: pa.Scalar) -> np.ndarray:
     """A list of lists of numbers, padded with zeros."""
-    lists = vectors.values
+    return padded(vectors.values)
+
+
+def padded(lists: pa.ListArray) -> np.ndarray:
     width = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
     if len(width) and (width == width[0]).all():
@@ -67,8 +70,7 @@ def blockwise_top(rows: DataFrame, every: int, k: int, search: Search, query_blo
                 at, found, score = search(q_ids, q, ids, v)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids[found]), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    kind = "long" if getattr(search, "whole", False) else "double"
-    best = pairs.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

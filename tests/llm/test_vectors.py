@@ -107,3 +107,82 @@ def test_recall_beside_a_hot_cluster(noise):
     want = {(a, b) for a, _, b, _ in all_best(ids, v[1:101] @ v.T, ids[1:101], 20)}
     got = {(int(a) + 1, int(f)) for a, f in zip(at, found, strict=True)}
     assert len(want & got) / len(want) >= 0.99
+
+
+def moved_bytes(df):
+    """Bytes that the exchanges of a query wrote when it ran."""
+    df.collect()
+    waiting, total = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        metrics = node.metrics()
+        if node.nodeName() == "Exchange" and metrics.contains("dataSize"):
+            total += metrics.apply("dataSize").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            waiting.append(node.plan())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_exact_moves_little(spark):
+    """Queries go to bounded shares of the rows, not to every block: 64 blocks here."""
+    v = np.random.default_rng(4).normal(size=(4096, 16))
+    docs = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for large tables
+    try:
+        found = exact_top.exact_top(docs, k=1, every=4, block=64, query_block=64)
+        assert 0 < moved_bytes(found) < 4 * v.nbytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    whole = np.floor(256 * v).astype(np.int64)
+    ids = np.arange(4096)
+    assert sorted(map(tuple, found.collect())) == sorted(all_best(ids, whole[::4] @ whole.T, ids[::4], 1))
+
+
+@pytest.mark.parametrize("share", [1, 3000, 10**8])
+def test_exact_in_shares(spark, share):
+    """Small and large components, other lengths, many equal rows and repeated ids over many shares."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 12))
+    v[60:200] = v[3]
+    v[::17] *= 1e4
+    v[::41] *= 1e9
+    v[5::7, 8:] = 0  # left out below
+    v[300] = 0
+    rows = [(i, [float(x) for x in (row[:8] if i % 7 == 5 else row)]) for i, row in enumerate(v)]
+    bad = [(None, [1.0]), (4, None), (8, [None, 1.0]), (12, [float("nan")]), (16, [float("-inf"), 2.0]), (20, [])]
+    docs = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(5)
+    # the empty vector scores zero with all; it shares the id of another row, as query and as candidate
+    ids = np.append(np.arange(400), 20)
+    whole = [[int(x) for x in row] for row in np.floor(256 * np.vstack([v, np.zeros((1, 12))]))]
+    want = {}
+    for i in range(401):
+        if ids[i] % 4 == 0:
+            want.setdefault(int(ids[i]), []).extend((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], w, strict=True)))), int(j)) for j, w in zip(ids, whole, strict=True) if j != ids[i])
+    want = [(q, r + 1, j, s) for q, x in want.items() for r, (s, j) in enumerate(sorted(x, key=lambda y: (-y[0], y[1]))[:5])]
+    found = exact_top.exact_top(docs, k=5, every=4, block=32, query_block=16, share=share).collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_exact_stops_early():
+    """Where a few rows stand out, queries stop before the ends of the lists; nothing is lost."""
+    rng = np.random.default_rng(8)
+    v = np.floor(rng.normal(size=(600, 6)) * 20)
+    v[np.arange(0, 600, 30), rng.integers(0, 6, 20)] = 9000
+    q = np.zeros((50, 6))
+    q[np.arange(50), rng.integers(0, 6, 50)] = rng.choice([-300, 300, 7], 50)
+    q[40:] = rng.normal(size=(10, 6)).round(1) * 1000
+    ids, query_ids = np.arange(600), np.arange(50) * 3
+    block, asked = exact_top.sorted_lists(ids, v.astype(np.int16)), exact_top.asked_rows(query_ids, q)
+    assert len(block.heads) > 2
+    score = (q @ v.T).astype(np.int64)
+    for edge in (np.full(50, -np.inf), np.partition(score, -6, axis=1)[:, -6].astype(float)):
+        best = exact_top.Best(50, 5)
+        at, found, got = exact_top.block_top(asked, block, 5, edge)
+        assert (got == score[at, block.ids[found]]).all() and len(at) < 50 * 600 / 4
+        best.add(at, block.ids[found], got)
+        for i in range(50):
+            assert list(best.ids[i]) == [j for j in np.lexsort((ids, -score[i])).tolist() if j != query_ids[i]][:5]
